@@ -8,6 +8,10 @@ the order of leaves (and thus the caps) deterministic.
 Paths: nested keys join with dots; a scalar inside an array repeats the array's
 path; an object or array inside an array adds ``[]``. Leaves below an object in
 an array carry the array's path and the element's index as their scope.
+
+The builders give SQL text in which every intermediate array is named once, by
+a lambda variable. Plain column references would let the optimizer repeat the
+whole computation wherever a column is used twice.
 """
 
 from __future__ import annotations
@@ -17,139 +21,142 @@ from pyspark.sql import functions as F
 
 DEFAULT_DEPTH = 10
 
-_NODE = (
-    "struct<path:string,slot:int,scope_path:string,scope_index:int,value:variant,"
-    "open:boolean>"
-)
+_NODE = "struct<path:string,slot:int,scope_path:string,scope_index:int,value:variant,open:boolean>"
+
+
+def bind(value: str, name: str, body: str) -> str:
+    """SQL that evaluates ``value`` once and uses it as ``name`` in ``body``."""
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
 
 
-def _unfold(item: str) -> str:
-    """SQL for the children of one node, or the node itself when it is a leaf.
+def _unfold(n: str) -> str:
+    """SQL for the children of node ``n``, or the node itself when it is a leaf.
 
     ``slot`` is the index within the enclosing array (-1 for object members); the
     ``[]`` is added once the element turns out to be a container.
     """
-    base = f"concat({item}.path, if({item}.slot >= 0, '[]', ''))"
-    scope_path = f"if({item}.slot >= 0, {item}.path, {item}.scope_path)"
-    scope_index = f"if({item}.slot >= 0, {item}.slot, {item}.scope_index)"
-    members = f"try_variant_get({item}.value, '$', 'map<string,variant>')"
-    elements = f"try_variant_get({item}.value, '$', 'array<variant>')"
+    base = f"concat({n}.path, if({n}.slot >= 0, '[]', ''))"
+    scope_path = f"if({n}.slot >= 0, {n}.path, {n}.scope_path)"
+    scope_index = f"if({n}.slot >= 0, {n}.slot, {n}.scope_index)"
+    members = f"try_variant_get({n}.value, '$', 'map<string,variant>')"
+    elements = f"try_variant_get({n}.value, '$', 'array<variant>')"
     as_member = (
         f"cast(struct(concat({base}, if({base} = '', '', '.'), e.key), -1, {scope_path},"
         f" {scope_index}, e.value, true) as {_NODE})"
     )
-    as_element = (
-        f"cast(struct({base}, i, {item}.scope_path, {item}.scope_index, v, true) as {_NODE})"
-    )
+    as_element = f"cast(struct({base}, i, {n}.scope_path, {n}.scope_index, v, true) as {_NODE})"
     leaf = (
-        f"array(cast(struct({item}.path, {item}.slot, {item}.scope_path,"
-        f" {item}.scope_index, {item}.value, false) as {_NODE}))"
+        f"array(cast(struct({n}.path, {n}.slot, {n}.scope_path, {n}.scope_index, {n}.value, false)"
+        f" as {_NODE}))"
     )
     return (
-        f"if(not {item}.open, array({item}), coalesce("
+        f"if(not {n}.open, array({n}), coalesce("
         f"transform(map_entries({members}), e -> {as_member}),"
         f"transform({elements}, (v, i) -> {as_element}),"
         f"{leaf}))"
     )
 
 
-def with_leaves(
-    df: DataFrame, payload: str = "data", depth: int = DEFAULT_DEPTH, into: str = "leaves"
-) -> DataFrame:
-    """Add the array of (path, value_type, string_value, number_value, bool_value,
+_VALUE_TYPE = (
+    "case when n.kind = 'VOID' then 'null' when n.kind = 'BOOLEAN' then 'bool'"
+    " when n.kind = 'STRING' then 'string' when startswith(n.kind, 'OBJECT') then 'object'"
+    " when startswith(n.kind, 'ARRAY') then 'array' else 'number' end"
+)
+
+
+def leaves_sql(payload: str = "data", depth: int = DEFAULT_DEPTH) -> str:
+    """SQL for the array of (path, value_type, string_value, number_value, bool_value,
     scope_path, scope_index, text, in_array) leaves in key order.
 
     Containers nested deeper than ``depth`` appear as leaves of type ``object``
     or ``array``, so callers can count what was left.
     """
-    root = (
-        f"array(cast(struct('', -1, '', -1, try_parse_json(`{payload}`), true) as {_NODE}))"
+    nodes = (
+        f"if(`{payload}` is null, cast(array() as array<{_NODE}>),"
+        f" array(cast(struct('', -1, '', -1, try_parse_json(`{payload}`), true) as {_NODE})))"
     )
-    df = df.withColumn(into, F.expr(f"if(`{payload}` is null, cast(array() as array<{_NODE}>), {root})"))
-    for _ in range(depth):
+    for level in range(depth):
         # One more level only for the rows that still have open containers.
-        df = df.withColumn(
-            into,
-            F.expr(
-                f"if(exists(`{into}`, n -> n.open), flatten(transform(`{into}`, n -> {_unfold('n')})),"
-                f" `{into}`)"
-            ),
+        s = f"s{level}"
+        nodes = bind(
+            nodes,
+            s,
+            f"if(exists({s}, n -> n.open), flatten(transform({s}, n -> {_unfold('n')})), {s})",
         )
-    df = df.withColumn(
-        into,
-        F.expr(
-            f"transform(`{into}`, n -> struct(n.path, n.slot, n.scope_path, n.scope_index, n.value,"
-            " coalesce(schema_of_variant(n.value), 'VOID') as kind))"
-        ),
-    )
-    value_type = (
-        "case when n.kind = 'VOID' then 'null' when n.kind = 'BOOLEAN' then 'bool'"
-        " when n.kind = 'STRING' then 'string' when startswith(n.kind, 'OBJECT') then 'object'"
-        " when startswith(n.kind, 'ARRAY') then 'array' else 'number' end"
+    kinds = (
+        f"transform({nodes}, n -> struct(n.path, n.slot, n.scope_path, n.scope_index, n.value,"
+        " coalesce(schema_of_variant(n.value), 'VOID') as kind))"
     )
-    return df.withColumn(
-        into,
-        F.expr(
-            f"transform(filter(`{into}`, n -> n.kind not in ('OBJECT<>', 'ARRAY<VOID>') and n.path <> ''),"
-            " n -> struct(n.path as path,"
-            f" {value_type} as value_type,"
-            " if(n.kind = 'STRING', cast(n.value as string), '') as string_value,"
-            f" if({value_type} = 'number', cast(n.value as double), cast(null as double)) as number_value,"
-            " if(n.kind = 'BOOLEAN', cast(n.value as boolean), cast(null as boolean)) as bool_value,"
-            " n.scope_path as scope_path, n.scope_index as scope_index,"
-            " if(n.kind = 'VOID', 'null', cast(n.value as string)) as text,"
-            " n.slot >= 0 or contains(n.path, '[]') as in_array))"
-        ),
+    return (
+        f"transform(filter({kinds}, n -> n.kind not in ('OBJECT<>', 'ARRAY<VOID>') and n.path <> ''),"
+        " n -> struct(n.path as path,"
+        f" {_VALUE_TYPE} as value_type,"
+        " if(n.kind = 'STRING', cast(n.value as string), '') as string_value,"
+        f" if({_VALUE_TYPE} = 'number', cast(n.value as double), cast(null as double))"
+        " as number_value,"
+        " if(n.kind = 'BOOLEAN', cast(n.value as boolean), cast(null as boolean)) as bool_value,"
+        " n.scope_path as scope_path, n.scope_index as scope_index,"
+        " if(n.kind = 'VOID', 'null', cast(n.value as string)) as text,"
+        " n.slot >= 0 or contains(n.path, '[]') as in_array))"
     )
 
 
-def distinct_leaves(leaves: str, max_rows: int, max_string: int) -> Column:
+def leaves(payload: str = "data", depth: int = DEFAULT_DEPTH) -> Column:
+    return F.expr(leaves_sql(payload, depth))
+
+
+def with_leaves(
+    df: DataFrame, payload: str = "data", depth: int = DEFAULT_DEPTH, into: str = "leaves"
+) -> DataFrame:
+    """Add the leaves as a column; refer to it once per later expression."""
+    return df.withColumn(into, leaves(payload, depth))
+
+
+def distinct_leaves_sql(leaves: str, max_rows: int, max_string: int) -> str:
     """Leaves as index rows: over-long strings skipped, repeats removed, capped."""
-    return F.expr(
-        f"slice(array_distinct(transform(filter(`{leaves}`, l -> l.value_type not in ('object', 'array')"
+    return (
+        f"slice(array_distinct(transform(filter({leaves}, l -> l.value_type not in ('object', 'array')"
         f" and octet_length(l.string_value) <= {int(max_string)}),"
         " l -> struct(l.path, l.value_type, l.string_value, l.number_value, l.bool_value,"
         f" l.scope_path, l.scope_index))), 1, {int(max_rows)})"
     )
 
 
-def with_nodes(
-    df: DataFrame, payload: str = "data", depth: int = DEFAULT_DEPTH, into: str = "nodes"
-) -> DataFrame:
-    """Add the array of (path, kind) nodes of the payload, objects and arrays included.
+def nodes_sql(payload: str = "data", depth: int = DEFAULT_DEPTH) -> str:
+    """SQL for the array of (path, kind) nodes of the payload, objects and arrays
+    included.
 
     Arrays are not entered. ``kind`` is null, boolean, number, string, array or
     object; a path that occurs twice in a payload keeps its first kind.
     """
-    kind = "array<struct<path:string,value:variant>>"
-    df = df.withColumn(
-        into, F.expr(f"cast(array() as {kind})")
-    ).withColumn(
-        "__level",
-        F.expr(f"cast(array(struct('' as path, try_parse_json(`{payload}`) as value)) as {kind})"),
-    )
-    for _ in range(depth):
-        df = df.withColumn(
-            "__level",
-            F.expr(
-                "flatten(transform(__level, n -> coalesce(transform(map_entries("
-                "try_variant_get(n.value, '$', 'map<string,variant>')), e -> struct("
-                "concat(n.path, if(n.path = '', '', '.'), e.key) as path, e.value as value)),"
-                f" cast(array() as {kind}))))"
-            ),
-        ).withColumn(into, F.concat(into, "__level"))
+    node = "array<struct<path:string,value:variant>>"
+    state = f"struct<found:{node},level:{node}>"
+    root = f"array(struct('' as path, try_parse_json(`{payload}`) as value))"
+    steps = f"cast(struct(array() as found, {root} as level) as {state})"
+    for i in range(depth):
+        s = f"s{i}"
+        children = (
+            f"flatten(transform({s}.level, n -> coalesce(transform(map_entries("
+            "try_variant_get(n.value, '$', 'map<string,variant>')), e -> struct("
+            "concat(n.path, if(n.path = '', '', '.'), e.key) as path, e.value as value)),"
+            f" cast(array() as {node}))))"
+        )
+        step = bind(
+            children, f"c{i}",
+            f"cast(struct(concat({s}.found, c{i}) as found, c{i} as level) as {state})",
+        )
+        steps = bind(steps, s, f"if(size({s}.level) = 0, {s}, {step})")
     named = (
-        f"transform(`{into}`, n -> struct(n.path as path,"
+        f"transform(({steps}).found, n -> struct(n.path as path,"
         " coalesce(schema_of_variant(n.value), 'VOID') as kind))"
     )
-    df = df.withColumn(into, F.expr(named)).drop("__level")
-    return df.withColumn(
-        into,
-        F.expr(
-            f"transform(filter(`{into}`, (n, i) -> not exists(slice(`{into}`, 1, i),"
-            " m -> m.path = n.path)), n -> struct(n.path as path,"
-            " case when n.kind = 'VOID' then 'null' when n.kind = 'BOOLEAN' then 'boolean'"
-            " when n.kind = 'STRING' then 'string' when startswith(n.kind, 'OBJECT') then 'object'"
-            " when startswith(n.kind, 'ARRAY') then 'array' else 'number' end as kind))"
-        ),
+    first_only = bind(
+        named, "a",
+        "filter(a, (n, i) -> not exists(slice(a, 1, i), m -> m.path = n.path))",
+    )
+    return (
+        f"transform({first_only}, n -> struct(n.path as path,"
+        " case when n.kind = 'VOID' then 'null' when n.kind = 'BOOLEAN' then 'boolean'"
+        " when n.kind = 'STRING' then 'string' when startswith(n.kind, 'OBJECT') then 'object'"
+        " when startswith(n.kind, 'ARRAY') then 'array' else 'number' end as kind))"
     )

@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.leaves import distinct_leaves, with_leaves
+from tidemark.functions.leaves import distinct_leaves_sql, leaves_sql
 from tidemark.functions.paths import Fields
 from tidemark.operators.indexes import MAX_ROWS_PER_EVENT, MAX_STRING_BYTES
 from tidemark.plans.facets import Facet, branches, facet_path, leaf_condition
@@ -209,34 +209,38 @@ def filter_facets(
 
 
 def _filter_rows(events: DataFrame, flags: _Flags) -> DataFrame:
-    columns = events.columns
-    rows = with_leaves(events, into="__leaves").withColumn(
-        "__leaves", distinct_leaves("__leaves", MAX_ROWS_PER_EVENT, MAX_STRING_BYTES)
-    )
-
     def part(leaf: Column) -> Callable[[str], Column]:
         return lambda name: leaf[name]
 
-    def flag(kind: str, which: int) -> Column:
-        if kind == "plain":
-            facet = flags.plain[which]
-            return F.exists("__leaves", lambda leaf: leaf_condition(facet, part(leaf)))
-        scope, members = flags.scoped[which]
-
-        def element_fits(first: Column) -> Column:
-            fits = (first["scope_path"] == scope) & leaf_condition(members[0], part(first), False)
-            for facet in members[1:]:
-                fits = fits & F.exists(
-                    "__leaves",
-                    lambda other, facet=facet: (other["scope_path"] == scope)
-                    & (other["scope_index"] == first["scope_index"])
-                    & leaf_condition(facet, part(other), False),
-                )
-            return fits
-
-        return F.exists("__leaves", element_fits)
-
-    return rows.where(flags.expression(flag)).select(*columns)
+    def same_element(leaves: Column, scope: str, first: Column, facet: Facet) -> Column:
+        return F.exists(
+            leaves,
+            lambda other: (other["scope_path"] == scope)
+            & (other["scope_index"] == first["scope_index"])
+            & leaf_condition(facet, part(other), False),
+        )
+
+    def holds(leaves: Column) -> Column:
+        def flag(kind: str, which: int) -> Column:
+            if kind == "plain":
+                facet = flags.plain[which]
+                return F.exists(leaves, lambda leaf: leaf_condition(facet, part(leaf)))
+            scope, members = flags.scoped[which]
+
+            def element_fits(first: Column) -> Column:
+                fits = first["scope_path"] == scope
+                fits = fits & leaf_condition(members[0], part(first), False)
+                for facet in members[1:]:
+                    fits = fits & same_element(leaves, scope, first, facet)
+                return fits
+
+            return F.exists(leaves, element_fits)
+
+        return flags.expression(flag)
+
+    # The lambda names the leaves, so the payload is flattened once per row.
+    rows = F.expr(distinct_leaves_sql(leaves_sql("data"), MAX_ROWS_PER_EVENT, MAX_STRING_BYTES))
+    return events.where(F.exists(F.array(rows), holds))
 
 
 def filter_text(

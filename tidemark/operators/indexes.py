@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.events import bucket, is_error
-from tidemark.functions.leaves import DEFAULT_DEPTH, distinct_leaves, with_leaves
+from tidemark.functions.leaves import DEFAULT_DEPTH, distinct_leaves_sql, leaves_sql, with_leaves
 from tidemark.functions.paths import Fields, shred
 from tidemark.plans.definitions import Definition, of_tenant
 from tidemark.plans.exprs import path_of, paths_in, scalar_text, string_expr
@@ -44,19 +44,14 @@ def kv_index(
     ``max_string`` bytes are skipped, and at most ``max_rows`` rows are kept in
     key order.
     """
-    wide = with_leaves(
-        _identified(events).select(
-            "tenant_id", "timestamp", "event_id", "event_type", "signal", "source_file", "data"
-        ),
-        depth=depth,
-    )
-    return wide.select(
+    rows = F.expr(distinct_leaves_sql(leaves_sql("data", depth), max_rows, max_string))
+    return _identified(events).select(
         "tenant_id",
         "timestamp",
         "event_id",
         "event_type",
         "signal",
-        F.explode(distinct_leaves("leaves", max_rows, max_string)).alias("leaf"),
+        F.explode(rows).alias("leaf"),
         "source_file",
     ).select(
         "tenant_id",
@@ -91,9 +86,12 @@ def _clip_bytes(text: Column, limit: int) -> Column:
 
 
 def text_index(
-    events: DataFrame, max_bytes: int = MAX_TEXT_BYTES, depth: int = DEFAULT_DEPTH
+    events: DataFrame, max_bytes: int | None = MAX_TEXT_BYTES, depth: int = DEFAULT_DEPTH
 ) -> DataFrame:
-    """One searchable text per event: ``path:value`` terms, ids first."""
+    """One searchable text per event: ``path:value`` terms, ids first.
+
+    ``max_bytes=None`` keeps whole texts.
+    """
     wide = with_leaves(
         _identified(events).select(
             "tenant_id", "timestamp", "event_id", "event_type", "signal",
@@ -117,6 +115,7 @@ def text_index(
         F.filter(F.concat(ids, terms), lambda term: term["text"] != ""),
         lambda term: F.concat(term["path"], F.lit(":"), term["text"]),
     )
+    text = F.array_join(words, " ")
     return wide.select(
         "tenant_id",
         "timestamp",
@@ -125,7 +124,7 @@ def text_index(
         "signal",
         "trace_id",
         "span_id",
-        _clip_bytes(F.array_join(words, " "), max_bytes).alias("text"),
+        (text if max_bytes is None else _clip_bytes(text, max_bytes)).alias("text"),
         "source_file",
     )
 
@@ -214,6 +213,22 @@ def field_index(events: DataFrame, definitions: Sequence[Definition]) -> DataFra
     return result
 
 
+def _field_structs(
+    texts: Column, mode: str, name: Column, kind: str, definition: Definition
+) -> Column:
+    return F.transform(
+        F.filter(texts, lambda text: text != ""),
+        lambda text: F.struct(
+            F.lit(mode).alias("mode"),
+            name.alias("field_name"),
+            text.alias("value"),
+            F.lit(kind).alias("value_type"),
+            F.lit(definition.definition_id).alias("definition_id"),
+            F.lit(definition.version).cast("bigint").alias("definition_version"),
+        ),
+    )
+
+
 def _field_index_part(events: DataFrame, group: list[Definition]) -> DataFrame:
     paths = set().union(*(paths_in(d.config) for d in group)) | {"start_time", "end_time"}
     parsed = shred(events, paths)
@@ -231,25 +246,24 @@ def _field_index_part(events: DataFrame, group: list[Definition]) -> DataFrame:
             name = string_expr(fields, output.get("field_name"), definition.name)
             kind = str(output.get("value_type") or "string")
             holds = of_tenant(definition) & matcher(fields, definition.config.get("match"))
-            rows = F.transform(
-                F.filter(texts, lambda text: text != ""),
-                lambda text, mode=mode, name=name, kind=kind, d=definition: F.struct(
-                    F.lit(mode).alias("mode"),
-                    name.alias("field_name"),
-                    text.alias("value"),
-                    F.lit(kind).alias("value_type"),
-                    F.lit(d.definition_id).alias("definition_id"),
-                    F.lit(d.version).cast("bigint").alias("definition_version"),
-                ),
-            )
+            rows = _field_structs(texts, mode, name, kind, definition)
             arrays.append(F.when(holds & (name != ""), rows))
-    rows = parsed.withColumn("rows", F.flatten(F.array_compact(F.array(*arrays))))
-    first_only = F.expr(
-        "filter(rows, (r, i) -> not exists(slice(rows, 1, i), e -> e.mode = r.mode"
-        " and e.field_name = r.field_name and e.value_type = r.value_type and e.value = r.value))"
-    )
-    fields = Fields(rows)
-    return rows.select(
+    def first_of_each(rows: Column) -> Column:
+        return F.filter(
+            rows,
+            lambda r, i: ~F.exists(
+                F.slice(rows, F.lit(1), i),
+                lambda e: (e["mode"] == r["mode"])
+                & (e["field_name"] == r["field_name"])
+                & (e["value_type"] == r["value_type"])
+                & (e["value"] == r["value"]),
+            ),
+        )
+
+    # The lambda names the rows, so they are built once.
+    every = F.flatten(F.array_compact(F.array(*arrays)))
+    first_only = F.flatten(F.transform(F.array(every), first_of_each))
+    return parsed.select(
         "tenant_id",
         F.explode(first_only).alias("row"),
         "timestamp",

@@ -7,7 +7,7 @@ import json
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.leaves import with_leaves, with_nodes
+from tidemark.functions.leaves import nodes_sql, with_leaves
 
 MAX_EVENT_BYTES = 1_048_576
 
@@ -223,7 +223,7 @@ def rename_keys(data: Column, mapping: dict[str, str] | None = None) -> Column:
 
 def field_inference(events: DataFrame) -> DataFrame:
     """Every payload path with the number of events that have it and its JSON types."""
-    nodes = with_nodes(events.select("data")).select(F.explode("nodes").alias("n"))
+    nodes = events.select(F.explode(F.expr(nodes_sql("data"))).alias("n"))
     return (
         nodes.groupBy(F.col("n.path").alias("path"))
         .agg(

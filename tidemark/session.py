@@ -56,3 +56,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
         shared = spark.conf.get("spark.checkpoint.dir", None)
         context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="tidemark-checkpoint-"))
     return df.checkpoint()
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores for row-heavy work on a small input.
+
+    A table in one small file is scanned by one task; it is repartitioned only if
+    its scan has fewer partitions than the session has cores. Large tables pass
+    through unchanged.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.rdd().getNumPartitions() < cores else df

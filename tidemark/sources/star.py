@@ -91,3 +91,145 @@ def adapt_events(table: DataFrame) -> DataFrame:
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return adapt_events(load(spark, sf_dir, "events"))
+
+
+def _canonical(rows: DataFrame, data: dict[str, Column]) -> DataFrame:
+    """Rows with ``event_id``, ``timestamp``, ``tenant_id`` and payload members."""
+    text = {"trace_id", "span_id", "parent_span_id", "service", "environment", "name", "event_type"}
+    columns = []
+    for c in EVENT_COLUMNS:
+        if c in ("event_id", "timestamp", "tenant_id"):
+            value = F.col(c)
+        elif c == "data":
+            value = F.to_json(F.struct(*[v.alias(n) for n, v in data.items()]))
+        elif c == "signal":
+            value = signal(data.get("signal", F.lit("")), data["event_type"])
+        elif c == "ingested_timestamp":
+            value = F.col("timestamp")
+        elif c in text or c == "span_status_code":
+            value = F.coalesce(data[c], F.lit("")) if c in data else F.lit("")
+        elif c in data:
+            value = data[c]
+        else:
+            kinds = {"source_file": "string", "observed_timestamp": "timestamp"}
+            kinds |= {"duration_ms": "double"}
+            value = F.lit(None).cast(kinds.get(c, "bigint"))
+        columns.append(value.alias(c))
+    return rows.select(*columns)
+
+
+def order_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as ``order.placed`` events of their customers."""
+    orders = load(spark, sf_dir, "orders")
+    rows = orders.select(
+        "*",
+        F.col("o_orderkey").cast("string").alias("event_id"),
+        F.col("o_orderdate").alias("timestamp"),
+        _text("t", F.col("o_custkey") % 4).alias("tenant_id"),
+    )
+    return _canonical(
+        rows,
+        {
+            "event_type": F.lit("order.placed"),
+            "name": F.lit("order"),
+            "account_id": _text("c", F.col("o_custkey")),
+            "order": F.struct(
+                F.col("o_orderstatus").alias("status"),
+                F.col("o_totalprice").alias("price"),
+                F.col("o_orderpriority").alias("priority"),
+            ),
+        },
+    )
+
+
+def document_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as log events, one a second, with their whole text."""
+    documents = load(spark, sf_dir, "documents")
+    rows = documents.select(
+        "*",
+        F.col("doc_id").cast("string").alias("event_id"),
+        F.timestamp_seconds(F.col("doc_id") + 1_700_000_000).alias("timestamp"),
+        _text("t", F.col("doc_id") % 4).alias("tenant_id"),
+    )
+    return _canonical(
+        rows,
+        {
+            "event_type": F.lit("log"),
+            "lang": F.col("lang"),
+            "source": F.col("source"),
+            "text": F.col("text"),
+        },
+    )
+
+
+def turn_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversation turns as events of one trace per conversation."""
+    turns = load(spark, sf_dir, "conversations")
+    rows = turns.select(
+        "*",
+        _text(F.col("conv_id"), "/", F.col("turn")).alias("event_id"),
+        F.timestamp_seconds(F.col("turn") * 60 + 1_700_000_000).alias("timestamp"),
+        F.lit("t0").alias("tenant_id"),
+    )
+    return _canonical(
+        rows,
+        {
+            "event_type": F.lit("agent.turn"),
+            "name": F.col("role"),
+            "trace_id": F.col("conv_id").cast("string"),
+            "span_id": _text(F.col("conv_id"), "/", F.col("turn")),
+            "parent_span_id": F.when(F.col("turn") > 0, _text(F.col("conv_id"), "/", F.col("turn") - 1)),
+            "role": F.col("role"),
+            "text": F.col("text"),
+        },
+    )
+
+
+def span_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stream table as pairs of span start and end events.
+
+    A span lasts as many seconds as its value; every third one never ends.
+    """
+    table = load(spark, sf_dir, "events")
+    event = F.col("event_id")
+    iso = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"
+    end = F.timestamp_micros(
+        F.unix_micros("ts") + F.round(F.col("value") * 1_000_000).cast("bigint")
+    )
+    base = table.select(
+        "ts",
+        event.alias("n"),
+        "event_type",
+        end.alias("end"),
+        _text("t", F.expr("event_id div 8 % 4")).alias("tenant_id"),
+    )
+    common = {
+        "trace_id": _text("t", F.expr("n div 8")),
+        "span_id": _text("s", F.col("n")),
+        "parent_span_id": F.when(F.col("n") % 8 != 0, _text("s", F.col("n") - 1)),
+        "service": _text("svc", F.col("n") % 5),
+        "name": F.col("event_type"),
+    }
+    starts = _canonical(
+        base.select("*", _text(F.col("n"), ":start").alias("event_id"), F.col("ts").alias("timestamp")),
+        {
+            **common,
+            "event_type": F.lit("span_start"),
+            "start_time": F.date_format("ts", iso),
+            "phase": F.lit("start"),
+            "begun": F.lit(True),
+        },
+    )
+    ends = _canonical(
+        base.where(F.col("n") % 3 != 0).select(
+            "*", _text(F.col("n"), ":end").alias("event_id"), F.col("end").alias("timestamp")
+        ),
+        {
+            **common,
+            "event_type": F.lit("span_end"),
+            "end_time": F.date_format("end", iso),
+            "phase": F.lit("end"),
+            "is_error": (F.col("event_type") == "error").cast("bigint"),
+        },
+    )
+    return starts.unionByName(ends)
