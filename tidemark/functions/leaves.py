@@ -16,7 +16,7 @@ whole computation wherever a column is used twice.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 DEFAULT_DEPTH = 10
@@ -40,14 +40,18 @@ def _unfold(n: str) -> str:
     scope_index = f"if({n}.slot >= 0, {n}.slot, {n}.scope_index)"
     members = f"try_variant_get({n}.value, '$', 'map<string,variant>')"
     elements = f"try_variant_get({n}.value, '$', 'array<variant>')"
+    prefix = f"if({n}.path = '', '', concat({base}, '.'))"
     as_member = (
-        f"cast(struct(concat({base}, if({base} = '', '', '.'), e.key), -1, {scope_path},"
-        f" {scope_index}, e.value, true) as {_NODE})"
+        f"named_struct('path', concat({prefix}, e.key), 'slot', -1, 'scope_path', {scope_path},"
+        f" 'scope_index', {scope_index}, 'value', e.value, 'open', true)"
+    )
+    as_element = (
+        f"named_struct('path', {base}, 'slot', i, 'scope_path', {n}.scope_path,"
+        f" 'scope_index', {n}.scope_index, 'value', v, 'open', true)"
     )
-    as_element = f"cast(struct({base}, i, {n}.scope_path, {n}.scope_index, v, true) as {_NODE})"
     leaf = (
-        f"array(cast(struct({n}.path, {n}.slot, {n}.scope_path, {n}.scope_index, {n}.value, false)"
-        f" as {_NODE}))"
+        f"array(named_struct('path', {n}.path, 'slot', {n}.slot, 'scope_path', {n}.scope_path,"
+        f" 'scope_index', {n}.scope_index, 'value', {n}.value, 'open', false))"
     )
     return (
         f"if(not {n}.open, array({n}), coalesce("
@@ -58,19 +62,30 @@ def _unfold(n: str) -> str:
 
 
 _VALUE_TYPE = (
-    "case when n.kind = 'VOID' then 'null' when n.kind = 'BOOLEAN' then 'bool'"
-    " when n.kind = 'STRING' then 'string' when startswith(n.kind, 'OBJECT') then 'object'"
+    "case when n.kind = 'STRING' then 'string' when n.kind = 'VOID' then 'null'"
+    " when n.kind = 'BOOLEAN' then 'bool' when startswith(n.kind, 'OBJECT') then 'object'"
     " when startswith(n.kind, 'ARRAY') then 'array' else 'number' end"
 )
+_STRING_VALUE = "if(n.kind = 'STRING', cast(n.value as string), '')"
+_INDEX_ROW = (
+    f"named_struct('path', n.path, 'value_type', {_VALUE_TYPE}, 'string_value', {_STRING_VALUE},"
+    " 'number_value', if(n.kind in ('VOID', 'STRING', 'BOOLEAN'), cast(null as double),"
+    " try_cast(n.value as double)),"
+    " 'bool_value', if(n.kind = 'BOOLEAN', cast(n.value as boolean), cast(null as boolean)),"
+    " 'scope_path', n.scope_path, 'scope_index', n.scope_index)"
+)
+_TEXT_ROW = (
+    "named_struct('path', n.path, 'text', if(n.kind = 'VOID', 'null', cast(n.value as string)))"
+)
+_PATH_ROW = (
+    f"named_struct('path', n.path, 'value_type', {_VALUE_TYPE}, 'blank', {_STRING_VALUE} = ''"
+    " and n.kind = 'STRING', 'in_array', n.slot >= 0 or contains(n.path, '[]'))"
+)
+_CONTAINER = "(startswith(n.kind, 'OBJECT') or startswith(n.kind, 'ARRAY'))"
 
 
-def leaves_sql(payload: str = "data", depth: int = DEFAULT_DEPTH) -> str:
-    """SQL for the array of (path, value_type, string_value, number_value, bool_value,
-    scope_path, scope_index, text, in_array) leaves in key order.
-
-    Containers nested deeper than ``depth`` appear as leaves of type ``object``
-    or ``array``, so callers can count what was left.
-    """
+def _kinds_sql(payload: str, depth: int) -> str:
+    """SQL for the unfolded nodes with their type names."""
     nodes = (
         f"if(`{payload}` is null, cast(array() as array<{_NODE}>),"
         f" array(cast(struct('', -1, '', -1, try_parse_json(`{payload}`), true) as {_NODE})))"
@@ -83,43 +98,46 @@ def leaves_sql(payload: str = "data", depth: int = DEFAULT_DEPTH) -> str:
             s,
             f"if(exists({s}, n -> n.open), flatten(transform({s}, n -> {_unfold('n')})), {s})",
         )
-    kinds = (
-        f"transform({nodes}, n -> struct(n.path, n.slot, n.scope_path, n.scope_index, n.value,"
-        " coalesce(schema_of_variant(n.value), 'VOID') as kind))"
-    )
     return (
-        f"transform(filter({kinds}, n -> n.kind not in ('OBJECT<>', 'ARRAY<VOID>') and n.path <> ''),"
-        " n -> struct(n.path as path,"
-        f" {_VALUE_TYPE} as value_type,"
-        " if(n.kind = 'STRING', cast(n.value as string), '') as string_value,"
-        f" if({_VALUE_TYPE} = 'number', cast(n.value as double), cast(null as double))"
-        " as number_value,"
-        " if(n.kind = 'BOOLEAN', cast(n.value as boolean), cast(null as boolean)) as bool_value,"
-        " n.scope_path as scope_path, n.scope_index as scope_index,"
-        " if(n.kind = 'VOID', 'null', cast(n.value as string)) as text,"
-        " n.slot >= 0 or contains(n.path, '[]') as in_array))"
+        f"transform({nodes}, n -> named_struct('path', n.path, 'slot', n.slot,"
+        " 'scope_path', n.scope_path, 'scope_index', n.scope_index, 'value', n.value,"
+        " 'kind', coalesce(schema_of_variant(n.value), 'VOID')))"
     )
 
 
-def leaves(payload: str = "data", depth: int = DEFAULT_DEPTH) -> Column:
-    return F.expr(leaves_sql(payload, depth))
+def _scalars_sql(payload: str, depth: int, row: str, where: str = "true") -> str:
+    kept = f"n -> n.path <> '' and not {_CONTAINER} and {where}"
+    return f"transform(filter({_kinds_sql(payload, depth)}, {kept}), n -> {row})"
 
 
-def with_leaves(
-    df: DataFrame, payload: str = "data", depth: int = DEFAULT_DEPTH, into: str = "leaves"
-) -> DataFrame:
-    """Add the leaves as a column; refer to it once per later expression."""
-    return df.withColumn(into, leaves(payload, depth))
+def index_rows(
+    max_rows: int, max_string: int, payload: str = "data", depth: int = DEFAULT_DEPTH
+) -> Column:
+    """Leaves as rows of the scalar index: over-long strings skipped, repeats removed,
+    capped in key order.
 
+    Structs (path, value_type, string_value, number_value, bool_value, scope_path,
+    scope_index).
+    """
+    fits = f"(n.kind <> 'STRING' or octet_length(cast(n.value as string)) <= {int(max_string)})"
+    rows = _scalars_sql(payload, depth, _INDEX_ROW, fits)
+    return F.expr(f"slice(array_distinct({rows}), 1, {int(max_rows)})")
 
-def distinct_leaves_sql(leaves: str, max_rows: int, max_string: int) -> str:
-    """Leaves as index rows: over-long strings skipped, repeats removed, capped."""
-    return (
-        f"slice(array_distinct(transform(filter({leaves}, l -> l.value_type not in ('object', 'array')"
-        f" and octet_length(l.string_value) <= {int(max_string)}),"
-        " l -> struct(l.path, l.value_type, l.string_value, l.number_value, l.bool_value,"
-        f" l.scope_path, l.scope_index))), 1, {int(max_rows)})"
-    )
+
+def text_terms(payload: str = "data", depth: int = DEFAULT_DEPTH) -> Column:
+    """Leaves as (path, text) in key order, repeats included."""
+    return F.expr(_scalars_sql(payload, depth, _TEXT_ROW))
+
+
+def scalar_paths(payload: str = "data", depth: int = DEFAULT_DEPTH) -> Column:
+    """Leaves as (path, value_type, blank, in_array)."""
+    return F.expr(_scalars_sql(payload, depth, _PATH_ROW))
+
+
+def containers_left(payload: str = "data", depth: int = DEFAULT_DEPTH) -> Column:
+    """Number of non-empty containers nested deeper than ``depth``."""
+    left = f"n -> {_CONTAINER} and n.kind not in ('OBJECT<>', 'ARRAY<VOID>')"
+    return F.expr(f"size(filter({_kinds_sql(payload, depth)}, {left}))")
 
 
 def nodes_sql(payload: str = "data", depth: int = DEFAULT_DEPTH) -> str:

@@ -40,7 +40,9 @@ class Fields:
     """Payload paths of one events DataFrame as columns.
 
     ``nested_only`` switches literal dotted keys off (the alert dialect);
-    ``flat=False`` ignores the promoted columns.
+    ``flat=False`` ignores the promoted columns. ``derived_signal`` reads the
+    ``signal`` column (given or derived) instead of the payload's own signal, as
+    grouping and substring filters do.
     """
 
     def __init__(
@@ -50,10 +52,13 @@ class Fields:
         payload: str = "data",
         flat: bool = True,
         nested_only: bool = False,
+        derived_signal: bool = False,
     ):
         columns = set(df.columns) if df is not None else set()
         self.payload = F.col(payload)
         self.flat_strings = {name for name in FLAT_STRINGS if name in columns} if flat else set()
+        if derived_signal and "signal" in columns:
+            self.flat_strings.add("signal")
         self.flat_number = flat and "duration_ms" in columns
         self.nested_only = nested_only
         self.shredded: set[str] = set()

@@ -83,7 +83,7 @@ def run_report(events: DataFrame, report: Report, seconds: int | None = None) ->
     path, _, statistic = report.metric.rpartition(".")
     width = seconds or _SECONDS[report.bucket]
     parsed = shred(events, [*report.group_by, *([path] if path else [])])
-    fields = Fields(parsed)
+    fields = Fields(parsed, derived_signal=True)
     names = {p: p.replace(".", "_") for p in report.group_by}
     columns = [
         "tenant_id",

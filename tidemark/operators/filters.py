@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.leaves import distinct_leaves_sql, leaves_sql
+from tidemark.functions.leaves import index_rows
 from tidemark.functions.paths import Fields
 from tidemark.operators.indexes import MAX_ROWS_PER_EVENT, MAX_STRING_BYTES
 from tidemark.plans.facets import Facet, branches, facet_path, leaf_condition
@@ -189,7 +189,7 @@ def filter_facets(
         events = in_time(events, time_range)
     if not branches(facets):
         return events
-    flags = _Flags(facets, Fields(events))
+    flags = _Flags(facets, Fields(events, derived_signal=True))
     if not flags.plain and not flags.scoped:
         return events.where(flags.expression(_flag_column))
     if index is None:
@@ -239,7 +239,7 @@ def _filter_rows(events: DataFrame, flags: _Flags) -> DataFrame:
         return flags.expression(flag)
 
     # The lambda names the leaves, so the payload is flattened once per row.
-    rows = F.expr(distinct_leaves_sql(leaves_sql("data"), MAX_ROWS_PER_EVENT, MAX_STRING_BYTES))
+    rows = index_rows(MAX_ROWS_PER_EVENT, MAX_STRING_BYTES)
     return events.where(F.exists(F.array(rows), holds))
 
 

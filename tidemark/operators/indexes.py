@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.events import bucket, is_error
-from tidemark.functions.leaves import DEFAULT_DEPTH, distinct_leaves_sql, leaves_sql, with_leaves
+from tidemark.functions.leaves import DEFAULT_DEPTH, containers_left, index_rows, text_terms
 from tidemark.functions.paths import Fields, shred
 from tidemark.plans.definitions import Definition, of_tenant
 from tidemark.plans.exprs import path_of, paths_in, scalar_text, string_expr
@@ -44,7 +44,7 @@ def kv_index(
     ``max_string`` bytes are skipped, and at most ``max_rows`` rows are kept in
     key order.
     """
-    rows = F.expr(distinct_leaves_sql(leaves_sql("data", depth), max_rows, max_string))
+    rows = index_rows(max_rows, max_string, depth=depth)
     return _identified(events).select(
         "tenant_id",
         "timestamp",
@@ -66,14 +66,9 @@ def kv_index(
 
 def too_deep(events: DataFrame, depth: int = DEFAULT_DEPTH) -> DataFrame:
     """How many events and containers lie deeper than ``depth`` and were not flattened."""
-    left = F.size(F.filter("leaves", lambda leaf: leaf["value_type"].isin("object", "array")))
-    return (
-        with_leaves(events.select("data"), depth=depth)
-        .select(left.alias("left"))
-        .agg(
-            F.count_if(F.col("left") > 0).alias("events"),
-            F.coalesce(F.sum("left"), F.lit(0)).cast("bigint").alias("containers"),
-        )
+    return events.select(containers_left(depth=depth).alias("left")).agg(
+        F.count_if(F.col("left") > 0).alias("events"),
+        F.coalesce(F.sum("left"), F.lit(0)).cast("bigint").alias("containers"),
     )
 
 
@@ -92,31 +87,20 @@ def text_index(
 
     ``max_bytes=None`` keeps whole texts.
     """
-    wide = with_leaves(
-        _identified(events).select(
-            "tenant_id", "timestamp", "event_id", "event_type", "signal",
-            "trace_id", "span_id", "source_file", "data",
-        ),
-        depth=depth,
-    )
     ids = F.array(
         *[
             F.struct(F.lit(name).alias("path"), F.col(name).alias("text"))
             for name in ("event_id", "event_type", "signal", "trace_id", "span_id")
         ]
     )
-    terms = F.transform(
-        F.filter("leaves", lambda leaf: ~leaf["value_type"].isin("object", "array")),
-        lambda leaf: F.struct(
-            F.replace(leaf["path"], F.lit("[]"), F.lit("")).alias("path"), leaf["text"].alias("text")
-        ),
-    )
     words = F.transform(
-        F.filter(F.concat(ids, terms), lambda term: term["text"] != ""),
-        lambda term: F.concat(term["path"], F.lit(":"), term["text"]),
+        F.filter(F.concat(ids, text_terms(depth=depth)), lambda term: term["text"] != ""),
+        lambda term: F.concat(
+            F.replace(term["path"], F.lit("[]"), F.lit("")), F.lit(":"), term["text"]
+        ),
     )
     text = F.array_join(words, " ")
-    return wide.select(
+    return _identified(events).select(
         "tenant_id",
         "timestamp",
         "event_id",

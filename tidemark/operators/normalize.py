@@ -7,7 +7,7 @@ import json
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.leaves import nodes_sql, with_leaves
+from tidemark.functions.leaves import nodes_sql, scalar_paths
 
 MAX_EVENT_BYTES = 1_048_576
 
@@ -251,16 +251,15 @@ def discover_metric_definitions(events: DataFrame) -> DataFrame:
     usable = lambda leaf: (
         leaf["value_type"].isin("number", "bool", "string")
         & ~leaf["in_array"]
-        & ~((leaf["value_type"] == "string") & (leaf["string_value"] == ""))
+        & ~leaf["blank"]
         & leaf["path"].rlike(r"^[A-Za-z0-9_]+(\.[A-Za-z0-9_]+)*$")
         & (F.length(leaf["path"]) <= 160)
         & ~leaf["path"].isin(*NOT_DIMENSIONS)
     )
-    wide = with_leaves(metrics.select("tenant_id", "data"))
-    rows = wide.select(
+    rows = metrics.select(
         "tenant_id",
         F.trim(F.get_json_object("data", "$.metric_name")).alias("metric_name"),
-        F.transform(F.filter("leaves", usable), lambda leaf: leaf["path"]).alias("paths"),
+        F.transform(F.filter(scalar_paths(), usable), lambda leaf: leaf["path"]).alias("paths"),
     ).where(F.col("metric_name") != "")
     found = (
         rows.select("tenant_id", "metric_name", F.explode_outer("paths").alias("path"))

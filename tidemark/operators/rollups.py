@@ -212,7 +212,7 @@ def groups(
         count = F.countDistinct("event_id") if "mode" in columns else _count()
     else:
         rows = source.select(
-            Fields(source).string(path).alias("value"),
+            Fields(source, derived_signal=True).string(path).alias("value"),
             "timestamp",
             is_error(source, "query").cast("bigint").alias("is_error"),
         ).where(F.col("value") != "")
@@ -299,7 +299,7 @@ def summary(source: DataFrame, path: str | None = None, value: str | None = None
     elif path is not None and "field_name" in columns:
         source = source.where((F.col("field_name") == path) & (F.col("value") == value))
     elif path is not None:
-        source = source.where(Fields(source).string(facet_path(path)) == value)
+        source = source.where(Fields(source, derived_signal=True).string(facet_path(path)) == value)
     if "count" in columns:
         return source.agg(F.coalesce(F.sum("count"), F.lit(0)).cast("bigint").alias("count"))
     return source.agg(_count().alias("count"))
@@ -314,6 +314,6 @@ def latest(source: DataFrame, path: str | None = None, value: str | None = None)
         if rolled:
             source = source.where(F.col("bucket_seconds") == 60)
     elif path is not None:
-        source = source.where(Fields(source).string(facet_path(path)) == value)
+        source = source.where(Fields(source, derived_signal=True).string(facet_path(path)) == value)
     time = "bucket_time" if rolled or "timestamp" not in columns else "timestamp"
     return source.agg(F.max(time).alias("last_created_at"))

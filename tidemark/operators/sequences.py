@@ -195,9 +195,10 @@ def _declared_funnel(
             dimension_map(named_values(fields, output.get("dimensions"))).alias("segment"),
             entity.alias("entity_id"),
             "timestamp",
-            F.explode(_step_matches(fields, steps)).alias("step"),
+            _step_matches(fields, steps).alias("steps"),
         )
-        .where((F.col("report_id") != "") & (F.col("entity_id") != ""))
+        .where((F.col("report_id") != "") & (F.col("entity_id") != "") & (F.size("steps") > 0))
+        .select(*SEQUENCE_KEYS, "entity_id", "timestamp", F.explode("steps").alias("step"))
     )
     reached = reached_steps(rows, [*SEQUENCE_KEYS, "entity_id"], len(steps))
     names = [step.name for step in steps]
