@@ -25,7 +25,7 @@ def make_events(spark):
 
     def make(*rows, offset=0):
         data = [
-            (str(i), time, json.dumps({"tenant_id": "t", **payload}), offset + n)
+            (str(i), time, json.dumps({"tenant_id": "t", **payload}, separators=(",", ":")), offset + n)
             for n, (i, time, payload) in enumerate(rows)
         ]
         raw = spark.createDataFrame(
