@@ -99,8 +99,8 @@ def text_index(
             F.replace(term["path"], F.lit("[]"), F.lit("")), F.lit(":"), term["text"]
         ),
     )
-    text = F.array_join(words, " ")
-    return _identified(events).select(
+    # Through a generator, so that later uses of the text do not repeat building it.
+    built = _identified(events).select(
         "tenant_id",
         "timestamp",
         "event_id",
@@ -108,9 +108,12 @@ def text_index(
         "signal",
         "trace_id",
         "span_id",
-        (text if max_bytes is None else _clip_bytes(text, max_bytes)).alias("text"),
+        F.explode(F.array(F.array_join(words, " "))).alias("text"),
         "source_file",
     )
+    if max_bytes is None:
+        return built
+    return built.withColumn("text", _clip_bytes(F.col("text"), max_bytes))
 
 
 def field_values(events: DataFrame) -> DataFrame:

@@ -60,8 +60,8 @@ def field_rollups(events: DataFrame, resolutions: Sequence[int] = (1, 60)) -> Da
     """Counts, per-signal counts and durations by core field value and interval.
 
     The finest interval is aggregated first and the coarser ones are rolled up
-    from it, so the wide fan-out (field x resolution) happens on partial rows
-    only after the events have been reduced.
+    from it; Spark reuses the exchange of the first step, so the events are read
+    and fanned out once.
     """
     finest, *coarser = sorted(resolutions)
     error = is_error(events, "view").cast("bigint")
@@ -99,24 +99,16 @@ def field_rollups(events: DataFrame, resolutions: Sequence[int] = (1, 60)) -> Da
         F.sum("duration").alias("duration_sum"),
     )
     sums = [c for c in base.columns if c.endswith("_count") or c in ("count", "duration_sum")]
-    if not coarser:
-        return base.withColumn("bucket_seconds", F.lit(finest))
-    levels = F.array(
-        F.struct(F.lit(finest).alias("bucket_seconds"), F.col("bucket_time").alias("bucket_time")),
-        *[
-            F.struct(
-                F.lit(seconds).alias("bucket_seconds"),
-                bucket(F.col("bucket_time"), seconds).alias("bucket_time"),
-            )
-            for seconds in coarser
-        ],
-    )
-    return (
-        base.select("tenant_id", "field_name", "value", F.explode(levels).alias("level"), *sums)
-        .select("tenant_id", "field_name", "value", "level.*", *sums)
-        .groupBy("tenant_id", "field_name", "value", "bucket_time", "bucket_seconds")
-        .agg(*[F.sum(c).alias(c) for c in sums])
-    )
+    result = base.withColumn("bucket_seconds", F.lit(finest))
+    for seconds in coarser:
+        rolled = base.groupBy(
+            "tenant_id",
+            "field_name",
+            "value",
+            bucket(F.col("bucket_time"), seconds).alias("bucket_time"),
+        ).agg(*[F.sum(c).alias(c) for c in sums])
+        result = result.unionByName(rolled.withColumn("bucket_seconds", F.lit(seconds)))
+    return result
 
 
 def nice_interval(target: Column) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.events import signal
 from tidemark.schema import EVENT_COLUMNS
+from tidemark.session import spread
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -89,8 +90,25 @@ def adapt_events(table: DataFrame) -> DataFrame:
     )
 
 
+def flat_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stream table as events, for queries that do not read the payload: it is
+    then never built."""
+    return adapt_events(spread(load(spark, sf_dir, "events")))
+
+
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return adapt_events(load(spark, sf_dir, "events"))
+    """The stream table as events, for queries on the payload."""
+    return _built(adapt_events(spread(load(spark, sf_dir, "events"))))
+
+
+def _built(rows: DataFrame) -> DataFrame:
+    """Build the payload once per row, as if it had been stored.
+
+    It passes through a generator; otherwise the optimizer would repeat building
+    it in every filter and projection that reads it.
+    """
+    rest = [c for c in rows.columns if c != "data"]
+    return rows.select(*rest, F.explode(F.array("data")).alias("data"))
 
 
 def _canonical(rows: DataFrame, data: dict[str, Column]) -> DataFrame:
@@ -115,12 +133,12 @@ def _canonical(rows: DataFrame, data: dict[str, Column]) -> DataFrame:
             kinds |= {"duration_ms": "double"}
             value = F.lit(None).cast(kinds.get(c, "bigint"))
         columns.append(value.alias(c))
-    return rows.select(*columns)
+    return _built(rows.select(*columns))
 
 
 def order_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as ``order.placed`` events of their customers."""
-    orders = load(spark, sf_dir, "orders")
+    orders = spread(load(spark, sf_dir, "orders"))
     rows = orders.select(
         "*",
         F.col("o_orderkey").cast("string").alias("event_id"),
@@ -144,7 +162,7 @@ def order_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def document_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as log events, one a second, with their whole text."""
-    documents = load(spark, sf_dir, "documents")
+    documents = spread(load(spark, sf_dir, "documents"))
     rows = documents.select(
         "*",
         F.col("doc_id").cast("string").alias("event_id"),
@@ -164,7 +182,7 @@ def document_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def turn_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversation turns as events of one trace per conversation."""
-    turns = load(spark, sf_dir, "conversations")
+    turns = spread(load(spark, sf_dir, "conversations"))
     rows = turns.select(
         "*",
         _text(F.col("conv_id"), "/", F.col("turn")).alias("event_id"),
@@ -190,7 +208,7 @@ def span_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     A span lasts as many seconds as its value; every third one never ends.
     """
-    table = load(spark, sf_dir, "events")
+    table = spread(load(spark, sf_dir, "events"))
     event = F.col("event_id")
     iso = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"
     end = F.timestamp_micros(

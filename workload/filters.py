@@ -14,8 +14,7 @@ from tidemark.operators.filters import TimeRange
 from tidemark.plans.definitions import Definition
 from tidemark.plans.facets import Facet
 from tidemark.plans.matchers import alert_matcher, matcher
-from tidemark.session import spread
-from tidemark.sources.star import document_events, events, load
+from tidemark.sources.star import document_events, events, flat_events, load
 from workload.registry import TENANTS, big, ms, query
 
 FROM, TO = "2024-01-08T00:00:00Z", "2024-01-20T12:00:00Z"
@@ -81,7 +80,7 @@ def error_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     count(*) AS events FROM ev GROUP BY ALL""",
 )
 def time_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = events(spark, sf_dir)
+    e = flat_events(spark, sf_dir)
     time = F.col("timestamp")
     return e.groupBy(
         ms(bucket(time, 60)).alias("minute"), ms(bucket(time, 900)).alias("quarter")
@@ -116,7 +115,7 @@ def payload_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     value AS duration_ms FROM ev""",
 )
 def event_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return event_context(events(spark, sf_dir)).select(
+    return event_context(flat_events(spark, sf_dir)).select(
         "event_id", "tenant_id", "trace_id", ms("bucket_time").alias("bucket_ms"),
         F.col("error").alias("failed"), "duration_ms",
     )
@@ -153,7 +152,7 @@ def deduplicated_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     UNION ALL SELECT 'currency', 'string', count(*) FROM ev WHERE currency <> ''""",
 )
 def field_inference(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = normalize.field_inference(spread(events(spark, sf_dir)))
+    found = normalize.field_inference(events(spark, sf_dir))
     return found.select("path", F.array_join("types", ",").alias("types"), "count")
 
 
@@ -193,7 +192,7 @@ _KV = """kv AS (
 
 
 def _index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return indexes.kv_index(spread(events(spark, sf_dir)))
+    return indexes.kv_index(events(spark, sf_dir))
 
 
 @query(
@@ -234,7 +233,7 @@ _TEXT = """txt AS (
 
 @query("text_index", "WITH {EV}, " + _TEXT + " SELECT event_id, signal, text FROM txt")
 def text_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return indexes.text_index(spread(events(spark, sf_dir))).select("event_id", "signal", "text")
+    return indexes.text_index(events(spark, sf_dir)).select("event_id", "signal", "text")
 
 
 _FIELD_VALUES = """fv AS (
@@ -305,7 +304,7 @@ def field_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"WITH {{EV}} SELECT event_id FROM ev WHERE timestamp BETWEEN {TS_FROM} AND {TS_TO}",
 )
 def time_range_inclusive(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ids(flt.in_time(events(spark, sf_dir), TimeRange(FROM, TO)))
+    return ids(flt.in_time(flat_events(spark, sf_dir), TimeRange(FROM, TO)))
 
 
 @query(
@@ -313,21 +312,21 @@ def time_range_inclusive(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"WITH {{EV}} SELECT event_id FROM ev WHERE timestamp >= {TS_FROM} AND timestamp < {TS_TO}",
 )
 def time_window_half_open(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ids(flt.in_window(events(spark, sf_dir), FROM, TO))
+    return ids(flt.in_window(flat_events(spark, sf_dir), FROM, TO))
 
 
 # Facets over the scalar index; the answer is the list of events.
 def _facets(*facets: Facet, time_range: TimeRange | None = None):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         index = _index(spark, sf_dir)
-        return ids(flt.filter_facets(events(spark, sf_dir), facets, index, time_range))
+        return ids(flt.filter_facets(flat_events(spark, sf_dir), facets, index, time_range))
 
     return run
 
 
 def _facets_in_rows(*facets: Facet):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return ids(flt.filter_facets(spread(events(spark, sf_dir)), facets))
+        return ids(flt.filter_facets(flat_events(spark, sf_dir), facets))
 
     return run
 
@@ -396,7 +395,7 @@ query(
 @query("text_filter", _ids_where("country = 'JP'"))
 def text_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = events(spark, sf_dir)
-    return ids(flt.filter_text(e, " Country:jp ", indexes.text_index(spread(e))))
+    return ids(flt.filter_text(e, " Country:jp ", indexes.text_index(e)))
 
 
 @query("selected_group_value", _ids_where("NOT flagged AND (plan = 'pro' OR event_type = 'pro')"))
@@ -492,7 +491,7 @@ def whole_event_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM documents WHERE contains(lower(text), 'license') GROUP BY lang, source""",
 )
 def document_text_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = spread(document_events(spark, sf_dir))
+    e = document_events(spark, sf_dir)
     index = indexes.text_index(e, max_bytes=None)
     hits = flt.filter_text(e, "License", index)
     documents = load(spark, sf_dir, "documents")
@@ -511,7 +510,7 @@ def document_text_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     ORDER BY timestamp DESC, event_id DESC LIMIT 100""",
 )
 def page_newest_first(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pages.page(events(spark, sf_dir), limit=100).select(
+    return pages.page(flat_events(spark, sf_dir), limit=100).select(
         "event_id", ms("timestamp").alias("ms"), "event_type"
     )
 
@@ -523,7 +522,7 @@ def page_newest_first(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def page_after_cursor(spark: SparkSession, sf_dir: str) -> DataFrame:
     cursor = pages.Cursor("after", FROM)
-    return pages.page(events(spark, sf_dir), "desc", cursor, 50).select(
+    return pages.page(flat_events(spark, sf_dir), "desc", cursor, 50).select(
         "event_id", ms("timestamp").alias("ms"), "event_type"
     )
 
@@ -536,7 +535,7 @@ def page_after_cursor(spark: SparkSession, sf_dir: str) -> DataFrame:
     ORDER BY e.timestamp DESC, e.event_id DESC LIMIT 25""",
 )
 def page_around_event(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = events(spark, sf_dir)
+    e = flat_events(spark, sf_dir)
     number = 1234 % e.count()
     at = e.where(F.col("event_id") == str(number)).select(F.max("timestamp")).scalar()
     cursor = pages.Cursor("around", at, str(number))
@@ -559,7 +558,7 @@ def late_hydration(spark: SparkSession, sf_dir: str) -> DataFrame:
     "WITH {EV} SELECT event_id, tenant_id, name, value AS duration_ms FROM ev WHERE event_id = '42'",
 )
 def event_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pages.event_by_id(events(spark, sf_dir), "42").select(
+    return pages.event_by_id(flat_events(spark, sf_dir), "42").select(
         "event_id", "tenant_id", "name", "duration_ms"
     )
 
@@ -574,7 +573,7 @@ def event_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def search_phrase(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = events(spark, sf_dir)
     hits = search.search(
-        indexes.text_index(spread(e)), e, "Country:DE Currency", limit=30, offset=10
+        indexes.text_index(e), e, "Country:DE Currency", limit=30, offset=10
     )
     return hits.select("event_id", ms("timestamp").alias("ms"), "event_type", "snippet")
 

@@ -9,7 +9,6 @@ from tidemark.functions.quantiles import exact_percentiles, sketch_percentiles
 from tidemark.operators import indexes, measures
 from tidemark.operators.cohorts import cohort
 from tidemark.plans.definitions import Definition
-from tidemark.session import spread
 from tidemark.sources.star import events, load
 from workload.registry import TENANTS, money, ms, query
 
@@ -383,7 +382,7 @@ def cohort_restricted_measure(spark: SparkSession, sf_dir: str) -> DataFrame:
         for tenant in TENANTS
     ]
     members = cohort(e, definitions).select("tenant_id", F.col("entity_id").alias("account"))
-    accounts = indexes.kv_index(spread(e)).where(F.col("path") == "account_id")
+    accounts = indexes.kv_index(e).where(F.col("path") == "account_id")
     accounts = accounts.select("tenant_id", "event_id", F.col("string_value").alias("account"))
     points = measures.event_measures(e, measure_definitions()).where(
         F.col("dimension_name") == "plan"

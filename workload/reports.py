@@ -18,7 +18,7 @@ from tidemark.operators import (
     usage,
 )
 from tidemark.plans.definitions import Definition
-from tidemark.sources.star import events, order_events, span_events, turn_events
+from tidemark.sources.star import events, flat_events, order_events, span_events, turn_events
 from workload.measures import DAY, dimension, measure_definitions, path
 from workload.registry import TENANTS, big, money, ms, query
 
@@ -213,7 +213,7 @@ def merged_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
       FROM (SELECT *, lag(tenant_id) OVER (PARTITION BY trace_id ORDER BY n) AS prev FROM ev))""",
 )
 def span_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return traces.span_depth(events(spark, sf_dir)).select(
+    return traces.span_depth(flat_events(spark, sf_dir)).select(
         "tenant_id", "span_id", big("depth").alias("depth")
     )
 
@@ -638,7 +638,7 @@ def top_plans_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def error_bursts(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = usage.threshold_windows(
-        events(spark, sf_dir), F.col("event_type") == "error", 3600, 2, ["service"]
+        flat_events(spark, sf_dir), F.col("event_type") == "error", 3600, 2, ["service"]
     )
     return found.select("service", ms("bucket_time").alias("bucket_ms"), "count")
 

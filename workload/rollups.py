@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators import indexes, rollups
-from tidemark.sources.star import events, load
+from tidemark.sources.star import events, flat_events, load
 from workload.filters import field_definitions
 from workload.registry import big, money, ms, query
 
@@ -17,7 +17,7 @@ from workload.registry import big, money, ms, query
     count(*) FILTER (flagged) AS error_count FROM ev GROUP BY ALL""",
 )
 def event_density_1s(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rollups.event_density(events(spark, sf_dir)).select(
+    return rollups.event_density(flat_events(spark, sf_dir)).select(
         "tenant_id", ms("bucket_time").alias("bucket_ms"), "count", "error_count"
     )
 
@@ -28,7 +28,7 @@ def event_density_1s(spark: SparkSession, sf_dir: str) -> DataFrame:
     count(*) FILTER (failed) AS error_count FROM ev GROUP BY ALL""",
 )
 def event_density_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
-    daily = rollups.event_density(events(spark, sf_dir), 86_400, "materializer")
+    daily = rollups.event_density(flat_events(spark, sf_dir), 86_400, "materializer")
     return daily.select(
         "tenant_id", F.date_format("bucket_time", "yyyy-MM-dd").alias("day"), "count", "error_count"
     )
@@ -51,7 +51,7 @@ def event_density_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM r GROUP BY ALL""",
 )
 def field_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rollups.field_rollups(events(spark, sf_dir)).select(
+    return rollups.field_rollups(flat_events(spark, sf_dir)).select(
         "tenant_id", "field_name", "value", big("bucket_seconds").alias("bucket_seconds"),
         ms("bucket_time").alias("bucket_ms"), "count", "error_count", "analytics_count",
         "duration_count", money("duration_sum").alias("duration_sum"),
@@ -72,7 +72,7 @@ _WIDTH = f"""w AS (SELECT list_filter({_NICE}, lambda i: i >= greatest(span // 1
       count(*) FILTER (failed) AS error_count FROM src, w GROUP BY ms // width * width""",
 )
 def density_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rollups.density(events(spark, sf_dir), 120)
+    return rollups.density(flat_events(spark, sf_dir), 120)
 
 
 @query(
@@ -84,7 +84,7 @@ def density_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
       count(*) FILTER (flagged) AS error_count FROM src, w GROUP BY ms // width * width""",
 )
 def density_histogram_from_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rollups.density(rollups.event_density(events(spark, sf_dir)), 120)
+    return rollups.density(rollups.event_density(flat_events(spark, sf_dir)), 120)
 
 
 def _shape(df: DataFrame) -> DataFrame:
@@ -138,7 +138,7 @@ def groups_field_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     count(*) AS count, count(*) FILTER (flagged) AS error_count FROM ev GROUP BY service""",
 )
 def groups_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _shape(rollups.groups(rollups.field_rollups(events(spark, sf_dir)), "service", "value"))
+    return _shape(rollups.groups(rollups.field_rollups(flat_events(spark, sf_dir)), "service", "value"))
 
 
 # Declared fields come from the parts: every brand is a field definition.

@@ -11,10 +11,9 @@ from tidemark.operators.indexes import kv_index
 from tidemark.operators.usage import job_progress, output_versions, recommendations, usage_hot_shapes
 from tidemark.plans.definitions import latest_definitions
 from tidemark.plans.facets import Facet
-from tidemark.session import spread
 from tidemark.sources.events import export_rows, sequence_number
 from tidemark.sources.sql import query as run_sql
-from tidemark.sources.star import adapt_events, events, load
+from tidemark.sources.star import events, load
 from tidemark.sources.tables import merge_latest
 from workload.registry import big, ms, query
 
@@ -94,7 +93,7 @@ def first_and_last_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def offline_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
     tables = {
-        "wide_events": adapt_events(load(spark, sf_dir, "events")),
+        "wide_events": events(spark, sf_dir),
         "customers": f"{sf_dir}/customer.parquet",
         "nations": [f"{sf_dir}/nation.parquet"],
     }
@@ -153,7 +152,7 @@ def branch_union(spark: SparkSession, sf_dir: str) -> DataFrame:
             Facet("country", "eq", "DE", join="or"),
             Facet("props.k", "eq", "5", join="or"),
         ],
-        kv_index(spread(e)),
+        kv_index(e),
     ).select("event_id")
 
 
