@@ -6,8 +6,10 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import alerts, freshness, normalize, rollups
+from tidemark.operators import alerts, freshness, indexes, normalize, rollups
+from tidemark.operators.filters import filter_facets
 from tidemark.plans.definitions import Definition
+from tidemark.plans.facets import Facet
 from tidemark.sources import events as sources
 from tidemark.sources import sql, tables
 from tidemark.streaming import alerting, ingest, materialize
@@ -394,3 +396,24 @@ def test_workspace_isolation(spark):
     with pytest.raises(ValueError):
         Workspace({}, " ")
     assert Workspace.admin({"events": table})["events"].count() == 2
+
+
+def test_stored_index_answers_the_same(spark, make_events, tmp_path):
+    events = make_events(*[(i, f"2024-01-0{1 + i % 3}T00:00:00Z", {"a": i % 4}) for i in range(30)])
+    path = str(tmp_path / "kv")
+    index = indexes.kv_index(events)
+    indexes.write_kv_index(index, path)
+    stored = spark.read.parquet(path)
+    facets = [Facet("a", "eq", "3")]
+    got = filter_facets(events, facets, stored)
+    assert {r["event_id"] for r in got.collect()} == {str(i) for i in range(30) if i % 4 == 3}
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [" in plan and "path" in plan.split("PushedFilters: [")[1]
+
+
+def test_emptied_day_is_removed(spark, tmp_path):
+    path = str(tmp_path / "t")
+    rows = spark.createDataFrame([(1, "d1"), (2, "d2")], "v int, day string")
+    tables.replace_groups(rows, path, "day", ["d1", "d2"])
+    tables.replace_groups(rows.where("v = 1"), path, "day", ["d1", "d2"])
+    assert [r["v"] for r in spark.read.parquet(path).collect()] == [1]

@@ -284,15 +284,19 @@ def field_stats(events: DataFrame, path: str, exact: bool = False) -> DataFrame:
     )
 
 
-def write_kv_index(index: DataFrame, path: str, partitions: int = 200) -> None:
+def write_kv_index(index: DataFrame, path: str, partitions: int | None = None) -> None:
     """Store the index clustered by (path, value) so that Parquet statistics prune
     lookups; range partitioning by value and time splits a path or value that
-    holds a large share of the rows."""
+    holds a large share of the rows. Without ``partitions`` the session's number
+    applies and AQE puts small ranges together."""
     order = ["path", "value_type", "string_value", "number_value", "timestamp"]
+    dated = index.withColumn("event_date", F.to_date("timestamp"))
+    if partitions is None:
+        ranged = dated.repartitionByRange("event_date", *order)
+    else:
+        ranged = dated.repartitionByRange(partitions, "event_date", *order)
     (
-        index.withColumn("event_date", F.to_date("timestamp"))
-        .repartitionByRange(partitions, "event_date", *order)
-        .sortWithinPartitions("event_date", *order)
+        ranged.sortWithinPartitions("event_date", *order)
         .write.mode("overwrite")
         .option("parquet.bloom.filter.enabled#event_id", "true")
         .partitionBy("event_date")

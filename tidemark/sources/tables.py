@@ -16,7 +16,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.schema import COMMITS
+from tidemark.schema import COMMITS, EVENTS
 from tidemark.sources.events import read_events, write_events
 
 SMALL_FILE_BYTES = 128 * 1024 * 1024
@@ -88,13 +88,23 @@ def committed_files(ledger: DataFrame) -> DataFrame:
     )
 
 
-def read_committed(spark: SparkSession, root: str, after_sequence: int = 0) -> DataFrame:
-    """Events of all commits (or those after a sequence number), each file once."""
+def read_committed(
+    spark: SparkSession,
+    root: str,
+    after_sequence: int = 0,
+    days: Sequence[dt.date] | None = None,
+) -> DataFrame:
+    """Events of all commits (or those after a sequence number), each file once.
+
+    ``days`` keeps only the files of these days; files hold one day each.
+    """
     ledger = read_ledger(spark, root).where(F.col("sequence") > after_sequence)
-    files = [row[0] for row in committed_files(ledger).select("data_file").collect()]
+    found = committed_files(ledger).select("data_file")
+    if days is not None:
+        day = F.regexp_extract("data_file", r"event_date=(\d{4}-\d{2}-\d{2})", 1)
+        found = found.where(day.isin([d.isoformat() for d in days]))
+    files = [row[0] for row in found.collect()]
     if not files:
-        from tidemark.schema import EVENTS
-
         return spark.createDataFrame([], EVENTS)
     return read_events(spark, files).drop("event_date")
 
@@ -155,17 +165,22 @@ def replace_groups(
 ) -> None:
     """Overwrite whole partitions with recomputed rows; other partitions stay.
 
-    ``touched`` lists the recomputed partitions. Those that come out empty are
-    emptied by writing an empty partition folder.
+    ``touched`` lists the recomputed partitions; those that come out empty are
+    removed. Which ones were written is observed during the write itself.
     """
     spark = rows.sparkSession
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
-        partition_by
-    ).parquet(path)
+    seen = Observation()
+    (
+        rows.observe(seen, F.collect_set(F.col(partition_by).cast("string")).alias("written"))
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy(partition_by)
+        .parquet(path)
+    )
+    written = set(seen.get["written"])
     for value in touched or []:
-        found = rows.where(F.col(partition_by) == F.lit(value)).limit(1).count()
         files, location = _hadoop(spark, f"{path}/{partition_by}={value}")
-        if not found and files.exists(location):
+        if str(value) not in written and files.exists(location):
             files.delete(location, True)
 
 

@@ -76,23 +76,13 @@ def _refresh(spark: SparkSession, root: str, table: DerivedTable, reached: int)
     days = [r[0] for r in fresh.select(F.to_date("timestamp").alias("d")).distinct().collect()]
     if not days:
         return
-    start = min(days)
-    end = max(days) + dt.timedelta(days=1)
+    # Files hold one day each, so only the touched days are read.
     day = F.to_date("timestamp")
-    events = dedupe_events(
-        in_window(read_committed(spark, root), *_bounds(start, end)).where(day.isin(days))
-    )
+    events = dedupe_events(read_committed(spark, root, days=days).where(day.isin(days)))
     rows = table.build(events).withColumn("bucket_date", F.to_date(table.time))
     replace_groups(rows, f"{root}/tables/{table.name}", "bucket_date", days)
 
 
-def _bounds(start: dt.date, end: dt.date) -> tuple[dt.datetime, dt.datetime]:
-    return (
-        dt.datetime.combine(start, dt.time()),
-        dt.datetime.combine(end, dt.time()),
-    )
-
-
 def read_derived(spark: SparkSession, root: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{root}/tables/{name}").drop("bucket_date")
 

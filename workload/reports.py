@@ -19,7 +19,7 @@ from tidemark.operators import (
 )
 from tidemark.plans.definitions import Definition
 from tidemark.sources.star import events, flat_events, order_events, span_events, turn_events
-from workload.measures import DAY, dimension, measure_definitions, path
+from workload.measures import DAY, cube_definitions, dimension, measure_definitions, path
 from workload.registry import TENANTS, big, money, ms, query
 
 
@@ -725,3 +725,54 @@ def recent_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.recent_alerts(found, 20, severity="critical").select(
         "alert_id", "event_id", ms("triggered_at").alias("ms")
     )
+
+
+# What the serving tables hold.
+@query(
+    "measure_catalogue",
+    """WITH {EV} SELECT ev.tenant_id, 'latency' AS id, min(ms // 86400000 * 86400000) AS first_ms,
+      max(ms // 86400000 * 86400000) AS last_ms,
+      CASE WHEN max(currency) <> '' THEN 'currency,plan,plan_route' ELSE 'plan,plan_route' END
+        AS names,
+      CAST(2 * count(*) + count(*) FILTER (currency <> '') AS BIGINT) AS rows
+    FROM ev GROUP BY ev.tenant_id""",
+)
+def measure_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points = measures.measure_cube_points(events(spark, sf_dir), cube_definitions())
+    return reports.catalogue(points, "cube").select(
+        "tenant_id", "id", ms("first_time").alias("first_ms"), ms("last_time").alias("last_ms"),
+        F.array_join("dimension_names", ",").alias("names"), "rows",
+    )
+
+
+@query(
+    "cohort_catalogue",
+    """WITH {EV} SELECT tenant_id, 'buyers' AS id, min(ms) AS first_ms, max(ms) AS last_ms,
+    count(DISTINCT user_id) AS rows, count(DISTINCT user_id) AS entities,
+    CAST(2 AS BIGINT) AS latest_version FROM ev WHERE event_type = 'purchase'
+    GROUP BY tenant_id""",
+)
+def cohort_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    members = cohorts.cohort(events(spark, sf_dir), cohort_definitions())
+    return reports.catalogue(members, "cohort").select(
+        "tenant_id", "id", ms("first_time").alias("first_ms"), ms("last_time").alias("last_ms"),
+        "rows", "entities", "latest_version",
+    )
+
+
+@query(
+    "sequence_catalogue",
+    "SELECT tenant_id, 'buy' AS id, min(bucket_ms) AS first_ms, max(bucket_ms) AS last_ms,"
+    " count(*) AS rows, array_to_string(list_sort(list_distinct(list(step_name))), ',') AS steps"
+    " FROM ("
+    + _funnel_sql(
+        "tenant_id, bucket_ms, plan", "ms // 86400000 * 86400000", "tenant_id, bucket_ms, plan"
+    )
+    + ") GROUP BY tenant_id",
+)
+def sequence_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = sequences.sequence_report(events(spark, sf_dir), sequence_definitions())
+    return reports.catalogue(stored, "sequence").select(
+        "tenant_id", "id", ms("first_time").alias("first_ms"), ms("last_time").alias("last_ms"),
+        "rows", F.array_join("steps", ",").alias("steps"),
+    )

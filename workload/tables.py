@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.operators.filters import filter_facets
 from tidemark.operators.freshness import covering_versions
 from tidemark.operators.indexes import kv_index
+from tidemark.operators.reports import definition_catalogue
 from tidemark.operators.usage import job_progress, output_versions, recommendations, usage_hot_shapes
 from tidemark.plans.definitions import latest_definitions
 from tidemark.plans.facets import Facet
@@ -285,3 +286,17 @@ def versions_covering_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     return covering_versions(
         marks, "t0", "report", "1995-01-01T00:00:00Z", "1996-01-01T00:00:00Z"
     )
+
+
+@query(
+    "definition_catalogue",
+    """SELECT 't' || (c % 4) AS tenant_id, 'field' AS kind, count(*) AS definitions,
+    max(v) AS latest_version FROM (
+      SELECT o_custkey AS c, max(o_orderkey) AS v, arg_max(o_orderstatus, o_orderkey) AS s
+      FROM orders GROUP BY o_custkey, o_orderpriority) WHERE s <> 'F' AND v % 10 <> 0
+    GROUP BY c % 4""",
+)
+def active_definition_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return definition_catalogue(_definitions(spark, sf_dir)).select(
+        "tenant_id", "kind", "definitions", "latest_version"
+    )
