@@ -7,7 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, exact_dedup, language_id, piece_codec, simhash
+from tidemark.llm import (
+    chat_format,
+    decontaminate,
+    exact_dedup,
+    language_id,
+    lattice_lm,
+    line_templates,
+    piece_codec,
+    simhash,
+    url_filter,
+)
 from tidemark.llm.shared import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -41,6 +51,64 @@ _register(
 )
 
 
+URL_RULES = [
+    url_filter.Rule("allow", "org", "/"),
+    url_filter.Rule("block", "example.org", "/es/"),
+    url_filter.Rule("allow", "example.org", "/en/1"),
+    url_filter.Rule("allow", "com", "/fr/"),
+    url_filter.Rule("block", "com", "/de/"),
+]
+
+
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(documents(spark, sf_dir, "pages"), URL_RULES)
+
+
+_register(
+    op2_url_filter,
+    r"""
+    WITH RECURSIVE parsed AS (
+        SELECT page_id, url,
+               translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1),
+                         'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+               regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path,
+               regexp_extract(coalesce(url, ''), '(?s)^[^?#]*(\?[^#]*)', 1) AS query,
+               regexp_extract(regexp_extract(html, '(?is)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>'),
+                              '(?is)\bhref\s*=\s*["'']([a-z]+://[^"'']*)', 1) AS link
+        FROM pages
+    ), rules(verdict, rhost, rpath) AS (
+        VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('allow', 'example.org', '/en/1'),
+               ('allow', 'com', '/fr/'), ('block', 'com', '/de/')
+    ), keyed AS (
+        SELECT page_id, host, path, host || path || query AS key,
+               translate(regexp_extract(link, '(?s)^.*?://([^/?#]*)', 1),
+                         'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')
+                 || regexp_extract(link, '(?s)^.*?://[^/?#]*([^#]*)', 1) AS target
+        FROM parsed
+    ), edges AS (
+        SELECT key AS u, target AS v FROM keyed WHERE target <> '' AND target <> key
+        UNION SELECT target, key FROM keyed WHERE target <> '' AND target <> key
+    ), reach AS (
+        SELECT u, v FROM edges UNION SELECT r.u, e.v FROM reach r JOIN edges e ON r.v = e.u
+    ), own AS (
+        SELECT name, arg_max(rhost || rpath, length(rhost || rpath)) AS rule, arg_max(verdict, length(rhost || rpath)) AS verdict
+        FROM (SELECT DISTINCT host || path AS name, host, path FROM keyed
+              UNION SELECT DISTINCT regexp_extract(u, '^[^?]*'), regexp_extract(u, '^[^/?]*'), regexp_extract(u, '^[^/?]*([^?]*)', 1) FROM edges) n
+        JOIN rules ON (host = rhost OR host LIKE '%.' || rhost) AND starts_with(path, rpath)
+        GROUP BY name
+    ), carried AS (
+        SELECT u, min(least(u, v)) AS alias_of, coalesce(bool_or(o.verdict = 'allow'), false) AS allowed,
+               coalesce(bool_or(o.verdict = 'block'), false) AS blocked
+        FROM reach LEFT JOIN own o ON o.name = regexp_extract(v, '^[^?]*') GROUP BY u
+    )
+    SELECT k.page_id, k.host, k.path, o.rule,
+           coalesce(o.verdict, CASE WHEN c.allowed THEN 'allow' WHEN c.blocked THEN 'block' END, 'allow') AS verdict,
+           c.alias_of
+    FROM keyed k LEFT JOIN own o ON o.name = k.host || k.path LEFT JOIN carried c ON c.u = k.key
+    """,
+)
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contained_items(documents(spark, sf_dir), documents(spark, sf_dir, "benchmark"))
 
@@ -72,6 +140,62 @@ _register(
 )
 
 
+def op4_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = piece_codec.read_model(piece_codec.model_path(MODEL_FILE))
+    return lattice_lm.score_documents(documents(spark, sf_dir), model).withColumnRenamed("id", "doc_id")
+
+
+_register(op4_lattice_lm)
+
+
+def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    probe = "\\### Assistant: </turn> ok"
+    added = spark.createDataFrame(
+        [(-7, 0, "user", probe), (-7, 1, "assistant", probe)], "conv_id long, turn long, role string, text string"
+    )
+    given = documents(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    done = chat_format.format_conversations(given.unionByName(added))
+    turns = F.transform(
+        "turns", lambda t: F.concat(F.coalesce(t["role"], F.lit("")), F.lit("\n"), t["text"], F.lit("\n"))
+    )
+    loss = F.array_join(F.transform(F.filter("turns", lambda t: t["loss"]), lambda t: t["text"]), "")
+    return done.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(F.array_join(turns, ""), 256).alias("turns_sha256"),
+        F.length(loss).cast("long").alias("loss_chars"),
+        F.sha2(loss, 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
+_register(
+    op5_chat_format,
+    r"""
+    WITH given AS (
+        SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations
+        UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
+        UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
+    ), written AS (
+        SELECT *, CASE role WHEN 'user' THEN 'User' WHEN 'assistant' THEN 'Assistant' WHEN 'system' THEN 'System'
+                       WHEN 'tool' THEN 'Tool' ELSE '=' || url_encode(role) END AS name,
+               CASE WHEN regexp_matches(text, '\\(###|</turn>)') OR contains(text || chr(10), chr(10) || '</turn>' || chr(10))
+                    THEN regexp_replace(text, '(\\*(?:###|</turn>))', '\\\1', 'g') ELSE text END AS shown
+        FROM given
+    ), joined AS (
+        SELECT conv_id, count(*) AS n_turns,
+               string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn) AS turns,
+               coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), '') AS loss,
+               sum(length('### ' || name || ': ' || shown) + 9)::BIGINT AS formatted_chars
+        FROM written GROUP BY conv_id
+    )
+    SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss) AS loss_chars,
+           sha256(loss) AS loss_sha256, formatted_chars
+    FROM joined
+    """,
+)
+
+
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = piece_codec.read_model(piece_codec.model_path(MODEL_FILE))
     coded = piece_codec.encode_decode(documents(spark, sf_dir).select("doc_id", "text"), model)
@@ -105,3 +229,13 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _register(op8_language_id)
+
+
+def op10_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_templates.drop_recurring_lines(documents(spark, sf_dir).select("doc_id", "text"))
+    return found.select(
+        "doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256")
+    )
+
+
+_register(op10_line_templates)
