@@ -300,7 +300,14 @@ def score_documents(
         counts.select("word", "n", *names).mapInArrow(rate, f"word binary, n long, known boolean, base double, {doubles}"),
         "rated-words",
     )
-    top = rated.orderBy(F.desc("n"), "word").limit(head_words).collect()
+    # How many words have each count tells the least count whose words are few enough.
+    least, held = None, 0
+    for row in rated.groupBy("n").count().orderBy(F.desc("n")).limit(head_words).collect():
+        held += row["count"]
+        if held > head_words:
+            break
+        least = row["n"]
+    top = rated.where(F.col("n") >= least).collect() if least else []
     table = np.array([[r["known"], r["base"], *(r[s] for s in scores)] for r in top]).reshape(-1, 2 + len(scores))
     end = np.array(
         [n_docs > 0, (log(n_docs + 0.5) - norm) / LOG10, *log_mixed(np.array(ends)[used], learned[:, -1])]

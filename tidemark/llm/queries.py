@@ -16,6 +16,7 @@ from tidemark.llm import (
     line_templates,
     piece_codec,
     simhash,
+    suffix_dedup,
     url_filter,
 )
 from tidemark.llm.shared import documents
@@ -231,6 +232,16 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 _register(op8_language_id)
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.remove_repeats(documents(spark, sf_dir))
+    return found.select(
+        F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
+_register(op9_suffix_dedup)
+
+
 def op10_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = line_templates.drop_recurring_lines(documents(spark, sf_dir).select("doc_id", "text"))
     return found.select(
