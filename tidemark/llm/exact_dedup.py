@@ -12,6 +12,8 @@ STATE_STORE = {
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "200",
+    # Else each partition of the state reserves some megabytes for its manifest.
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }
 
 
@@ -113,7 +115,8 @@ def duplicates(
         F.col("_metadata.row_index").alias("row"),
         F.coalesce(docs[text_col], F.lit("")).alias("text"),
     )
-    content = text.join(hits, ["file", "row"])
+    # Hits grow with the input, so they are never broadcast; the texts are shuffled once.
+    content = text.join(hits.hint("merge"), ["file", "row"])
     different = written(
         content.select("digest", "text").distinct().groupBy("digest").count().where("count > 1").select("digest"),
         "collisions",
