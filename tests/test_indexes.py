@@ -83,7 +83,7 @@ def test_kv_index_matches_brute_force(make_events):
 
 def test_kv_caps(make_events):
     events = make_events((1, T0, {"b": list(range(10)), "a": "x" * 2000, "z": 1}))
-    rows = rows_of(indexes.kv_index(events, max_rows=4))
+    rows = rows_of(indexes.kv_index(events, max_rows=4, max_string=1024))
     assert [(r[0], r[3]) for r in rows] == [("b", 0.0), ("b", 1.0), ("b", 2.0), ("b", 3.0)]
 
 

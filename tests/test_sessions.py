@@ -1,123 +1,84 @@
-"""A deterministic product-analytics workload whose answers are plain arithmetic.
+"""A lending library whose loans come from a seeded generator, counted in plain Python.
 
-Session i signs up, may start a checkout, pay and complete, and reports a latency
-metric; all values are functions of i.
+Members join, search, borrow, maybe renew, and give back or not; each return reports
+how many days the loan took. What Spark finds must equal what the generator noted down.
 """
 
+import random
+from collections import Counter, defaultdict
+
 import pytest
-from pyspark.sql import functions as F
 
+from tidemark.functions.quantiles import sketch_percentiles
 from tidemark.operators import cohorts, indexes, measures, sequences
 from tidemark.operators.filters import filter_facets
 from tidemark.plans.definitions import Definition
 from tidemark.plans.facets import Facet
-from tidemark.sources.events import to_canonical
-
-N = 10_000
-PLANS = ["free", "pro", "enterprise"]
-ROUTES = ["/checkout", "/cart", "/home", "/pay"]
-STEPS = ["signup", "checkout_started", "payment", "completed"]
-
-
-def plan(i):
-    return PLANS[i % 3]
-
-
-def route(i):
-    return ROUTES[(7 * i + 1) % 4]
-
 
-def latency(i):
-    extra = {"enterprise": 70, "pro": 35, "free": 0}[plan(i)]
-    model = 20 if (11 * i + 2) % 3 == 0 else 0
-    return 80 + 37 * i % 900 + extra + (45 if route(i) == "/checkout" else 0) + model
+BRANCHES = {"harbour": 5, "hill": 3, "mill": 1}
+SHELVES = ("maps", "novels", "scores")
+PATH = ("searched", "borrowed", "returned")
 
 
-def reached(i):
-    if i % 10 == 9:
-        return 1
-    if i % 5 == 4:
-        return 2
-    return 3 if i % 4 == 3 else 4
+def kind_is(name):
+    return {"path": "event_type", "value": name}
 
 
 @pytest.fixture(scope="module")
-def events(spark):
-    i = F.col("id")
-    pick = lambda values, index: F.element_at(F.array(*map(F.lit, values)), (index + 1).cast("int"))
-    base = (F.lit(1_780_614_000_000) + F.floor(i / 250) * 60_000 + i % 750).cast("bigint")
-    p, r = pick(PLANS, i % 3), pick(ROUTES, (7 * i + 1) % 4)
-    value = (
-        F.lit(80) + (37 * i) % 900
-        + F.when(p == "enterprise", 70).when(p == "pro", 35).otherwise(0)
-        + F.when(r == "/checkout", 45).otherwise(0)
-        + F.when((11 * i + 2) % 3 == 0, 20).otherwise(0)
-    )
-    deepest = F.when(i % 10 == 9, 1).when(i % 5 == 4, 2).when(i % 4 == 3, 3).otherwise(4)
-    kinds = F.array(*[F.struct(F.lit(k).alias("step"), F.lit(s).alias("kind")) for k, s in enumerate(STEPS)])
-    metric = F.array(F.struct(F.lit(4).alias("step"), F.lit("metric").alias("kind")))
-    rows = spark.range(N).select(
-        "*", base.alias("ms"), p.alias("plan"), r.alias("route"), value.alias("value"),
-        F.explode(F.concat(F.slice(kinds, F.lit(1), deepest), metric)).alias("e"),
-    )
-    data = F.to_json(
-        F.struct(
-            F.lit("t").alias("tenant_id"), F.col("e.kind").alias("event_type"),
-            F.concat(F.lit("acct_"), i.cast("string")).alias("account_id"), "plan",
-            F.col("route").alias("http.route"),
-            F.when(F.col("e.kind") == "metric", F.col("value")).alias("metric_value"),
-        )
-    )
-    raw = rows.select(
-        F.concat_ws("-", i.cast("string"), F.col("e.step").cast("string")).alias("event_id"),
-        F.timestamp_millis(F.col("ms") + F.col("e.step") * 10_000).alias("timestamp"),
-        data.alias("data"),
-    )
-    return to_canonical(raw).cache()
-
-
-def test_measure_by_plan_and_route(events):
-    config = {
-        "match": {"all": [{"path": "event_type", "value": "metric"}]},
-        "outputs": [{"target": "measure_cube_rollups", "measure_name": "latency",
-                     "value": {"path": "metric_value"}, "bucket_seconds": 300,
-                     "dimension_sets": [{"id": "pr", "dimensions": [
-                         {"name": "plan", "value": {"path": "plan"}},
-                         {"name": "route", "value": {"path": "http.route"}}]}]}],
+def library(make_events):
+    rng = random.Random(20240229)
+    rows, depth, days, fans = [], Counter(), defaultdict(list), set()
+    for member in range(700):
+        branch = rng.choices(list(BRANCHES), BRANCHES.values())[0]
+        minute = rng.randrange(0, 600)
+        shelf = rng.choice(SHELVES)
+        stages = 1 + (rng.random() < 0.7) + 0
+        stages += stages == 2 and rng.random() < 0.6
+        for stage, name in enumerate(PATH[:stages]):
+            depth[branch, stage] += 1
+            at = f"2024-02-29T{(minute + 15 * stage) // 60:02d}:{(minute + 15 * stage) % 60:02d}:07Z"
+            payload = {"event_type": name, "member": f"m{member}", "branch": branch, "loan": {"shelf": shelf}}
+            if name == "returned":
+                payload["loan"]["days"] = rng.randint(1, 40)
+                days[branch, shelf].append(payload["loan"]["days"])
+                if shelf == "maps":
+                    fans.add(f"m{member}")
+            rows.append((f"{member}/{name}", at, payload))
+    return make_events(*rows).cache(), depth, days, fans
+
+
+def test_loan_days_by_branch_and_shelf(library):
+    events, _, days, _ = library
+    output = {
+        "target": "measure_cube_rollups", "measure_name": "days", "value": {"path": "loan.days"}, "bucket_seconds": 3600,
+        "dimension_sets": [{"id": "where", "dimensions": [
+            {"name": "branch", "value": {"path": "branch"}}, {"name": "shelf", "value": {"path": "loan.shelf"}}]}],
     }
-    points = measures.measure_cube_points(events, [Definition("d", "measure", config, "t", "latency", "cube")])
+    config = {"match": {"all": [kind_is("returned")]}, "outputs": [output]}
+    points = measures.measure_cube_points(events, [Definition("loans", "measure", config, "t", "days", "cube")])
     rolled = measures.merge_rollups(measures.measure_cube_rollups(points), ["dimension_values"])
-    from tidemark.functions.quantiles import sketch_percentiles
-
-    got = {tuple(r["dimension_values"]): r for r in rolled.select(
-        "dimension_values", "count", "sum", *sketch_percentiles("quantiles_state")).collect()}
-    want = {}
-    for i in range(N):
-        want.setdefault((plan(i), route(i)), []).append(latency(i))
-    assert set(got) == set(want)
-    for key, values in want.items():
-        assert (got[key]["count"], got[key]["sum"]) == (len(values), sum(values))
-        p90 = sorted(values)[int(0.9 * (len(values) - 1))]
-        assert abs(got[key]["p90"] - p90) <= max(25, 0.08 * p90)
-
-
-def test_funnel_by_plan(events):
-    steps = [sequences.Step(s, {"all": [{"path": "event_type", "value": s}]}) for s in STEPS]
-    rows = sequences.funnel(events, steps, "account_id", {"plan": "plan"}).collect()
-    got = {(r["plan"], r["step_index"]): r["entity_count"] for r in rows}
-    want = {}
-    for i in range(N):
-        for s in range(reached(i)):
-            want[plan(i), s] = want.get((plan(i), s), 0) + 1
-    assert got == want
-
-
-def test_cohort_size_and_index_parity(events):
-    match = {"all": [{"path": "event_type", "value": "completed"}, {"path": "plan", "value": "pro"}]}
-    config = {"match": match, "outputs": [{"entity_type": "account", "entity_id": {"path": "account_id"}}]}
-    members = cohorts.cohort(events, [Definition("c", "cohort", config, "t", "pro_completed")])
-    want = sum(plan(i) == "pro" and reached(i) == 4 for i in range(N))
-    assert members.count() == want
-    index = indexes.kv_index(events)
-    facets = [Facet("event_type", "eq", "completed"), Facet("plan", "eq", "pro")]
-    assert filter_facets(events, facets, index).count() == want
+    found = rolled.select("dimension_values", "count", "sum", *sketch_percentiles("quantiles_state")).collect()
+    assert {tuple(r["dimension_values"]): (r["count"], r["sum"]) for r in found} == {
+        place: (len(seen), sum(seen)) for place, seen in days.items()
+    }
+    for row in found:
+        seen = sorted(days[tuple(row["dimension_values"])])
+        rank = sum(d <= row["p90"] for d in seen) / len(seen)
+        assert rank >= 0.85 and sum(d < row["p90"] for d in seen) / len(seen) <= 0.95
+
+
+def test_loan_funnel_by_branch(library):
+    events, depth, _, _ = library
+    steps = [sequences.Step(name, {"all": [kind_is(name)]}) for name in PATH]
+    rows = sequences.funnel(events, steps, "member", {"branch": "branch"}).collect()
+    assert {(r["branch"], r["step_index"]): r["entity_count"] for r in rows} == dict(depth)
+
+
+def test_map_readers_as_cohort_and_as_filter(library):
+    events, _, _, fans = library
+    match = {"all": [kind_is("returned"), {"path": "loan.shelf", "value": "maps"}]}
+    config = {"match": match, "outputs": [{"entity_type": "member", "entity_id": {"path": "member"}}]}
+    members = cohorts.cohort(events, [Definition("maps", "cohort", config, "t", "map_readers")])
+    assert {r["entity_id"] for r in members.collect()} == fans
+    facets = [Facet("event_type", "eq", "returned"), Facet("loan.shelf", "eq", "maps")]
+    assert filter_facets(events, facets, indexes.kv_index(events)).count() == len(fans)

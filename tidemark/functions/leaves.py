@@ -111,17 +111,22 @@ def _scalars_sql(payload: str, depth: int, row: str, where: str = "true") -> str
 
 
 def index_rows(
-    max_rows: int, max_string: int, payload: str = "data", depth: int = DEFAULT_DEPTH
+    max_rows: int | None = None,
+    max_string: int | None = None,
+    payload: str = "data",
+    depth: int = DEFAULT_DEPTH,
 ) -> Column:
-    """Leaves as rows of the scalar index: over-long strings skipped, repeats removed,
-    capped in key order.
+    """Leaves as rows of the scalar index, repeats removed; all of them unless the caller
+    skips strings over ``max_string`` bytes or keeps ``max_rows`` in key order.
 
     Structs (path, value_type, string_value, number_value, bool_value, scope_path,
     scope_index).
     """
-    fits = f"(n.kind <> 'STRING' or octet_length(cast(n.value as string)) <= {int(max_string)})"
-    rows = _scalars_sql(payload, depth, _INDEX_ROW, fits)
-    return F.expr(f"slice(array_distinct({rows}), 1, {int(max_rows)})")
+    fits = "true"
+    if max_string is not None:
+        fits = f"(n.kind <> 'STRING' or octet_length(cast(n.value as string)) <= {int(max_string)})"
+    rows = f"array_distinct({_scalars_sql(payload, depth, _INDEX_ROW, fits)})"
+    return F.expr(rows if max_rows is None else f"slice({rows}, 1, {int(max_rows)})")
 
 
 def text_terms(payload: str = "data", depth: int = DEFAULT_DEPTH) -> Column:

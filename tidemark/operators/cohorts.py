@@ -57,16 +57,17 @@ def cohort_query(
     *,
     version: int | None = None,
     entity_type: str = "",
-    limit: int = 1000,
+    limit: int | None = None,
 ) -> DataFrame:
-    """Members of a cohort by first time seen."""
+    """Members of a cohort by first time seen; all of them without a limit."""
     rows = members.where(F.col("cohort_id") == cohort_id)
     if version is not None:
         rows = rows.where(F.col("cohort_version") == version)
     if entity_type:
         rows = rows.where(F.col("entity_type") == entity_type)
     order = [F.col("first_seen").asc(), F.col("entity_id").asc()]
-    return rows.orderBy(*order).limit(max(1, min(limit, 10_000)))
+    rows = rows.orderBy(*order)
+    return rows if limit is None else rows.limit(limit)
 
 
 def retention(

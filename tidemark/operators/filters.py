@@ -17,7 +17,6 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.leaves import index_rows
 from tidemark.functions.paths import Fields
-from tidemark.operators.indexes import MAX_ROWS_PER_EVENT, MAX_STRING_BYTES
 from tidemark.plans.facets import Facet, branches, facet_path, leaf_condition
 
 EVENT_KEY = ["tenant_id", "event_id"]
@@ -146,7 +145,7 @@ def _flag_rows(index: DataFrame, flags: _Flags) -> DataFrame:
     for scope, members in flags.scoped:
         for facet in members:
             wanted = wanted | (
-                (F.col("scope_path") == scope) & leaf_condition(facet, scoped=False)
+                (plain_scope(F.col("scope_path")) == scope) & leaf_condition(facet, scoped=False)
             )
     hits = index.where(wanted)
     plain = [F.bool_or(leaf_condition(f)).alias(f"plain_{i}") for i, f in enumerate(flags.plain)]
@@ -158,7 +157,7 @@ def _flag_rows(index: DataFrame, flags: _Flags) -> DataFrame:
     for i, (scope, members) in enumerate(flags.scoped):
         every = F.lit(True)
         for j, facet in enumerate(members):
-            test = (F.col("scope_path") == scope) & leaf_condition(facet, scoped=False)
+            test = (plain_scope(F.col("scope_path")) == scope) & leaf_condition(facet, scoped=False)
             elements.append(F.bool_or(test).alias(f"element_{i}_{j}"))
             every = every & F.col(f"element_{i}_{j}")
         scoped.append(F.bool_or(every).alias(f"scoped_{i}"))
@@ -208,6 +207,11 @@ def filter_facets(
     return events.join(per_event.where(holds), EVENT_KEY, "left_semi")
 
 
+def plain_scope(scope_path: Column) -> Column:
+    """The array a leaf is in as facets spell it, without brackets of outer arrays."""
+    return F.replace(scope_path, F.lit("[]"), F.lit(""))
+
+
 def _filter_rows(events: DataFrame, flags: _Flags) -> DataFrame:
     def part(leaf: Column) -> Callable[[str], Column]:
         return lambda name: leaf[name]
@@ -215,7 +219,7 @@ def _filter_rows(events: DataFrame, flags: _Flags) -> DataFrame:
     def same_element(leaves: Column, scope: str, first: Column, facet: Facet) -> Column:
         return F.exists(
             leaves,
-            lambda other: (other["scope_path"] == scope)
+            lambda other: (plain_scope(other["scope_path"]) == scope)
             & (other["scope_index"] == first["scope_index"])
             & leaf_condition(facet, part(other), False),
         )
@@ -228,7 +232,7 @@ def _filter_rows(events: DataFrame, flags: _Flags) -> DataFrame:
             scope, members = flags.scoped[which]
 
             def element_fits(first: Column) -> Column:
-                fits = first["scope_path"] == scope
+                fits = plain_scope(first["scope_path"]) == scope
                 fits = fits & leaf_condition(members[0], part(first), False)
                 for facet in members[1:]:
                     fits = fits & same_element(leaves, scope, first, facet)
@@ -239,7 +243,7 @@ def _filter_rows(events: DataFrame, flags: _Flags) -> DataFrame:
         return flags.expression(flag)
 
     # The lambda names the leaves, so the payload is flattened once per row.
-    rows = index_rows(MAX_ROWS_PER_EVENT, MAX_STRING_BYTES)
+    rows = index_rows()
     return events.where(F.exists(F.array(rows), holds))
 
 

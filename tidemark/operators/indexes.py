@@ -17,10 +17,6 @@ from tidemark.plans.definitions import Definition, of_tenant
 from tidemark.plans.exprs import path_of, paths_in, scalar_text, string_expr
 from tidemark.plans.matchers import matcher
 
-MAX_ROWS_PER_EVENT = 2048
-MAX_STRING_BYTES = 1024
-MAX_TEXT_BYTES = 131_072
-
 # The payload paths served as identifiers.
 IDENTIFIERS = (
     "trace_id", "span_id", "request_id", "user_id", "anonymous_id", "account_id",
@@ -34,15 +30,15 @@ def _identified(events: DataFrame) -> DataFrame:
 
 def kv_index(
     events: DataFrame,
-    max_rows: int = MAX_ROWS_PER_EVENT,
-    max_string: int = MAX_STRING_BYTES,
+    max_rows: int | None = None,
+    max_string: int | None = None,
     depth: int = DEFAULT_DEPTH,
 ) -> DataFrame:
     """One row per distinct scalar of each event, typed, with its array scope.
 
-    The caps are per event and part of the index's definition: strings over
-    ``max_string`` bytes are skipped, and at most ``max_rows`` rows are kept in
-    key order.
+    Whole events are indexed. A caller may choose a smaller index: strings over
+    ``max_string`` bytes are then skipped, and at most ``max_rows`` rows of an event
+    are kept in key order; such an index answers for what it holds only.
     """
     rows = index_rows(max_rows, max_string, depth=depth)
     return _identified(events).select(
@@ -81,11 +77,11 @@ def _clip_bytes(text: Column, limit: int) -> Column:
 
 
 def text_index(
-    events: DataFrame, max_bytes: int | None = MAX_TEXT_BYTES, depth: int = DEFAULT_DEPTH
+    events: DataFrame, max_bytes: int | None = None, depth: int = DEFAULT_DEPTH
 ) -> DataFrame:
     """One searchable text per event: ``path:value`` terms, ids first.
 
-    ``max_bytes=None`` keeps whole texts.
+    Texts are whole unless the caller sets ``max_bytes``.
     """
     ids = F.array(
         *[

@@ -15,7 +15,6 @@ from tidemark.plans.exprs import dimension_map, named_values, number_expr, strin
 from tidemark.plans.matchers import matcher
 
 REPORT_KEYS = ["tenant_id", "report_id", "report_version", "bucket_time", "dimensions"]
-MAX_ROWS = 10_000
 
 _METRIC_OPS = {"count": "count", "error_count": "errors", "count_errors": "errors", "sum": "sum"}
 
@@ -122,16 +121,17 @@ def report_query(
     start: Time | None = None,
     end: Time | None = None,
     filters: dict[str, str] | None = None,
-    limit: int = 1000,
+    limit: int | None = None,
 ) -> DataFrame:
-    """Stored rows of one report by time and dimensions, oldest first."""
+    """Stored rows of one report by time and dimensions, oldest first; all without a limit."""
     rows = results.where(F.col("report_id") == report_id)
     if version is not None:
         rows = rows.where(F.col("report_version") == version)
     rows = in_time(rows, TimeRange(start, end), column="bucket_time")
     rows = filter_dimensions(rows, filters or {})
     order = [F.col("bucket_time").asc(), F.to_json("dimensions").asc()]
-    return rows.orderBy(*order).limit(max(1, min(limit, MAX_ROWS)))
+    rows = rows.orderBy(*order)
+    return rows if limit is None else rows.limit(limit)
 
 
 def catalogue(results: DataFrame, kind: str) -> DataFrame:

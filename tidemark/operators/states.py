@@ -84,9 +84,12 @@ def state_query(
     *,
     entity_id: str = "",
     as_of: Time | None = None,
-    limit: int = 1000,
+    limit: int | None = None,
 ) -> DataFrame:
-    """Latest values of one state, now or as of a time (inclusive), by entity."""
+    """Latest values of one state, now or as of a time (inclusive), by entity.
+
+    All entities without a limit.
+    """
     rows = updates.where(
         (F.col("entity_type") == entity_type) & (F.col("state_name") == state_name)
     )
@@ -94,12 +97,8 @@ def state_query(
         rows = rows.where(F.col("entity_id") == entity_id)
     if as_of is not None:
         rows = rows.where(F.col("timestamp") <= instant(as_of))
-    return (
-        state_current(rows)
-        .withColumnRenamed("timestamp", "updated_at")
-        .orderBy("entity_id")
-        .limit(max(1, min(limit, 10_000)))
-    )
+    current = state_current(rows).withColumnRenamed("timestamp", "updated_at").orderBy("entity_id")
+    return current if limit is None else current.limit(limit)
 
 
 def state_trend(updates: DataFrame, state_name: str, unit: str = "week") -> DataFrame:

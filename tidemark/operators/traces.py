@@ -78,14 +78,14 @@ def merge_spans(events: DataFrame) -> DataFrame:
     )
 
 
-def span_depth(spans: DataFrame, max_depth: int = 1024) -> DataFrame:
+def span_depth(spans: DataFrame) -> DataFrame:
     """Depth of each span in its trace: a root, or a span whose parent is missing,
     is at 0.
 
     Pointer doubling: after k rounds every span knows its 2^k-th ancestor, so a
-    chain of 1024 takes ten joins instead of 1024. Spans on (or below) a cycle,
-    and chains longer than ``max_depth``, never reach a root; they get depth 0 and
-    ``overflow``.
+    chain of 1024 takes ten joins instead of 1024. No chain is longer than its trace
+    has spans, which bounds the rounds. Spans on (or below) a cycle never reach a
+    root; they get depth 0 and ``overflow``.
     """
     key = ["tenant_id", "trace_id"]
     nodes = spans.select(*SPAN_KEY, "parent_span_id").groupBy(*SPAN_KEY).agg(
@@ -101,7 +101,8 @@ def span_depth(spans: DataFrame, max_depth: int = 1024) -> DataFrame:
             F.when(F.col("known"), F.lit(1)).otherwise(F.lit(0)).alias("depth"),
         )
     )
-    rounds = max(1, (max_depth - 1).bit_length())
+    longest = links.groupBy(*key).count().agg(F.max("count")).first()[0] or 0
+    rounds = max(1, longest.bit_length())
     for done in range(rounds):
         above = links.select(
             *key,
@@ -124,12 +125,12 @@ def span_depth(spans: DataFrame, max_depth: int = 1024) -> DataFrame:
     )
 
 
-def trace_timeline(events: DataFrame, trace_id: str, limit: int = 10_000) -> DataFrame:
+def trace_timeline(events: DataFrame, trace_id: str, limit: int | None = None) -> DataFrame:
     """Events of one trace in time order, with what a timeline needs and no payload."""
     rows = events.where(F.col("trace_id") == trace_id)
     parsed = shred(rows, ["start_time", "end_time"])
     fields = Fields(parsed)
-    return (
+    timeline = (
         parsed.select(
             "event_id", "timestamp", "event_type", "signal", "trace_id", "span_id",
             "parent_span_id", "name",
@@ -138,8 +139,8 @@ def trace_timeline(events: DataFrame, trace_id: str, limit: int = 10_000) -> Dat
             F.coalesce(fields.number("duration_ms"), F.lit(0.0)).alias("duration_ms"),
         )
         .orderBy(F.col("timestamp").asc(), F.col("event_id").asc())
-        .limit(limit)
     )
+    return timeline if limit is None else timeline.limit(limit)
 
 
 def flamegraph(events: DataFrame, time_range: TimeRange | None = None) -> DataFrame:

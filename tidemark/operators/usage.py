@@ -14,7 +14,7 @@ def usage_hot_shapes(
     min_runs: int = 3,
     min_bytes: int = 1_000_000_000,
     min_p95_ms: float = 1000.0,
-    limit: int = 50,
+    limit: int | None = 50,
 ) -> DataFrame:
     """Query shapes that run often, read much or are slow.
 
@@ -42,10 +42,41 @@ def usage_hot_shapes(
         | (F.col("read_bytes") > min_bytes)
         | (F.col("p95_ms") > min_p95_ms)
     )
+    ranked = hot.join(tables, "query_hash").orderBy(F.col("read_bytes").desc(), F.col("query_hash").asc())
+    return ranked if limit is None else ranked.limit(limit)
+
+
+# What to advise, as data: where a rule looks, when it holds, and what it says.
+_PATH = "f.path <> ''"
+_UNINDEXED = f"f.strategy = 'raw_expression' and {_PATH}"
+_GENERIC = f"f.strategy in ('kv_index', 'scoped_kv_index') and {_PATH}"
+_ORDERED = "f.operator in ('gt', 'gte', 'lt', 'lte')"
+_FILTER_ADVICE = (
+    # condition, target, table, why, whether the operator is told
+    (f"{_UNINDEXED} and f.operator = 'contains'", "search", "event_text_index", "substring looked up in payloads", False),
+    (f"{_UNINDEXED} and f.operator <> 'contains'", "field", "field_index", "field read from payloads", False),
+    (_GENERIC, "field", "field_index", "field without an index of its own", False),
+    (f"{_UNINDEXED} and {_ORDERED}", "measure", "event_measures", "number compared in payloads", True),
+    (f"{_GENERIC} and {_ORDERED}", "measure", "event_measures", "number compared in the general index", True),
+)
+_SCANS = "('raw_events', 'raw_text_scan', 'table_scan')"
+_QUERY_ADVICE = (
+    # condition, kind, target, table, why, source, group_by
+    ("plan_kind = 'raw_text_scan'", "route", "search", "event_text_index", "text looked up in payloads", "null", "null"),
+    (f"surface = 'events' and size(group_by) > 0 and (plan_kind in {_SCANS} or plan_kind in ('kv_index_join', 'mixed'))",
+     "materialization", "report", "report_results", "groups counted from events each time",
+     "coalesce(event_view, 'events')", "array_join(group_by, ',')"),
+    (f"surface = 'sql' and plan_kind in {_SCANS} and array_contains(source_tables, 'events')",
+     "materialization", "report", "report_results", "SQL reads the event table itself", "null", "null"),
+)
+
+
+def _advice(holds: str, kind: str, target: str, table: str, why: str, **told: str) -> str:
+    told = {name: told.get(name, "null") for name in ("path", "source", "operator", "group_by")}
+    fields = "".join(f", '{name}', cast({value} as string)" for name, value in told.items())
     return (
-        hot.join(tables, "query_hash")
-        .orderBy(F.col("read_bytes").desc(), F.col("query_hash").asc())
-        .limit(limit)
+        f"if({holds}, named_struct('kind', '{kind}', 'target_type', '{target}', 'target_table', '{table}',"
+        f" 'reason', '{why}'{fields}), null)"
     )
 
 
@@ -54,102 +85,26 @@ def recommendations(usage: DataFrame) -> DataFrame:
 
     Expects ``query_hash``, ``surface``, ``plan_kind``, ``event_view``,
     ``source_tables`` (array), ``group_by`` (array) and ``filters``, an array of
-    (path, operator, strategy, role). One row per query hash and distinct advice.
+    (path, operator, strategy, role). One row per query hash and distinct advice, with
+    the number of queries it is for. The rules are the tables above.
     """
-    text = F.lit(None).cast("string")
-
-    def advice(kind: str, target: str, table: str, reason: str, **extra: Column) -> Column:
-        fields = {"path": text, "source": text, "operator": text, "group_by": text, **extra}
-        return F.struct(
-            F.lit(kind).alias("kind"),
-            F.lit(target).alias("target_type"),
-            F.lit(table).alias("target_table"),
-            F.lit(reason).alias("reason"),
-            *[fields[name].alias(name) for name in ("path", "source", "operator", "group_by")],
+    of_query = [
+        _advice(holds, kind, target, table, why, source=source, group_by=group_by)
+        for holds, kind, target, table, why, source, group_by in _QUERY_ADVICE
+    ]
+    of_filter = [
+        _advice(
+            holds, "promotion", target, table, why,
+            path="f.path", source="coalesce(f.role, 'facet')", operator="f.operator" if told else "null",
         )
-
-    raw_reason = "event filter uses a raw expression"
-    kv_reason = "event filter uses the generic KV index"
-    plans = ("raw_events", "raw_text_scan", "table_scan", "kv_index_join", "mixed")
-    raw_plans = ("raw_events", "raw_text_scan", "table_scan")
-    no_advice = F.lit(None).cast(
-        "struct<kind:string,target_type:string,target_table:string,reason:string,path:string,"
-        "source:string,operator:string,group_by:string>"
-    )
-
-    def per_filter(f: Column) -> Column:
-        raw = (f["strategy"] == "raw_expression") & (f["path"] != "")
-        indexed = f["strategy"].isin("kv_index", "scoped_kv_index") & (f["path"] != "")
-        numeric = f["operator"].isin("gt", "gte", "lt", "lte")
-        role = {"path": f["path"], "source": F.coalesce(f["role"], F.lit("facet"))}
-        promote = (
-            F.when(
-                raw & (f["operator"] == "contains"),
-                advice("promotion", "search", "event_text_index", raw_reason, **role),
-            )
-            .when(raw, advice("promotion", "field", "field_index", raw_reason, **role))
-            .when(indexed, advice("promotion", "field", "field_index", kv_reason, **role))
-            .otherwise(no_advice)
-        )
-        measured = {**role, "operator": f["operator"]}
-        measure = (
-            F.when(
-                raw & numeric,
-                advice(
-                    "promotion", "measure", "event_measures",
-                    "numeric event filter should become an explicit measure when reused",
-                    **measured,
-                ),
-            )
-            .when(
-                indexed & numeric,
-                advice(
-                    "promotion", "measure", "event_measures",
-                    "numeric event filter uses the generic KV index and should become an"
-                    " explicit measure when reused",
-                    **measured,
-                ),
-            )
-            .otherwise(no_advice)
-        )
-        return F.array(promote, measure)
-
-    whole = F.array(
-        F.when(
-            F.col("plan_kind") == "raw_text_scan",
-            advice(
-                "route", "search", "event_text_index",
-                "query scans raw event JSON with text matching",
-            ),
-        ),
-        F.when(
-            (F.col("surface") == "events")
-            & (F.size("group_by") > 0)
-            & F.col("plan_kind").isin(*plans),
-            advice(
-                "materialization", "report", "report_results",
-                "grouped event query should become an explicit report when repeated or expensive",
-                source=F.coalesce("event_view", F.lit("events")),
-                group_by=F.array_join("group_by", ","),
-            ),
-        ),
-        F.when(
-            (F.col("surface") == "sql")
-            & F.col("plan_kind").isin(*raw_plans)
-            & F.array_contains("source_tables", "events"),
-            advice(
-                "materialization", "report", "report_results",
-                "raw SQL over events should be promoted to a typed report, measure, state,"
-                " cohort, or field definition before it becomes a product surface",
-            ),
-        ),
-    )
-    every = F.array_distinct(
-        F.array_compact(F.concat(whole, F.flatten(F.transform("filters", per_filter))))
+        for holds, target, table, why, told in _FILTER_ADVICE
+    ]
+    every = (
+        f"concat(array({', '.join(of_query)}), flatten(transform(filters, f -> array({', '.join(of_filter)}))))"
     )
-    found = usage.select("query_hash", F.explode(every).alias("a")).select("query_hash", "a.*")
-    keys = found.columns
-    return found.groupBy(*keys).agg(F.count(F.lit(1)).alias("queries"))
+    found = usage.select("query_hash", F.expr(f"explode(array_distinct(array_compact({every})))").alias("a"))
+    found = found.select("query_hash", "a.*")
+    return found.groupBy(*found.columns).agg(F.count(F.lit(1)).alias("queries"))
 
 
 def job_progress(chunks: DataFrame) -> DataFrame:

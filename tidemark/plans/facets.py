@@ -36,16 +36,9 @@ def facet_path(path: str) -> str:
 
 
 def scope_of_path(path: str) -> str | None:
-    """The innermost array a path runs through, as a plain dotted path."""
-    parts: list[str] = []
-    scope = None
-    for part in path.split("."):
-        if part.endswith("[]"):
-            parts.append(part[:-2])
-            scope = ".".join(parts)
-        else:
-            parts.append(part)
-    return scope
+    """Up to the last array a path runs through, as a plain dotted path."""
+    inside = re.match(r"(.+)\[\](?:\.|$)", path)
+    return inside[1].replace("[]", "") if inside else None
 
 
 @dataclass(frozen=True)

@@ -47,14 +47,18 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8, **conf: str
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Checkpoint ``df`` in the folder the session names in ``spark.checkpoint.dir``.
 
-    Only where neither that setting nor a checkpoint folder exists (tests on one
-    machine) a temporary folder is used.
+    Only a session on one machine (tests) may leave both unset; it then gets a
+    temporary folder. On a cluster executors could not read one, so it is an error.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         shared = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="tidemark-checkpoint-"))
+        if not shared:
+            if context.master != "local" and not context.master.startswith("local["):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            shared = tempfile.mkdtemp(prefix="tidemark-checkpoint-")
+        context.setCheckpointDir(shared)
     return df.checkpoint()
 
 

@@ -109,7 +109,6 @@ def report_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = reports.report_summary(events(spark, sf_dir), report_definitions())
     rows = reports.report_query(
         stored, "sales", version=4, start="2024-01-10T00:00:00Z", filters={"plan": "pro"},
-        limit=10_000,
     )
     return _report_rows(rows).select("tenant_id", "bucket_ms", "currency", "orders", "revenue")
 
@@ -514,12 +513,11 @@ def state_current(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"""SELECT 'c' || o_custkey AS entity_id, arg_max(o_orderstatus, {_NEWEST}) AS value,
     arg_max(CAST(o_orderkey AS VARCHAR), {_NEWEST}) AS event_id FROM orders
     WHERE o_orderdate <= TIMESTAMP '1997-06-30' GROUP BY o_custkey
-    ORDER BY entity_id LIMIT 10000""",
+    ORDER BY entity_id""",
 )
 def state_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = states.state_query(
         _updates(spark, sf_dir), "customer", "order_status", as_of="1997-06-30T00:00:00Z",
-        limit=10_000,
     )
     return rows.select("entity_id", "value", "event_id")
 
