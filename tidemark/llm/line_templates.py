@@ -17,7 +17,7 @@ SIMILARITY = 0.7
 def mask(text: Column) -> Column:
     """Lines with single blanks between tokens, and each token with a digit made a variable."""
     blanks = F.regexp_replace(F.coalesce(text, F.lit("")), r"[ \t\r\x0B\f]+", " ")
-    edges = F.regexp_replace(blanks, r" ?\n ?", "\n")
+    edges = F.replace(F.replace(blanks, F.lit(" \n"), F.lit("\n")), F.lit("\n "), F.lit("\n"))
     return F.regexp_replace(F.trim(edges), r"(?<![^ \n])[^ \n0-9]*+[0-9][^ \n]*+", WILD)
 
 
@@ -26,12 +26,16 @@ def _tokens(line: Column) -> Column:
 
 
 def _lead(line: Column) -> Column:
-    return F.array_join(F.slice(_tokens(line), 1, DEPTH), " ")
+    return F.substring_index(line, " ", DEPTH)
+
+
+def _size(line: Column) -> Column:
+    return F.size(_tokens(line))
 
 
 def _leaf(line: Column) -> Column:
     """A hash of the place in the tree, null for lines that are too short."""
-    size = F.size(_tokens(line))
+    size = _size(line)
     return F.when(size >= MIN_TOKENS, F.xxhash64(size, _lead(line)))
 
 
@@ -77,7 +81,7 @@ def line_templates(
         lines.withColumn("leaf", _leaf(F.col("line")))
         .join(busy, "leaf", "left_semi")
         .groupBy("line").agg(F.count("*").alias("line_docs"))
-        .select("line", "line_docs", F.size(_tokens(F.col("line"))).alias("size"), _lead(F.col("line")).alias("lead")),
+        .select("line", "line_docs", _size(F.col("line")).alias("size"), _lead(F.col("line")).alias("lead")),
         "lines",
     )
     votes = (
@@ -151,7 +155,8 @@ def drop_recurring_lines(
         lambda x: ~F.array_contains(F.col("_gone"), x["at"]),
     )
     text = F.when(F.col("_gone").isNull(), before).otherwise(F.array_join(F.transform(kept, lambda x: x["line"]), "\n"))
-    return whole.join(gone, ["file", "row"], "left").select(
+    # Documents with such lines grow with the input, so they are never broadcast.
+    return whole.join(gone.hint("merge"), ["file", "row"], "left").select(
         *[
             text.alias(c) if c == text_col else F.col(f"_doc.`{c}`")
             for c in docs.columns
