@@ -16,9 +16,9 @@ from sentencepiece import sentencepiece_model_pb2 as model_pb
 MARK = "▁"
 NORMAL, BYTE = 1, 6
 # What a Python worker remembers at most; further units are encoded each time.
-CACHED_UNITS = 800_000
+CACHED_UNITS = 400_000
 CACHED_LENGTH = 64
-CACHED_PAIRS = 1_000_000
+CACHED_PAIRS = 500_000
 
 
 class Remembered(dict):

@@ -103,7 +103,7 @@ def segments(texts: DataFrame) -> DataFrame:
                 [pa.array(c, t) for c, t in zip(columns, types)], ["file", "row", "place", "start", "data"]
             )
 
-    cut = texts.join(runs, ["file", "row"]).select("file", "row", "place", "text", "runs")
+    cut = texts.join(runs.hint("merge"), ["file", "row"]).select("file", "row", "place", "text", "runs")
     cut = cut.mapInArrow(run, "file long, row long, place long, start long, data binary")
     return written(cut.withColumn("seg", F.monotonically_increasing_id()), "segments")
 
@@ -234,7 +234,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     firsts = digests.groupBy("digest").agg(F.min("place").alias("smallest"))
     copies = written(digests.join(firsts, "digest").where("place > smallest").select("file", "row"), "copies")
     texts = written(
-        located.where(F.length("text") >= LENGTH).drop("id").join(copies, ["file", "row"], "left_anti"), "texts"
+        located.where(F.length("text") >= LENGTH).drop("id").join(copies.hint("merge"), ["file", "row"], "left_anti"), "texts"
     )
     marks = repeated_windows(segments(texts))
     starts = marks.groupBy("file", "row").agg(F.sort_array(F.collect_list("start")).alias("starts"))
@@ -264,7 +264,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 ["id", "n_bytes", "kept", "spans"],
             )
 
-    joined = located.select("file", "row", "id", "text").join(cuts, ["file", "row"], "left")
+    joined = located.select("file", "row", "id", "text").join(cuts.hint("merge"), ["file", "row"], "left")
     done = joined.select("id", "text", "starts").mapInArrow(
         run, "id long, n_bytes long, kept binary, spans array<array<long>>"
     )
