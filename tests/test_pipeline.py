@@ -1,12 +1,13 @@
 """Ingest, stores, streams, alerts, backfill, freshness, tenants."""
 
 import datetime as dt
+import hashlib
 import json
 
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import alerts, freshness, indexes, normalize, rollups
+from tidemark.operators import alerts, filters, freshness, indexes, normalize, pages, rollups, search
 from tidemark.operators.filters import filter_facets
 from tidemark.plans.definitions import Definition
 from tidemark.plans.facets import Facet
@@ -250,6 +251,63 @@ def test_normalize_stream(spark, tmp_path):
     assert tables.read_ledger(spark, root).count() == 2
 
 
+def test_streams_and_checkpoints_share_a_store(spark, tmp_path):
+    root = str(tmp_path / "store")
+    for number, inbox in ((1, "a"), (2, "b"), (3, "c")):
+        folder = tmp_path / inbox
+        folder.mkdir()
+        write_bodies(folder, "1.json", event(number), {"bad": number})
+        bodies = sources.stream_bodies(spark, str(folder))
+        ingest.normalize_stream(bodies, root, str(tmp_path / f"cp-{inbox}"), once=True).awaitTermination()
+    assert sorted(r["event_id"] for r in tables.read_committed(spark, root).collect()) == ["1", "2", "3"]
+    assert spark.read.parquet(f"{root}/invalid").count() == 3
+    ledger = tables.read_ledger(spark, root)
+    assert sorted(r["sequence"] for r in ledger.collect()) == [1, 2, 3]
+
+
+def test_alert_streams_share_a_folder(spark, make_events, tmp_path):
+    every = rule(match={"all": [{"path": "ms", "op": "gt", "value": 5}]}, dedupe_key="svc", webhook_url="http://b")
+    root = str(tmp_path / "alerts")
+    for name in ("a", "b"):
+        events = make_events((name, T0, {"ms": 9, "svc": name}))
+        stream = alerting.alert_stream(stream_of(spark, events, str(tmp_path / name)), [every])
+        alerting.write_alerts(stream, [every], root, str(tmp_path / f"cp-{name}"), once=True).awaitTermination()
+    assert sorted(r["event_id"] for r in alerting.read_alerts(spark, root).collect()) == ["a", "b"]
+    assert spark.read.parquet(f"{root}/alert_notifications").count() == 2
+
+
+def test_retry_leaves_no_days_of_a_broken_attempt(spark, make_events, tmp_path):
+    root = str(tmp_path / "store")
+    folder = hashlib.sha256(b"b1").hexdigest()[:32]
+    sources.write_events(make_events((8, "2024-01-05T00:00:00Z", {})), f"{root}/data/batch={folder}")
+    tables.append_batch(make_events((1, T0, {})), root, "b1")
+    assert [r["event_id"] for r in tables.read_committed(spark, root).collect()] == ["1"]
+    with pytest.raises(ValueError):
+        tables.compact(spark, f"{root}/data")
+
+
+def partition_filters(df):
+    plan = df._jdf.queryExecution().explainString(df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    return [line for line in plan.splitlines() if line.startswith("PartitionFilters")]
+
+
+def test_windows_pages_and_search_read_only_their_days(spark, make_events, tmp_path):
+    path = str(tmp_path / "events")
+    made = [(n, f"2024-01-{n:02d}T23:59:59Z", {"message": f"word {n}"}) for n in range(1, 10)]
+    sources.write_events(make_events(*made), path)
+    events = sources.read_events(spark, path)
+    start, end = "2024-01-03T00:00:00Z", "2024-01-05T23:59:59Z"
+    for kept, ids in (
+        (filters.in_time(events, after=start, before=end), "345"),
+        (filters.in_time(events, filters.TimeRange(after=end)), "56789"),
+        (filters.in_window(events, start, end), "34"),
+        (pages.page(events, cursor=pages.Cursor("before", end), limit=2), "34"),
+        (search.search(indexes.text_index(events), events, "word", time_range=filters.TimeRange(start, end), limit=2), "45"),
+    ):
+        assert any("event_date" in line for line in partition_filters(kept))
+        assert sorted(r["event_id"] for r in kept.collect()) == list(ids)
+
+
 def stream_of(spark, events, path):
     events.write.mode("append").parquet(path)
     return spark.readStream.schema(events.schema).parquet(path)

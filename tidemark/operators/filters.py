@@ -43,20 +43,42 @@ class TimeRange:
     before: Time | None = None
     lookback_minutes: int = 0
 
-    def condition(self, column: str = "timestamp") -> Column:
-        time = F.col(column)
+    def bounds(self) -> tuple[Column | None, Column | None]:
+        """First and last time of the range, None where it is open."""
         if self.lookback_minutes > 0:
-            return time >= F.current_timestamp() - F.expr(
-                f"INTERVAL {int(self.lookback_minutes)} MINUTES"
-            )
+            back = F.expr(f"INTERVAL {int(self.lookback_minutes)} MINUTES")
+            return F.current_timestamp() - back, None
+        return (
+            None if self.after is None else instant(self.after),
+            None if self.before is None else instant(self.before),
+        )
+
+    def condition(self, column: str = "timestamp") -> Column:
+        first, last = self.bounds()
         result = F.lit(True)
-        if self.after is not None:
-            result = result & (time >= instant(self.after))
-        if self.before is not None:
-            result = result & (time <= instant(self.before))
+        if first is not None:
+            result = result & (F.col(column) >= first)
+        if last is not None:
+            result = result & (F.col(column) <= last)
         return result
 
 
+def by_day(
+    df: DataFrame, first: Column | None = None, last: Column | None = None, column: str = "timestamp"
+) -> DataFrame:
+    """Keep the days from ``first`` to ``last``, so a scan of a table stored by day skips the others.
+
+    Tables without ``event_date``, the day of ``timestamp`` in UTC, stay as they are.
+    """
+    if "event_date" not in df.columns or column != "timestamp":
+        return df
+    if first is not None:
+        df = df.where(F.col("event_date") >= F.to_date(first))
+    if last is not None:
+        df = df.where(F.col("event_date") <= F.to_date(last))
+    return df
+
+
 def in_time(
     df: DataFrame,
     time_range: TimeRange | None = None,
@@ -67,13 +89,16 @@ def in_time(
 ) -> DataFrame:
     """Inclusive window. Explicit filter bounds replace the range altogether."""
     if after is not None or before is not None:
-        return df.where(TimeRange(after, before).condition(column))
-    return df if time_range is None else df.where(time_range.condition(column))
+        time_range = TimeRange(after, before)
+    if time_range is None:
+        return df
+    return by_day(df, *time_range.bounds(), column).where(time_range.condition(column))
 
 
 def in_window(df: DataFrame, start: Time, end: Time, column: str = "timestamp") -> DataFrame:
     """Half-open window ``start <= t < end``, for exports and chunked jobs."""
-    return df.where((F.col(column) >= instant(start)) & (F.col(column) < instant(end)))
+    inside = (F.col(column) >= instant(start)) & (F.col(column) < instant(end))
+    return by_day(df, instant(start), instant(end), column).where(inside)
 
 
 class _Flags:

@@ -127,11 +127,12 @@ def to_canonical(rows: DataFrame) -> DataFrame:
     return promote_columns(rows).select(*EVENT_COLUMNS)
 
 
-def write_events(events: DataFrame, path: str, mode: str = "append") -> None:
+def write_events(events: DataFrame, path: str, mode: str = "append", all_days: bool = False) -> None:
     """Store events by day, sorted by tenant and time.
 
     The rebalance hint lets AQE cut a large day into files of the advisory size
     and put small ones together, so one huge day (or tenant) is never one task.
+    With ``all_days`` an overwrite replaces the whole folder, else the days it has.
     """
     (
         events.select(*EVENT_COLUMNS)
@@ -139,6 +140,7 @@ def write_events(events: DataFrame, path: str, mode: str = "append") -> None:
         .hint("rebalance", "event_date")
         .sortWithinPartitions("event_date", "tenant_id", "timestamp")
         .write.mode(mode)
+        .option("partitionOverwriteMode", "static" if all_days else "dynamic")
         .option("parquet.bloom.filter.enabled#event_id", "true")
         .option("parquet.bloom.filter.enabled#trace_id", "true")
         .partitionBy("event_date")

@@ -50,7 +50,8 @@ def append_batch(
     """Append events once per ``batch_id`` and return the commit.
 
     A known id returns the earlier commit without writing. An attempt that failed
-    half way leaves only uncommitted files, which the retry overwrites.
+    half way leaves only uncommitted files, which the retry overwrites, days it no
+    longer has included. A store has one writer at a time.
     """
     spark = events.sparkSession
     ledger = read_ledger(spark, root)
@@ -60,7 +61,7 @@ def append_batch(
     folder = hashlib.sha256(batch_id.encode()).hexdigest()[:32]
     data = f"{root}/data/batch={folder}"
     seen = Observation()
-    write_events(events.observe(seen, F.count(F.lit(1)).alias("rows")), data, mode="overwrite")
+    write_events(events.observe(seen, F.count(F.lit(1)).alias("rows")), data, mode="overwrite", all_days=True)
     files = sorted(
         row["path"]
         for row in _listing(spark, data).where(F.col("path").endswith(".parquet")).collect()
@@ -230,8 +231,11 @@ def compact(
     """Rewrite the partitions that have too many small files; rows are preserved.
 
     Files are cut by range over (partition, tenant, time) into about the target
-    size, so a large day is rewritten by many tasks.
+    size, so a large day is rewritten by many tasks. A store with a ledger is refused:
+    its commits name their files.
     """
+    if any(exists(spark, f"{at}/commits") for at in (path, f"{path}/..")):
+        raise ValueError("the files of a store with commits cannot be rewritten")
     sizes = _listing(spark, path).withColumn(
         "part", F.regexp_extract("path", rf"{partition_by}=([^/]+)", 1)
     )

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tidemark.operators.alerts import AlertRule, alert_candidates, notification_outbox
+from tidemark.streaming.ingest import stream_id
 
 
 def alert_stream(events: DataFrame, rules: Sequence[AlertRule], delay_seconds: int = 60) -> DataFrame:
@@ -31,14 +32,18 @@ def write_alerts(
     checkpoint: str,
     once: bool = False,
 ) -> StreamingQuery:
-    """Store alerts and their pending notifications; a rerun batch replaces itself."""
+    """Store alerts and their pending notifications; a rerun batch replaces itself only.
+
+    Folders carry the query's own id, so several streams may write to one root.
+    """
 
     def write(batch: DataFrame, number: int) -> None:
+        part = f"stream={stream_id(batch)}/batch_number={number}"
         batch = batch.persist()
         try:
-            batch.write.mode("overwrite").parquet(f"{root}/alert_events/batch_number={number}")
+            batch.write.mode("overwrite").parquet(f"{root}/alert_events/{part}")
             notification_outbox(batch, rules).write.mode("overwrite").parquet(
-                f"{root}/alert_notifications/batch_number={number}"
+                f"{root}/alert_notifications/{part}"
             )
         finally:
             batch.unpersist()
@@ -49,7 +54,7 @@ def write_alerts(
 
 def read_alerts(spark, root: str) -> DataFrame:
     """Stored alerts, each once."""
-    rows = spark.read.parquet(f"{root}/alert_events").drop("batch_number")
+    rows = spark.read.parquet(f"{root}/alert_events").drop("stream", "batch_number")
     key = ["tenant_id", "alert_id", "dedupe_key"]
     rest = [c for c in rows.columns if c not in key]
     first = F.struct("event_timestamp", "event_id")

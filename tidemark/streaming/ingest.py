@@ -14,6 +14,17 @@ from tidemark.sources.events import split_bodies, to_canonical
 from tidemark.sources.tables import append_batch
 
 
+def stream_id(batch: DataFrame) -> str:
+    """Id of the query that runs a micro-batch; it is kept in the query's checkpoint.
+
+    Batch numbers start anew with each checkpoint, so only both together name a batch.
+    """
+    found = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+    if not found:
+        raise RuntimeError("not called from a micro-batch of a stream")
+    return found
+
+
 def normalize_stream(
     bodies: DataFrame,
     root: str,
@@ -25,18 +36,20 @@ def normalize_stream(
 ) -> StreamingQuery:
     """Split a stream of bodies into committed events and rejects.
 
-    Each micro-batch is appended under an id made of its number, so a batch that
-    is run again after a failure is not stored twice; offsets advance only after
-    both sinks are written.
+    Each micro-batch is appended under an id made of the query's own id and the
+    batch's number, so a batch that is run again after a failure is not stored twice,
+    and several streams (or a new checkpoint) may feed one store; offsets advance
+    only after both sinks are written.
     """
 
     def write(batch: DataFrame, number: int) -> None:
+        stream = stream_id(batch)
         rows = checked(split_bodies(batch), max_event_bytes).persist()
         try:
-            commit = append_batch(to_canonical(valid_rows(rows)), root, f"stream:{number}")
+            commit = append_batch(to_canonical(valid_rows(rows)), root, f"stream:{stream}:{number}")
             invalid = invalid_rows(rows).withColumn("batch", F.lit(number))
             # One folder per batch, overwritten on a rerun.
-            invalid.write.mode("overwrite").parquet(f"{root}/invalid/batch_number={number}")
+            invalid.write.mode("overwrite").parquet(f"{root}/invalid/stream={stream}/batch_number={number}")
         finally:
             rows.unpersist()
         if on_commit is not None:
