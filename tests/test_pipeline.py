@@ -7,7 +7,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import alerts, filters, freshness, indexes, normalize, pages, rollups, search
+from tidemark.operators import alerts, cohorts, filters, freshness, indexes, normalize, pages, rollups, search
 from tidemark.operators.filters import filter_facets
 from tidemark.plans.definitions import Definition
 from tidemark.plans.facets import Facet
@@ -380,6 +380,32 @@ def test_materialize_is_incremental_and_idempotent(spark, make_events, tmp_path)
         freshness.ensure_fresh(tables.read_ledger(spark, root), marks, ["density"])
 
 
+def test_members_seen_on_several_days_stay_one_row(spark, make_events, tmp_path):
+    match = {"all": [{"path": "event_type", "value": "visit"}]}
+    config = {"match": match, "outputs": [{"entity_type": "user", "entity_id": {"path": "user"}}]}
+    definition = Definition("seen", "cohort", config, "t", "visitors")
+    table = materialize.DerivedTable(
+        "members", lambda e: cohorts.cohort(e, [definition]),
+        group={"tenant_id": lambda e: e["tenant_id"], "entity_id": lambda e: F.get_json_object(e["data"], "$.user")},
+    )
+
+    def visit(i, day, user, offset):
+        return make_events((i, f"2024-01-{day:02d}T00:00:00Z", {"event_type": "visit", "user": user}), offset=offset)
+
+    root = str(tmp_path / "store")
+    # The last delivery of event 4 comes first by position and names another user and day.
+    batches = [visit(1, 5, "ann", 1), visit(2, 1, "ann", 2), visit(3, 3, "bob", 3), visit(4, 9, "bob", 4), visit(4, 8, "eve", 0)]
+    for number, batch in enumerate(batches):
+        tables.append_batch(batch, root, f"b{number}")
+        materialize.materialize(spark, root, [table])
+        got = materialize.read_derived(spark, root, "members")
+        whole = cohorts.cohort(normalize.dedupe_events(tables.read_committed(spark, root)), [definition])
+        assert sorted(map(tuple, got.select(*whole.columns).collect())) == sorted(map(tuple, whole.collect()))
+    assert sorted((r["entity_id"], r["first_seen"].day, r["last_seen"].day) for r in got.collect()) == [
+        ("ann", 1, 5), ("bob", 3, 3), ("eve", 8, 8),
+    ]
+
+
 def test_chunks_cover_the_window():
     start, end = dt.datetime(2024, 1, 1), dt.datetime(2024, 1, 1, 2, 30)
     chunks = materialize.chunk_windows(start, end)

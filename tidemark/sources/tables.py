@@ -158,7 +158,7 @@ def upsert(
     version = current_version(spark, path)
     current = read_table(spark, path) if version else None
     merged = merge_latest(current, changes, keys, order_col)
-    _publish(merged, path, version + 1)
+    publish(merged, path, version + 1)
 
 
 def replace_groups(
@@ -193,7 +193,8 @@ def current_version(spark: SparkSession, path: str) -> int:
     return int(spark.read.text(pointer).agg(F.max(F.col("value").cast("int"))).first()[0] or 0)
 
 
-def _publish(rows: DataFrame, path: str, version: int) -> None:
+def publish(rows: DataFrame, path: str, version: int) -> None:
+    """Write a version of an unpartitioned table, then make it the current one."""
     spark = rows.sparkSession
     rows.write.mode("overwrite").parquet(f"{path}/v={version}")
     spark.createDataFrame([(str(version),)], "value string").coalesce(1).write.mode("append").text(

@@ -1,35 +1,51 @@
 """Keeping derived tables current: by commit, by time chunk.
 
-A derived table is a function of events whose rows belong to a day
-(``bucket_date``). Additive tables could be merged, but reports, funnels,
-cohorts and retention are not additive over batches; so the days a batch touches
-are recomputed whole from the committed events and replaced. Running the same
-step again therefore gives the same table.
+A derived table is a function of events. Rows of most belong to a day
+(``bucket_date``) and depend on that day's events only; the days a batch touches are
+recomputed whole from the committed events and replaced. Rows that depend on events
+of several days (cohort members, traces, current state, retention) belong to a group
+instead, such as an entity, a trace or a tenant; the touched groups are recomputed
+from all their events. Running the same step again therefore gives the same table.
 """
 
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators.filters import in_window
+from tidemark.operators.filters import EVENT_KEY, in_window
 from tidemark.operators.normalize import dedupe_events
-from tidemark.sources.tables import exists, read_committed, read_ledger, replace_groups
+from tidemark.sources.tables import (
+    current_version,
+    exists,
+    publish,
+    read_committed,
+    read_ledger,
+    read_table,
+    replace_groups,
+)
 
 Build = Callable[[DataFrame], DataFrame]
 
 
 @dataclass(frozen=True)
 class DerivedTable:
-    """A table computed from events; ``time`` is the column that gives its day."""
+    """A table computed from events, kept by day or by group.
+
+    ``time`` is the column that gives a row's day, if its day's events are all it
+    depends on. Otherwise ``group`` names columns of the rows and gives for each the
+    column of the events; events that agree in them are all a row depends on, and
+    events with a null among them count for no row.
+    """
 
     name: str
     build: Build
     time: str = "bucket_time"
+    group: Mapping[str, Callable[[DataFrame], Column]] | None = None
 
 
 def read_watermarks(spark: SparkSession, root: str) -> DataFrame:
@@ -65,7 +81,7 @@ def materialize(spark: SparkSession, root: str, tables: Sequence[DerivedTable])
     for table in tables:
         reached = marks.get(table.name, 0)
         if reached < latest:
-            _refresh(spark, root, table, reached)
+            (_refresh_groups if table.group else _refresh)(spark, root, table, reached)
             _advance(spark, root, table.name, latest)
         result[table.name] = latest
     return result
@@ -83,8 +99,33 @@ def _refresh(spark: SparkSession, root: str, table: DerivedTable, reached: int)
     replace_groups(rows, f"{root}/tables/{table.name}", "bucket_date", days)
 
 
+def _refresh_groups(spark: SparkSession, root: str, table: DerivedTable, reached: int) -> None:
+    names = list(table.group)
+
+    def keyed(events: DataFrame) -> DataFrame:
+        return events.withColumns({f"__{name}": table.group[name](events) for name in names})
+
+    def matching(events: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
+        return events.join(keys.select(*on).distinct(), on, "left_semi")
+
+    on = [f"__{name}" for name in names]
+    events = keyed(read_committed(spark, root))
+    fresh = read_committed(spark, root, after_sequence=reached)
+    # A new delivery can take the place of one in another group, so both are touched.
+    touched = matching(events, fresh, EVENT_KEY).select(*on).distinct()
+    copies = matching(events, matching(events, touched, on), EVENT_KEY)
+    first = dedupe_events(copies.drop(*on))
+    rows = table.build(matching(keyed(first), touched, on).drop(*on))
+    path = f"{root}/tables/{table.name}"
+    version = current_version(spark, path)
+    if version:
+        gone = touched.select(*[F.col(f"__{name}").alias(name) for name in names])
+        rows = read_table(spark, path).join(gone, names, "left_anti").select(*rows.columns).unionByName(rows)
+    publish(rows, path, version + 1)
+
+
 def read_derived(spark: SparkSession, root: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{root}/tables/{name}").drop("bucket_date")
+    return read_table(spark, f"{root}/tables/{name}").drop("bucket_date")
 
 
 MAX_CHUNKS = 10_000
