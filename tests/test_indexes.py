@@ -167,3 +167,11 @@ def test_typed_payload(make_events):
     row = typed_payload(events).first()
     assert (row["severity_number"], row["is_error"], row["http_method"]) == (9, 1, "GET")
     assert row["start_time"] is not None and row["revenue"] is None
+
+
+def test_discovered_names_and_paths_are_whole(make_events):
+    long = "m" * 120
+    payloads = [{"event_type": "metric", "metric_name": long + end, "p" * 200: 1} for end in "ab"]
+    found = discover_metric_definitions(make_events(*[(i, T0, p) for i, p in enumerate(payloads)])).collect()
+    assert {r["name"] for r in found} == {f"metric.{long}a", f"metric.{long}b"}
+    assert all("p" * 200 in r["config"] for r in found)

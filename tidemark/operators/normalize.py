@@ -236,8 +236,7 @@ def field_inference(events: DataFrame) -> DataFrame:
 def _safe_name(value: Column) -> Column:
     name = F.regexp_replace(F.trim(value), r"[^A-Za-z0-9_.-]", "_")
     name = F.regexp_replace(name, r"^[_.-]+|[_.-]+$", "")
-    name = F.when(name == "", F.lit("auto")).otherwise(name)
-    return F.regexp_replace(F.substring(name, 1, 96), r"[_.-]+$", "")
+    return F.when(name == "", F.lit("auto")).otherwise(name)
 
 
 def discover_metric_definitions(events: DataFrame) -> DataFrame:
@@ -253,7 +252,6 @@ def discover_metric_definitions(events: DataFrame) -> DataFrame:
         & ~leaf["in_array"]
         & ~leaf["blank"]
         & leaf["path"].rlike(r"^[A-Za-z0-9_]+(\.[A-Za-z0-9_]+)*$")
-        & (F.length(leaf["path"]) <= 160)
         & ~leaf["path"].isin(*NOT_DIMENSIONS)
     )
     rows = metrics.select(

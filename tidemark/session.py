@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -44,21 +45,31 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8, **conf: str
     return spark
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Checkpoint ``df`` in the folder the session names in ``spark.checkpoint.dir``.
+def _shared_root(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``, which driver and executors can reach.
 
-    Only a session on one machine (tests) may leave both unset; it then gets a
+    Only a session on one machine (tests) may leave it unset; it then gets a
     temporary folder. On a cluster executors could not read one, so it is an error.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if root:
+        return root.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return tempfile.mkdtemp(prefix="tidemark-")
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A folder of its own, not yet made, for tables that outlive one job."""
+    return f"{_shared_root(spark)}/tidemark-{name}-{uuid.uuid4().hex}"
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Checkpoint ``df`` in the session's checkpoint folder, else in the shared one."""
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        if not shared:
-            if context.master != "local" and not context.master.startswith("local["):
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            shared = tempfile.mkdtemp(prefix="tidemark-checkpoint-")
-        context.setCheckpointDir(shared)
+        context.setCheckpointDir(_shared_root(df.sparkSession))
     return df.checkpoint()
 
 

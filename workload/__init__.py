@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from workload import filters, measures, reports, rollups, tables  # noqa: F401
+from workload import filters, intake, measures, reports, rollups, tables  # noqa: F401
 from workload.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
