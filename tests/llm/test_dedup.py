@@ -191,3 +191,20 @@ def test_line_templates(files):
 def test_one_documents_repeats_are_no_recurrence(files):
     docs = files([(1, "same line of text\n" * 50), (2, "another line of words")], "doc_id long, text string")
     assert {r["n_dropped"] for r in line_templates.drop_recurring_lines(docs, min_docs=2).collect()} == {0}
+
+
+def test_templates_with_several_variables(files):
+    names = ["Anna Berg", "Ben Kohl", "Cleo Lang", "Dora Maas", "Emil Nagel", "Fritz Ott", "Gerd Pohl", "Hans Quast", "Ina Roth", "Jan Sass", "Kai Thal", "Lea Uhl"]
+    rows = [(k, f"text {k}\nContact our sales desk: {name}") for k, name in enumerate(names)]
+    got = line_templates.drop_recurring_lines(files(rows, "doc_id long, text string")).collect()
+    assert [r["n_dropped"] for r in got] == [1] * 12
+
+
+def test_several_templates_in_a_leaf(files):
+    # The hot template wins the vote of the leaf; the cold one has variables without digits too.
+    word = lambda k: "w" + "".join("abcdefghij"[int(c)] for c in str(k))
+    rows = [(k, f"Read more about {word(k)} {word(k + 500)} on our front page") for k in range(60)]
+    rows += [(k, f"Read more about prices and {word(k)} {word(k + 500)} by mail") for k in range(100, 114)]
+    rows += [(k, f"Read more about {' '.join(word(k * 7 + n) for n in range(6))}") for k in range(200, 230)]
+    dropped = {r["doc_id"]: r["n_dropped"] for r in line_templates.drop_recurring_lines(files(rows, "doc_id long, text string")).collect()}
+    assert dropped == {k: int(k < 200) for k, _ in rows}

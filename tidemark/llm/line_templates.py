@@ -59,6 +59,58 @@ def line_places(docs: DataFrame, text_col: str = "text") -> DataFrame:
     )
 
 
+def _votes(pool: DataFrame, min_docs: int) -> tuple[DataFrame, DataFrame]:
+    """(part, at, token, votes) of the tokens that can decide anything, and a row per part
+    of at least ``min_docs`` votes: its template, and the position to split it at."""
+    tokens = written(
+        pool.select("part", "line_docs", F.posexplode(_tokens(F.col("line"))).alias("at", "token"))
+        .groupBy("part", "at", "token")
+        .agg(F.sum("line_docs").alias("votes"))
+        # Half of a part's votes, or ``min_docs`` of them.
+        .where(F.col("votes") * 2 >= min_docs),
+        "token-votes",
+    )
+    totals = (
+        pool.groupBy("part")
+        .agg(F.sum("line_docs").alias("total"), F.first(_size(F.col("line"))).alias("size"))
+        .where(F.col("total") >= min_docs)
+    )
+    tops = tokens.groupBy("part", "at").agg(F.min(F.struct((-F.col("votes")).alias("order"), "token")).alias("top"))
+    votes = -F.col("top.order")
+    frequent = F.when(votes * 2 >= F.col("total"), F.struct("at", "top.token"))
+    divides = F.when((votes < F.col("total")) & (votes >= min_docs), F.struct(votes.alias("votes"), (-F.col("at")).alias("order")))
+    parts = (
+        tops.join(totals, "part")
+        .groupBy("part")
+        .agg(F.first("size").alias("size"), F.collect_list(frequent).alias("known"), F.max(divides).alias("split"))
+        .withColumn("known", F.map_from_entries("known"))
+        .select(
+            "part",
+            F.transform(
+                F.sequence(F.lit(0), F.col("size") - 1), lambda at: F.coalesce(F.col("known")[at], F.lit(WILD))
+            ).alias("common"),
+            (-F.col("split.order")).alias("at"),
+        )
+    )
+    return tokens, parts
+
+
+def _fits(line: Column, common: Column, similarity: float) -> Column:
+    """Whether a line belongs to a template of its leaf.
+
+    At least half of the template is constant, and ``similarity`` of the constants after
+    the leading tokens agree; those before agree in every line of the leaf and tell
+    nothing. A line of which ``similarity`` of all positions agree belongs to it anyway.
+    """
+    size = F.size(common)
+    pairs = F.zip_with(_tokens(line), common, lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    fixed = F.filter(pairs, lambda p: p["b"] != WILD)
+    after = F.filter(F.slice(pairs, DEPTH + 1, F.greatest(size - DEPTH, F.lit(0))), lambda p: p["b"] != WILD)
+    agree = lambda some: F.size(F.filter(some, lambda p: p["a"] == p["b"]))
+    generalised = (F.size(fixed) * 2 >= size) & (F.size(after) > 0) & (agree(after) >= similarity * F.size(after))
+    return (agree(pairs) >= similarity * size) | generalised
+
+
 def line_templates(
     docs: DataFrame, places: DataFrame, text_col: str = "text", min_docs: int = MIN_DOCS, similarity: float = SIMILARITY
 ) -> DataFrame:
@@ -66,11 +118,17 @@ def line_templates(
 
     Lines come to a leaf by token count and leading tokens; leaves with fewer than
     ``min_docs`` lines and lines of fewer than three tokens cannot recur and are left
-    out. The template of a leaf has at each position the token of most documents if
-    at least half of them have it, else a variable; of equally frequent tokens the
-    first by name. A line belongs to it if the share of its positions that agree
-    reaches ``similarity``; else it is a template of its own. Equal lines are counted
-    before anything is done by leaf.
+    out. Equal lines are counted before anything is done by leaf.
+
+    A leaf has as many templates as recur in it. In each round the lines of a part (at
+    first a leaf) vote: the template has at each position the token of most documents if
+    at least half of them have it, else a variable; of equally frequent tokens the first by
+    name. The lines that fit it (``_fits``) take it if they stand in ``min_docs``
+    documents or more. The others are divided by their token at the position whose most
+    frequent token has most votes without being in every line, tokens below ``min_docs``
+    together, and vote again, until no token divides a part. Each round makes a position
+    the same in a whole part or leaves it without a recurring token, so rounds end.
+    A line without such a template is a template of its own.
     """
     busy = written(
         places.where("leaf is not null").groupBy("leaf").count().where(F.col("count") >= min_docs).select("leaf"),
@@ -81,31 +139,42 @@ def line_templates(
         lines.withColumn("leaf", _leaf(F.col("line")))
         .join(busy, "leaf", "left_semi")
         .groupBy("line").agg(F.count("*").alias("line_docs"))
-        .select("line", "line_docs", _size(F.col("line")).alias("size"), _lead(F.col("line")).alias("lead")),
+        .select(_leaf(F.col("line")).alias("part"), "line", "line_docs"),
         "lines",
     )
-    votes = (
-        leaves.select("size", "lead", "line_docs", F.posexplode(_tokens(F.col("line"))).alias("at", "token"))
-        .groupBy("size", "lead", "at", "token")
-        .agg(F.sum("line_docs").alias("votes"))
-        .groupBy("size", "lead", "at")
-        .agg(F.min(F.struct((-F.col("votes")).alias("order"), "token")).alias("top"), F.sum("votes").alias("total"))
-        .select(
-            "size", "lead", "at",
-            F.when(-F.col("top.order") * 2 >= F.col("total"), F.col("top.token")).otherwise(WILD).alias("token"),
+    found, pool = None, leaves
+    while not pool.isEmpty():
+        tokens, parts = _votes(pool, min_docs)
+        judged = written(
+            pool.join(parts, "part").select(
+                "part", "line", "line_docs", "at",
+                F.when(_fits(F.col("line"), F.col("common"), similarity), F.array_join("common", " ")).alias("template"),
+                F.try_element_at(_tokens(F.col("line")), (F.col("at") + 1).cast("int")).alias("token"),
+            ),
+            "judged-lines",
+        )
+        taken = (
+            judged.where("template is not null").groupBy("part").agg(F.sum("line_docs").alias("docs"))
+            .where(F.col("docs") >= min_docs).select("part")
+        )
+        taken = written(taken, "taken-parts")
+        fitted = judged.where("template is not null").join(taken, "part", "left_semi")
+        found = fitted if found is None else found.unionByName(fitted)
+        rest = judged.join(taken.withColumn("_taken", F.lit(True)), "part", "left").where(
+            F.col("at").isNotNull() & (F.col("_taken").isNull() | F.col("template").isNull())
         )
-    )
-    trees = written(
-        votes.groupBy("size", "lead").agg(
-            F.transform(F.sort_array(F.collect_list(F.struct("at", "token"))), lambda t: t["token"]).alias("common")
-        ),
-        "leaf-templates",
-    )
-    agree = F.size(F.filter(F.zip_with(_tokens(F.col("line")), "common", lambda a, b: a == b), lambda same: same))
-    fits = agree >= similarity * F.col("size")
-    return leaves.join(trees, ["size", "lead"]).select(
-        "line", F.when(fits, F.array_join("common", " ")).otherwise(F.col("line")).alias("template"), "line_docs"
-    )
+        known = tokens.where(F.col("votes") >= min_docs).select("part", "at", "token", F.lit(True).alias("_known"))
+        pool = written(
+            rest.join(known, ["part", "at", "token"], "left").select(
+                F.xxhash64("part", "at", F.when(F.col("_known"), F.col("token"))).alias("part"), "line", "line_docs"
+            ),
+            "line-pool",
+        )
+    alone = leaves.select("line", F.col("line").alias("template"), "line_docs")
+    if found is None:
+        return alone
+    found = found.select("line", "template", "line_docs")
+    return found.unionByName(alone.join(found.select("line"), "line", "left_anti"))
 
 
 def drop_recurring_lines(
