@@ -208,3 +208,15 @@ def test_several_templates_in_a_leaf(files):
     rows += [(k, f"Read more about {' '.join(word(k * 7 + n) for n in range(6))}") for k in range(200, 230)]
     dropped = {r["doc_id"]: r["n_dropped"] for r in line_templates.drop_recurring_lines(files(rows, "doc_id long, text string")).collect()}
     assert dropped == {k: int(k < 200) for k, _ in rows}
+
+
+def test_short_and_long_lines_recur(files):
+    passage = " ".join(f"w{'abcdefghij'[n % 10]}{'abcdefghij'[n // 10]}" for n in range(51))
+    rows = [(k, f"text {k} stays\nLes.\nGo on\n\n") for k in range(12)]
+    rows += [(30, f"one\n{passage}"), (31, f"two\n{passage}"), (40, "x" + passage), (41, "x" + passage), (42, passage.rsplit(" ", 1)[0])]
+    docs = files(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r for r in line_templates.drop_recurring_lines(docs, min_docs=12, min_tokens=1).collect()}
+    assert all(got[k]["n_lines"] == 5 and "Les." not in got[k]["text"] and "Go on" not in got[k]["text"] for k in range(12))
+    assert got[30]["text"] == "one" and got[31]["text"] == "two"
+    # Whole copies are no repetition within different texts, and 50 tokens are not over 50.
+    assert {got[k]["n_dropped"] for k in (40, 41, 42)} == {0}

@@ -11,6 +11,8 @@ WILD = "<*>"
 DEPTH = 3
 MIN_TOKENS = 3
 MIN_DOCS = 10
+LONG_TOKENS = 50
+LONG_DOCS = 2
 SIMILARITY = 0.7
 
 
@@ -33,27 +35,33 @@ def _size(line: Column) -> Column:
     return F.size(_tokens(line))
 
 
-def _leaf(line: Column) -> Column:
-    """A hash of the place in the tree, null for lines that are too short."""
+def _leaf(line: Column, min_tokens: int) -> Column:
+    """A hash of the place in the tree, null for empty lines and those of fewer than
+    ``min_tokens`` tokens. Lines shorter than the tree is deep are their own lead."""
     size = _size(line)
-    return F.when(size >= MIN_TOKENS, F.xxhash64(size, _lead(line)))
+    return F.when((line != "") & (size >= min_tokens), F.xxhash64(size, _lead(line)))
 
 
 def _located(docs: DataFrame, text_col: str) -> DataFrame:
     return docs.select(
         F.xxhash64("_metadata.file_path").alias("file"),
         F.col("_metadata.row_index").alias("row"),
+        F.xxhash64(docs[text_col]).alias("text"),
         F.split(mask(docs[text_col]), "\n").alias("lines"),
     )
 
 
-def line_places(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """(file, row, at, hash, length, leaf) of every line, written: a narrow table."""
-    lines = _located(docs, text_col).select("file", "row", F.posexplode("lines").alias("at", "line"))
+def line_places(docs: DataFrame, text_col: str = "text", min_tokens: int = MIN_TOKENS) -> DataFrame:
+    """(file, row, at, hash, length, leaf, text) of every line, written: a narrow table.
+
+    ``text`` is a hash of the whole text for lines of over ``LONG_TOKENS`` tokens, else null.
+    """
+    lines = _located(docs, text_col).select("file", "row", "text", F.posexplode("lines").alias("at", "line"))
     return written(
         lines.select(
             "file", "row", "at", F.xxhash64("line").alias("hash"), F.length("line").alias("length"),
-            _leaf(F.col("line")).alias("leaf"),
+            _leaf(F.col("line"), min_tokens).alias("leaf"),
+            F.when(_size(F.col("line")) > LONG_TOKENS, F.col("text")).alias("text"),
         ),
         "line-places",
     )
@@ -112,13 +120,18 @@ def _fits(line: Column, common: Column, similarity: float) -> Column:
 
 
 def line_templates(
-    docs: DataFrame, places: DataFrame, text_col: str = "text", min_docs: int = MIN_DOCS, similarity: float = SIMILARITY
+    docs: DataFrame,
+    places: DataFrame,
+    text_col: str = "text",
+    min_docs: int = MIN_DOCS,
+    similarity: float = SIMILARITY,
+    min_tokens: int = MIN_TOKENS,
 ) -> DataFrame:
     """(line, template, line_docs): masked lines with the template they belong to.
 
     Lines come to a leaf by token count and leading tokens; leaves with fewer than
-    ``min_docs`` lines and lines of fewer than three tokens cannot recur and are left
-    out. Equal lines are counted before anything is done by leaf.
+    ``min_docs`` lines cannot recur and are left out, as are empty lines and those of fewer than
+    ``min_tokens`` tokens. Equal lines are counted before anything is done by leaf.
 
     A leaf has as many templates as recur in it. In each round the lines of a part (at
     first a leaf) vote: the template has at each position the token of most documents if
@@ -136,10 +149,10 @@ def line_templates(
     )
     lines = _located(docs, text_col).select(F.explode(F.array_distinct("lines")).alias("line"))
     leaves = written(
-        lines.withColumn("leaf", _leaf(F.col("line")))
+        lines.withColumn("leaf", _leaf(F.col("line"), min_tokens))
         .join(busy, "leaf", "left_semi")
         .groupBy("line").agg(F.count("*").alias("line_docs"))
-        .select(_leaf(F.col("line")).alias("part"), "line", "line_docs"),
+        .select(_leaf(F.col("line"), min_tokens).alias("part"), "line", "line_docs"),
         "lines",
     )
     found, pool = None, leaves
@@ -178,9 +191,17 @@ def line_templates(
 
 
 def drop_recurring_lines(
-    docs: DataFrame, text_col: str = "text", min_docs: int = MIN_DOCS, similarity: float = SIMILARITY
+    docs: DataFrame,
+    text_col: str = "text",
+    min_docs: int = MIN_DOCS,
+    similarity: float = SIMILARITY,
+    long_docs: int = LONG_DOCS,
+    min_tokens: int = MIN_TOKENS,
 ) -> DataFrame:
-    """The documents without the lines whose template occurs in ``min_docs`` documents or more.
+    """The documents without the lines whose template occurs in ``min_docs`` documents or more,
+    and without the lines of over ``LONG_TOKENS`` tokens that, masked, stand in ``long_docs``
+    different texts or more. Lines of fewer than ``min_tokens`` tokens stay; with 1 all lines
+    but empty ones count.
 
     ``docs`` reads files. Adds ``n_lines`` and ``n_dropped``; the text keeps its
     other lines, unmasked. A template's documents are counted once each, however many of
@@ -189,9 +210,9 @@ def drop_recurring_lines(
     ids do no harm; other columns are kept, those of the added names replaced; an empty
     table gives no rows.
     """
-    places = line_places(docs, text_col)
+    places = line_places(docs, text_col, min_tokens)
     kinds = written(
-        line_templates(docs, places, text_col, min_docs, similarity).select(
+        line_templates(docs, places, text_col, min_docs, similarity, min_tokens).select(
             F.xxhash64("line").alias("hash"), F.length("line").alias("length"),
             F.xxhash64("template").alias("template"), "line_docs",
         ),
@@ -207,10 +228,19 @@ def drop_recurring_lines(
         .groupBy("template").agg(F.count("*").alias("docs"))
         .where(F.col("docs") >= min_docs)
     )
+    long_lines = places.where("text is not null")
+    passages = (
+        long_lines.groupBy("hash", "length", "text").agg(F.lit(1).alias("one"))
+        .groupBy("hash", "length").agg(F.count("*").alias("texts"))
+        .where(F.col("texts") >= long_docs)
+    )
+    repeated = long_lines.join(written(passages.select("hash", "length"), "passages"), ["hash", "length"], "left_semi")
     gone = (
         found.join(written(recurring.select("template"), "recurring"), "template", "left_semi")
+        .select("file", "row", "at")
+        .unionByName(repeated.select("file", "row", "at"))
         .groupBy("file", "row")
-        .agg(F.collect_list("at").alias("_gone"))
+        .agg(F.collect_set("at").alias("_gone"))
     )
     whole = docs.select(
         F.struct(*docs.columns).alias("_doc"),

@@ -243,7 +243,7 @@ _register(op9_suffix_dedup)
 
 
 def op10_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = line_templates.drop_recurring_lines(documents(spark, sf_dir).select("doc_id", "text"))
+    found = line_templates.drop_recurring_lines(documents(spark, sf_dir).select("doc_id", "text"), min_tokens=1)
     return found.select(
         "doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256")
     )
