@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import filters, indexes, search, traces
+from tidemark.operators import filters, indexes, normalize, search, traces
 from tidemark.plans.facets import Facet
 
 AT = "2026-01-01T00:00:00Z"
@@ -52,3 +52,26 @@ def test_arrays_inside_arrays_are_one_scope(make_events):
     facets = [Facet("items[].subs[].x", "eq", "1"), Facet("items[].subs[].y", "eq", "2")]
     for index in (indexes.kv_index(events), None):
         assert [r["event_id"] for r in filters.filter_facets(events, facets, index).collect()] == ["1"]
+
+
+def nested(levels, value):
+    for _ in range(levels):
+        value = {"a": value}
+    return value
+
+
+def test_deep_leaves_are_found(make_events):
+    for levels in (11, 45):
+        events = make_events(("1", AT, nested(levels, 7)), ("2", AT, {"other": 1}))
+        path = ".".join("a" * levels)
+        for index in (indexes.kv_index(events), None):
+            for negated, want in ((False, ["1"]), (True, ["2"])):
+                facet = Facet(path, "exists", negated=negated)
+                assert [r["event_id"] for r in filters.filter_facets(events, [facet], index).collect()] == want
+        assert f"{path}:7" in indexes.text_index(events).where("event_id = '1'").first()["text"]
+
+
+def test_metrics_have_their_deep_dimensions(make_events):
+    payload = {"event_type": "metric", "metric_name": "m", "metric_value": 1, "deep": nested(12, "x")}
+    config = normalize.discover_metric_definitions(make_events(("1", AT, payload))).first()
+    assert "deep." + ".".join("a" * 12) in str(config)

@@ -16,7 +16,7 @@ whole computation wherever a column is used twice.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 DEFAULT_DEPTH = 10
@@ -90,7 +90,7 @@ def _kinds_sql(payload: str, depth: int) -> str:
         f"if(`{payload}` is null, cast(array() as array<{_NODE}>),"
         f" array(cast(struct('', -1, '', -1, try_parse_json(`{payload}`), true) as {_NODE})))"
     )
-    for level in range(depth):
+    for level in range(min(depth, DEFAULT_DEPTH)):
         # One more level only for the rows that still have open containers.
         s = f"s{level}"
         nodes = bind(
@@ -98,6 +98,13 @@ def _kinds_sql(payload: str, depth: int) -> str:
             s,
             f"if(exists({s}, n -> n.open), flatten(transform({s}, n -> {_unfold('n')})), {s})",
         )
+    if depth > DEFAULT_DEPTH:
+        # Further levels in a loop: the plan must not grow with the depth.
+        nodes = (
+            f"aggregate(sequence(1, {int(depth) - DEFAULT_DEPTH}), cast({nodes} as array<{_NODE}>),"
+            f" (s, level) -> if(exists(s, n -> n.open),"
+            f" cast(flatten(transform(s, n -> {_unfold('n')})) as array<{_NODE}>), s))"
+        )
     return (
         f"transform({nodes}, n -> named_struct('path', n.path, 'slot', n.slot,"
         " 'scope_path', n.scope_path, 'scope_index', n.scope_index, 'value', n.value,"
@@ -145,6 +152,23 @@ def containers_left(payload: str = "data", depth: int = DEFAULT_DEPTH) -> Column
     return F.expr(f"size(filter({_kinds_sql(payload, depth)}, {left}))")
 
 
+def full_depth(df: DataFrame, payload: str = "data") -> int:
+    """Levels to unfold so that no leaf of ``df`` is left out: at least ``DEFAULT_DEPTH``,
+    doubled until one aggregate finds no container below.
+
+    A payload with no more opening brackets than levels cannot be deeper, so only
+    payloads with more are parsed. A stream cannot be looked at beforehand; its callers
+    give a depth, or work on its batches.
+    """
+    if df.isStreaming:
+        raise ValueError("give the depth to unfold a stream, or unfold its batches")
+    brackets = F.length(payload) - F.length(F.translate(payload, "{[", ""))
+    depth = DEFAULT_DEPTH
+    while not df.where((brackets > depth) & (containers_left(payload, depth) > 0)).isEmpty():
+        depth *= 2
+    return depth
+
+
 def nodes_sql(payload: str = "data", depth: int = DEFAULT_DEPTH) -> str:
     """SQL for the array of (path, kind) nodes of the payload, objects and arrays
     included.

@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.leaves import index_rows
+from tidemark.functions.leaves import full_depth, index_rows
 from tidemark.functions.paths import Fields
 from tidemark.plans.facets import Facet, branches, facet_path, leaf_condition
 
@@ -201,13 +201,14 @@ def filter_facets(
     facets: Sequence[Facet],
     index: DataFrame | None = None,
     time_range: TimeRange | None = None,
+    depth: int | None = None,
 ) -> DataFrame:
     """Events that satisfy the facet clauses.
 
     ``index`` is the scalar index; ``time_range`` is applied to both sides so
     that each prunes its own files. Without an index the clauses are evaluated
     on the payload of each row, which needs no shuffle and suits scans that
-    read most of the table anyway.
+    read most of the table anyway; they see all levels of it unless ``depth`` is given.
     """
     if time_range is not None:
         events = in_time(events, time_range)
@@ -217,7 +218,7 @@ def filter_facets(
     if not flags.plain and not flags.scoped:
         return events.where(flags.expression(_flag_column))
     if index is None:
-        return _filter_rows(events, flags)
+        return _filter_rows(events, flags, full_depth(events) if depth is None else depth)
     if time_range is not None:
         index = in_time(index, time_range)
     per_event = _flag_rows(index, flags)
@@ -237,7 +238,7 @@ def plain_scope(scope_path: Column) -> Column:
     return F.replace(scope_path, F.lit("[]"), F.lit(""))
 
 
-def _filter_rows(events: DataFrame, flags: _Flags) -> DataFrame:
+def _filter_rows(events: DataFrame, flags: _Flags, depth: int) -> DataFrame:
     def part(leaf: Column) -> Callable[[str], Column]:
         return lambda name: leaf[name]
 
@@ -268,7 +269,7 @@ def _filter_rows(events: DataFrame, flags: _Flags) -> DataFrame:
         return flags.expression(flag)
 
     # The lambda names the leaves, so the payload is flattened once per row.
-    rows = index_rows()
+    rows = index_rows(depth=depth)
     return events.where(F.exists(F.array(rows), holds))
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.events import bucket, is_error
-from tidemark.functions.leaves import DEFAULT_DEPTH, containers_left, index_rows, text_terms
+from tidemark.functions.leaves import DEFAULT_DEPTH, containers_left, full_depth, index_rows, text_terms
 from tidemark.functions.paths import Fields, shred
 from tidemark.plans.definitions import Definition, of_tenant
 from tidemark.plans.exprs import path_of, paths_in, scalar_text, string_expr
@@ -32,16 +32,17 @@ def kv_index(
     events: DataFrame,
     max_rows: int | None = None,
     max_string: int | None = None,
-    depth: int = DEFAULT_DEPTH,
+    depth: int | None = None,
 ) -> DataFrame:
     """One row per distinct scalar of each event, typed, with its array scope.
 
-    Whole events are indexed. A caller may choose a smaller index: strings over
+    Whole events are indexed, as deep as they are nested unless ``depth`` is given. A caller may choose a smaller index: strings over
     ``max_string`` bytes are then skipped, and at most ``max_rows`` rows of an event
     are kept in key order; such an index answers for what it holds only.
     """
-    rows = index_rows(max_rows, max_string, depth=depth)
-    return _identified(events).select(
+    events = _identified(events)
+    rows = index_rows(max_rows, max_string, depth=full_depth(events) if depth is None else depth)
+    return events.select(
         "tenant_id",
         "timestamp",
         "event_id",
@@ -77,12 +78,16 @@ def _clip_bytes(text: Column, limit: int) -> Column:
 
 
 def text_index(
-    events: DataFrame, max_bytes: int | None = None, depth: int = DEFAULT_DEPTH
+    events: DataFrame, max_bytes: int | None = None, depth: int | None = None
 ) -> DataFrame:
     """One searchable text per event: ``path:value`` terms, ids first.
 
-    Texts are whole unless the caller sets ``max_bytes``.
+    Texts are whole unless the caller sets ``max_bytes``, and hold all levels unless
+    ``depth`` is given.
     """
+    events = _identified(events)
+    if depth is None:
+        depth = full_depth(events)
     ids = F.array(
         *[
             F.struct(F.lit(name).alias("path"), F.col(name).alias("text"))
@@ -96,7 +101,7 @@ def text_index(
         ),
     )
     # Through a generator, so that later uses of the text do not repeat building it.
-    built = _identified(events).select(
+    built = events.select(
         "tenant_id",
         "timestamp",
         "event_id",

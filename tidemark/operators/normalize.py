@@ -7,7 +7,7 @@ import json
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.leaves import nodes_sql, scalar_paths
+from tidemark.functions.leaves import full_depth, nodes_sql, scalar_paths
 
 MAX_EVENT_BYTES = 1_048_576
 
@@ -257,7 +257,7 @@ def discover_metric_definitions(events: DataFrame) -> DataFrame:
     rows = metrics.select(
         "tenant_id",
         F.trim(F.get_json_object("data", "$.metric_name")).alias("metric_name"),
-        F.transform(F.filter(scalar_paths(), usable), lambda leaf: leaf["path"]).alias("paths"),
+        F.transform(F.filter(scalar_paths(depth=full_depth(metrics)), usable), lambda leaf: leaf["path"]).alias("paths"),
     ).where(F.col("metric_name") != "")
     found = (
         rows.select("tenant_id", "metric_name", F.explode_outer("paths").alias("path"))
