@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from tidemark.operators import filters, indexes, normalize, search, traces
+from tidemark.plans.definitions import Definition
 from tidemark.plans.facets import Facet
 
 AT = "2026-01-01T00:00:00Z"
@@ -75,3 +76,15 @@ def test_metrics_have_their_deep_dimensions(make_events):
     payload = {"event_type": "metric", "metric_name": "m", "metric_value": 1, "deep": nested(12, "x")}
     config = normalize.discover_metric_definitions(make_events(("1", AT, payload))).first()
     assert "deep." + ".".join("a" * 12) in str(config)
+
+
+def test_deep_arrays_are_indexed_by_field(make_events):
+    def listed(levels, value):
+        for _ in range(levels):
+            value = [value]
+        return value
+
+    events = make_events(("1", AT, {"tags": ["top", listed(5, "five"), listed(40, "forty"), {"no": 1}]}), ("2", AT, {"tags": "plain"}))
+    config = {"outputs": [{"field_name": "tag", "value": {"path": "tags"}}]}
+    rows = indexes.field_index(events, [Definition("d", "field", config, "t", "tags")])
+    assert sorted(r["value"] for r in rows.collect()) == ["five", "forty", "plain", "top"]

@@ -145,16 +145,22 @@ def field_values(events: DataFrame) -> DataFrame:
     )
 
 
-def _scalar_texts(fields: Fields, path: str, depth: int = 4) -> Column:
-    """The value's text, or the texts of all scalars in a (nested) array."""
-    items = F.array(fields.variant(path))
-    for _ in range(depth):
-        items = F.flatten(
-            F.transform(
-                items,
-                lambda v: F.coalesce(F.try_variant_get(v, "$", "array<variant>"), F.array(v)),
-            )
+def _scalar_texts(fields: Fields, path: str, depth: int) -> Column:
+    """The value's text, or the texts of all scalars in an array nested up to ``depth`` levels."""
+    unnest = lambda items: F.flatten(
+        F.transform(
+            items, lambda v: F.coalesce(F.try_variant_get(v, "$", "array<variant>"), F.array(v))
         )
+    )
+    # A loop: the plan must not grow with the depth. It idles once no array is left.
+    items = F.aggregate(
+        F.sequence(F.lit(1), F.lit(depth)),
+        F.array(fields.variant(path)),
+        lambda items, _: F.when(
+            F.exists(items, lambda v: F.coalesce(F.schema_of_variant(v), F.lit("")).startswith("ARRAY")),
+            unnest(items),
+        ).otherwise(items),
+    )
     scalars = F.filter(
         items,
         lambda v: ~F.coalesce(F.schema_of_variant(v), F.lit("VOID")).rlike("^(OBJECT|ARRAY|VOID)"),
@@ -181,8 +187,10 @@ def field_index(events: DataFrame, definitions: Sequence[Definition]) -> DataFra
     """Rows for declared fields: one per distinct value, arrays fan out.
 
     Within an event a (mode, field, type, value) appears once, from the first
-    definition that gives it; this is settled inside the row.
+    definition that gives it; this is settled inside the row. Arrays are unnested as
+    deep as the payloads go, like those of the scalar index.
     """
+    depth = full_depth(events)
     by_tenant: dict[str, list[Definition]] = {}
     for definition in definitions:
         by_tenant.setdefault(definition.tenant_id, []).append(definition)
@@ -194,7 +202,7 @@ def field_index(events: DataFrame, definitions: Sequence[Definition]) -> DataFra
             groups.append(list(chunk))
     result = None
     for group in groups:
-        part = _field_index_part(events, group)
+        part = _field_index_part(events, group, depth)
         result = part if result is None else result.unionByName(part)
     if result is None:
         raise ValueError("no field definitions")
@@ -217,7 +225,7 @@ def _field_structs(
     )
 
 
-def _field_index_part(events: DataFrame, group: list[Definition]) -> DataFrame:
+def _field_index_part(events: DataFrame, group: list[Definition], depth: int) -> DataFrame:
     paths = set().union(*(paths_in(d.config) for d in group)) | {"start_time", "end_time"}
     parsed = shred(events, paths)
     fields = Fields(parsed)
@@ -227,7 +235,7 @@ def _field_index_part(events: DataFrame, group: list[Definition]) -> DataFrame:
         for output in _field_outputs(definition):
             path = path_of(output["value"])
             texts = (
-                _scalar_texts(fields, path)
+                _scalar_texts(fields, path, depth)
                 if path
                 else F.array(F.lit(scalar_text(output["value"])))
             )
