@@ -9,11 +9,14 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import (
     chat_format,
+    collocations,
     decontaminate,
     exact_dedup,
     language_id,
     lattice_lm,
+    license_scan,
     line_templates,
+    merkle_manifest,
     piece_codec,
     simhash,
     suffix_dedup,
@@ -250,3 +253,168 @@ def op10_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _register(op10_line_templates)
+
+
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(documents(spark, sf_dir))
+
+
+_register(
+    op11_collocations,
+    r"""
+    WITH texts AS (
+        SELECT coalesce(lang, 'und') AS lang, doc_id,
+               translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text
+        FROM documents
+    ), pieces AS (
+        SELECT lang, doc_id, unnest(string_split_regex(text, '[.,;:!?\x0A-\x0D]')) AS piece FROM texts
+    ), worded AS (
+        SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces
+    ), grams AS (
+        SELECT lang, phrase, count(*) AS f
+        FROM (SELECT lang, unnest(flatten(list_transform(range(1, len(w) + 1),
+                     lambda i: list_transform(range(i, least(i + 3, len(w)) + 1), lambda j: array_to_string(w[i:j], ' '))))) AS phrase
+              FROM worded)
+        GROUP BY ALL
+    ), totals AS (
+        SELECT lang, sum(len(w))::BIGINT AS n FROM worded GROUP BY lang
+    ), candidates AS (
+        SELECT lang, phrase, f AS a, string_split(phrase, ' ') AS w FROM grams WHERE f >= 30 AND contains(phrase, ' ')
+    ), cuts AS (
+        SELECT lang, phrase, a, w, k, array_to_string(w[:k], ' ') AS head, array_to_string(w[k + 1:], ' ') AS rest
+        FROM (SELECT *, unnest(range(1, len(w))) AS k FROM candidates)
+    ), weighed AS (
+        SELECT c.lang, c.phrase, c.a, c.w, c.k, x.f AS l, y.f AS r, (c.a::HUGEINT * 2000000) // (x.f::HUGEINT + y.f) AS score
+        FROM cuts c JOIN grams x ON x.lang = c.lang AND x.phrase = c.head JOIN grams y ON y.lang = c.lang AND y.phrase = c.rest
+    ), weakest AS (
+        SELECT * FROM weighed QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+    ), kept AS (
+        SELECT * FROM weakest s
+        WHERE NOT EXISTS (
+            SELECT 1 FROM candidates t
+            WHERE t.lang = s.lang AND len(t.w) > len(s.w) AND contains(' ' || t.phrase || ' ', ' ' || s.phrase || ' ')
+              AND 100 * t.a::HUGEINT >= 80 * s.a::HUGEINT)
+    )
+    SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank,
+           phrase, a, l, r, n, score::BIGINT AS score
+    FROM kept JOIN totals USING (lang)
+    QUALIFY row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) <= 2000
+    """,
+)
+
+
+def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(documents(spark, sf_dir)).withColumnRenamed("id", "doc_id")
+
+
+def _sql_list(items: list[str]) -> str:
+    return "[" + ", ".join(f"'{x}'" for x in items) + "]"
+
+
+def _license_sql() -> str:
+    """Every block against every template by counting, and every place against every phrase."""
+    templates = ", ".join(
+        f"('{label}', {license_scan.step_of(len(w))}, {_sql_list(sorted(set(w)))})"
+        for label, w in ((label, license_scan.plain_words(text)) for label, text in license_scan.TEMPLATES)
+    )
+    phrases = ", ".join(f"('{label}', {_sql_list(p.split(' '))})" for p, label in license_scan.PHRASES.items())
+    return rf"""
+    WITH worded AS (
+        SELECT doc_id, regexp_extract_all(
+            translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+    ), templates(label, step, t) AS (VALUES {templates}
+    ), phrases(label, p) AS (VALUES {phrases}
+    ), places AS (
+        SELECT doc_id, label, k - 1 AS place
+        FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS k FROM worded) JOIN phrases ON w[k] = p[1] AND w[k:k + len(p) - 1] = p
+    ), blocks AS (
+        SELECT doc_id, step, b, w[b * step + 1:b * step + 2 * step] AS w
+        FROM (SELECT doc_id, w, step, unnest(range(0, greatest((len(w) - 1) // step + 1, 1))) AS b
+              FROM worded, (SELECT DISTINCT step FROM templates))
+    ), held AS (
+        SELECT doc_id, label, len(list_intersect(t, w)) AS n, len(t) AS size
+        FROM blocks JOIN templates USING (step)
+    ), hits AS (
+        SELECT doc_id, label, max(n / size) AS c FROM held WHERE 100 * n >= {license_scan.PERCENT} * size GROUP BY doc_id, label
+    ), base AS (
+        SELECT doc_id, count(*) AS n_base, min(place) AS first_word, max(place) AS last_word, list_sort(list(DISTINCT label)) AS labels
+        FROM places GROUP BY doc_id
+    ), more AS (
+        SELECT doc_id, list(DISTINCT label) AS labels, max(c) AS best FROM hits GROUP BY doc_id
+    )
+    SELECT w.doc_id, len(w.w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word, last_word,
+           coalesce(array_to_string(base.labels, ','), '') AS base_labels,
+           array_to_string(list_sort(list_distinct(list_concat(coalesce(base.labels, []), coalesce(more.labels, [])))), ',') AS labels,
+           CASE WHEN n_base > 0 THEN 1.0::DOUBLE ELSE coalesce(best, 0.0::DOUBLE) END AS score
+    FROM worded w LEFT JOIN base USING (doc_id) LEFT JOIN more USING (doc_id)
+    """
+
+
+_register(op12_license_scan, _license_sql())
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = merkle_manifest.verify(documents(spark, sf_dir))
+    text = lambda name: F.lower(F.hex(name))
+    return found.select(
+        F.col("id").alias("doc_id"), text("leaf").alias("leaf"), text("subroot").alias("subroot"), text("root").alias("root"),
+        text("proof").alias("proof_sha256"), text("folded_root").alias("folded_root"), "verified",
+    )
+
+
+def _field_sql(value: str) -> str:
+    return f"coalesce(strlen({value}::VARCHAR)::VARCHAR || ':' || {value}::VARCHAR, '-')"
+
+
+def _leaf_sql(text: str) -> str:
+    return f"sha256({' || '.join(_field_sql(c) for c in ('doc_id', 'source', 'lang', 'n_chars', text))})"
+
+
+_register(
+    op13_merkle_manifest,
+    f"""
+    WITH RECURSIVE leaves AS (
+        SELECT doc_id, source, {_leaf_sql("text")} AS leaf,
+               {_leaf_sql("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS changed,
+               xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(doc_id::VARCHAR, ''),
+                   lambda d: [ascii(d)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+                   lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) ELSE xor(c >> 1, 3988292384 * (c & 1)) END), 4294967295::BIGINT) AS crc
+        FROM documents
+    ), placed AS (
+        SELECT *, coalesce('=' || source, '-') AS tree,
+               row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM leaves
+    ), levels AS (
+        SELECT tree, 0 AS lev, list(leaf ORDER BY pos) AS nodes FROM placed GROUP BY tree
+        UNION ALL
+        SELECT tree, lev + 1, list_transform(range(0, len(nodes), 16), lambda i: sha256(array_to_string(nodes[i + 1:i + 16], '')))
+        FROM levels WHERE len(nodes) > 1
+    ), subroots AS (
+        SELECT tree, nodes[1] AS subroot, row_number() OVER (ORDER BY tree) - 1 AS pos FROM levels WHERE len(nodes) = 1
+    ), upper AS (
+        SELECT 0 AS lev, list(subroot ORDER BY pos) AS nodes FROM subroots
+        UNION ALL
+        SELECT lev + 1, list_transform(range(0, len(nodes), 16), lambda i: sha256(array_to_string(nodes[i + 1:i + 16], '')))
+        FROM upper WHERE len(nodes) > 1
+    ), folded AS (
+        SELECT doc_id, tree, 0 AS lev, pos, CASE WHEN crc % 5 = 0 THEN changed ELSE leaf END AS digest, '' AS proof FROM placed
+        UNION ALL
+        SELECT doc_id, tree, lev + 1, pos // 16,
+               sha256(array_to_string(nodes[pos // 16 * 16 + 1:pos], '') || digest || array_to_string(nodes[pos + 2:pos // 16 * 16 + 16], '')),
+               proof || array_to_string(nodes[pos // 16 * 16 + 1:pos], '') || array_to_string(nodes[pos + 2:pos // 16 * 16 + 16], '')
+        FROM folded JOIN levels USING (tree, lev) WHERE len(nodes) > 1
+    ), raised AS (
+        SELECT doc_id, 0 AS lev, s.pos, digest, proof
+        FROM folded JOIN levels USING (tree, lev) JOIN subroots s USING (tree) WHERE len(nodes) = 1
+        UNION ALL
+        SELECT doc_id, lev + 1, pos // 16,
+               sha256(array_to_string(nodes[pos // 16 * 16 + 1:pos], '') || digest || array_to_string(nodes[pos + 2:pos // 16 * 16 + 16], '')),
+               proof || array_to_string(nodes[pos // 16 * 16 + 1:pos], '') || array_to_string(nodes[pos + 2:pos // 16 * 16 + 16], '')
+        FROM raised JOIN upper USING (lev) WHERE len(nodes) > 1
+    ), top AS (
+        SELECT lev, nodes[1] AS root FROM upper WHERE len(nodes) = 1
+    )
+    SELECT p.doc_id, p.leaf, s.subroot, t.root, sha256(r.proof) AS proof_sha256, r.digest AS folded_root, r.digest = t.root AS verified
+    FROM placed p JOIN subroots s USING (tree) JOIN raised r ON r.doc_id = p.doc_id JOIN top t ON t.lev = r.lev
+    """,
+)
