@@ -158,7 +158,7 @@ def test_urls_and_aliases(spark):
     frame = spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("verdict", F.lit("clash"))
     got = {r["page_id"]: r for r in url_filter.judge(frame, queries.URL_RULES).collect()}
     assert (got[1]["host"], got[1]["path"], got[1]["rule"], got[1]["verdict"]) == ("a.example.org", "/es/x", "example.org/es/", "block")
-    assert (got[2]["rule"], got[2]["verdict"]) == ("example.org/en/1", "allow")
+    assert (got[2]["rule"], got[2]["verdict"]) == ("example.org/en/1", "block")
     assert (got[6]["host"], got[6]["path"], got[6]["rule"], got[6]["verdict"]) == ("", "", None, "allow")
     assert got[8]["verdict"] == "allow" and got[3]["verdict"] == "allow" and got[5]["verdict"] == "allow"
     assert got[3]["alias_of"] == got[5]["alias_of"] == got[8]["alias_of"]

@@ -58,7 +58,7 @@ _register(
 URL_RULES = [
     url_filter.Rule("allow", "org", "/"),
     url_filter.Rule("block", "example.org", "/es/"),
-    url_filter.Rule("allow", "example.org", "/en/1"),
+    url_filter.Rule("block", "example.org", "/en/1"),
     url_filter.Rule("allow", "com", "/fr/"),
     url_filter.Rule("block", "com", "/de/"),
 ]
@@ -81,7 +81,7 @@ _register(
                               '(?is)\bhref\s*=\s*["'']([a-z]+://[^"'']*)', 1) AS link
         FROM pages
     ), rules(verdict, rhost, rpath) AS (
-        VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('allow', 'example.org', '/en/1'),
+        VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'),
                ('allow', 'com', '/fr/'), ('block', 'com', '/de/')
     ), keyed AS (
         SELECT page_id, host, path, host || path || query AS key,
