@@ -266,14 +266,15 @@ def fold(manifest: Manifest, replacements: DataFrame) -> DataFrame:
         "key", "tree", "pos", "digest", F.lit(bytearray(_bytes(START[:, None]).tobytes())).alias("proof"),
         F.lit(0).cast("long").alias("blocks"),
     )
+    # Each step is written, so a task runs one Python worker however many levels there are.
     for parents in manifest.levels:
-        rows = fold_step(rows, parents)
+        rows = written(fold_step(rows, parents), "folded")
     places = manifest.subroots.select(F.col("tree").alias("_root"), F.col("source").alias("tree"), F.col("pos").alias("_pos"))
     rows = rows.drop("pos").join(places, "tree").select(
         "key", F.col("_root").alias("tree"), F.col("_pos").alias("pos"), "digest", "proof", "blocks"
     )
     for parents in manifest.upper:
-        rows = fold_step(rows, parents)
+        rows = written(fold_step(rows, parents), "folded")
 
     def end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
