@@ -203,7 +203,8 @@ def build(leaves: DataFrame) -> Manifest:
 
     Leaves of a tree ascend by id, null first; equal ids by digest, then by place in the files.
     """
-    placed = numbered(leaves, "tree", ["id", "digest", "file", "row"], "leaves")
+    # Dealing by ranges reads its input twice; the texts are hashed once.
+    placed = numbered(written(leaves, "hashed"), "tree", ["id", "digest", "file", "row"], "leaves")
     levels, tops = grown(placed.select("tree", "pos", "left", "digest"), "sources")
     tops = tops.select(F.lit(ROOT).alias("tree"), F.col("tree").alias("source"), "digest")
     subroots = numbered(tops, "tree", ["source"], "subroots")
