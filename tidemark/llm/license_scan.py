@@ -53,13 +53,13 @@ TEMPLATES = [
 PERCENT = 90
 SMALLEST_BLOCK = 16
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]++"
+_GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]++"
 
 
 def words_of(text: Column) -> Column:
     """Runs of a-z, 0-9 and characters outside ASCII, after A-Z became a-z."""
     lower = F.translate(F.coalesce(text, F.lit("")), _UPPER, _LOWER)
-    return F.regexp_extract_all(lower, F.lit(_WORD), F.lit(0))
+    return F.array_remove(F.split(lower, _GAP), "")
 
 
 def plain_words(text: str) -> list[str]:
