@@ -18,8 +18,9 @@ MIN_COUNT = 30
 TOP = 2000
 SALTS = 256
 UNKNOWN = "und"
-CHUNK_BYTES = 4 << 20
-ROUTE_ROWS = 1 << 20
+CHUNK_BYTES = 1 << 20
+ROUTE_ROWS = 1 << 19
+OUT_ROWS = 1 << 16
 FILTER_BITS = 26
 _TABLE = bytes(
     0x20 if b in b"\t " else 0x0A if b in b".,;:!?\n\v\f\r" else b + 32 if 65 <= b <= 90 else b for b in range(256)
@@ -42,7 +43,7 @@ def tokens(text: bytes) -> tuple[np.ndarray, pa.Array, np.ndarray]:
 
 
 def chunks(batch: pa.RecordBatch) -> Iterator[tuple[str, bytes]]:
-    """(lang, text) of the rows of a batch, texts of one language joined up to a few megabytes."""
+    """(lang, text) of the rows of a batch, texts of one language joined up to about a megabyte."""
     pending: dict[str, list[bytes]] = {}
     sizes: dict[str, int] = {}
     for lang, text in zip(batch.column(0).to_pylist(), batch.column(1)):
@@ -62,9 +63,11 @@ def _phrases(words: pa.Array, parts: list[np.ndarray]) -> pa.Array:
     return pc.binary_join_element_wise(*columns, " ", null_handling="skip")
 
 
-def _rows(lang: str, names: list[str], *columns: pa.Array) -> pa.RecordBatch:
-    langs = pa.DictionaryArray.from_arrays(pa.array(np.zeros(len(columns[0]), np.int32)), pa.array([lang])).cast(pa.string())
-    return pa.RecordBatch.from_arrays([langs, *columns], ["lang", *names])
+def _rows(lang: str, names: list[str], *columns: pa.Array) -> Iterator[pa.RecordBatch]:
+    for at in range(0, len(columns[0]), OUT_ROWS):
+        part = [c.slice(at, OUT_ROWS) for c in columns]
+        langs = pa.DictionaryArray.from_arrays(pa.array(np.zeros(len(part[0]), np.int32)), pa.array([lang])).cast(pa.string())
+        yield pa.RecordBatch.from_arrays([langs, *part], ["lang", *names])
 
 
 def leading_words(texts: DataFrame) -> DataFrame:
@@ -77,11 +80,11 @@ def leading_words(texts: DataFrame) -> DataFrame:
                 if not len(ids):
                     continue
                 total = pa.array([""]), pa.array([len(ids)], pa.int64())
-                yield _rows(lang, ["phrase", "n"], *total)
-                yield _rows(lang, ["phrase", "n"], words, pa.array(np.bincount(ids, minlength=len(words))))
+                yield from _rows(lang, ["phrase", "n"], *total)
+                yield from _rows(lang, ["phrase", "n"], words, pa.array(np.bincount(ids, minlength=len(words))))
                 joined = np.flatnonzero(piece[1:] == piece[:-1])
                 pairs, times = np.unique(ids[joined].astype(np.int64) * len(words) + ids[joined + 1], return_counts=True)
-                yield _rows(lang, ["phrase", "n"], _phrases(words, list(np.divmod(pairs, len(words)))), pa.array(times))
+                yield from _rows(lang, ["phrase", "n"], _phrases(words, list(np.divmod(pairs, len(words)))), pa.array(times))
 
     counted = texts.mapInArrow(run, "lang string, phrase string, n long")
     return counted.groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
@@ -131,7 +134,7 @@ def suffixes(texts: DataFrame, pairs: DataFrame) -> DataFrame:
 
     A suffix ends with its piece, at ``DEPTH`` words, or before the first pair that the
     filter knows to be infrequent, as no frequent phrase has such a pair. Equal
-    suffixes of a few megabytes of text are one row already.
+    suffixes of about a megabyte of text are one row already.
     """
     held = texts.sparkSession.sparkContext.broadcast(pair_filter(pairs))
 
@@ -156,7 +159,7 @@ def suffixes(texts: DataFrame, pairs: DataFrame) -> DataFrame:
                 both, times = np.unique(head.astype(np.int64) * len(tails) + tail, return_counts=True)
                 head, tail = heads[both // len(tails)], tails[both % len(tails)]
                 parts = [head // size, head % size, tail // size, tail % size - 1]
-                yield _rows(lang, ["suffix", "n"], _phrases(words, parts), pa.array(times))
+                yield from _rows(lang, ["suffix", "n"], _phrases(words, parts), pa.array(times))
 
     return texts.mapInArrow(run, "lang string, suffix string, n long")
 
@@ -211,7 +214,7 @@ def _sorted_counts(lang: str, rows: list[pa.RecordBatch], least: int) -> Iterato
     for depth, at, sizes in equal_partitions(words, table.column("n").to_numpy(), least):
         if depth > 2:
             parts = [words[at, k] for k in range(depth)]
-            yield _rows(lang, ["phrase", "n"], _phrases(coded.dictionary, parts), pa.array(sizes))
+            yield from _rows(lang, ["phrase", "n"], _phrases(coded.dictionary, parts), pa.array(sizes))
 
 
 def deep_counts(rows: DataFrame, least: int) -> DataFrame:
