@@ -3,18 +3,22 @@
 Only Parquet is assumed. An append writes its files to a folder of its own and
 becomes visible by one commit row; readers take their file list from the
 commits. Upserts rewrite the touched partitions only (dynamic overwrite) or, for
-unpartitioned tables, write a new version folder and switch a pointer.
+unpartitioned tables, write a new version folder and switch a pointer. Tables of
+groups are kept in slots by a hash of the group, each with a pointer of its own.
 """
 
 from __future__ import annotations
 
 import datetime as dt
 import hashlib
+import json
 import math
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tidemark.schema import COMMITS, EVENTS
 from tidemark.sources.events import read_events, write_events
@@ -41,7 +45,7 @@ def read_ledger(spark: SparkSession, root: str) -> DataFrame:
     path = f"{root}/commits"
     if not exists(spark, path):
         return spark.createDataFrame([], COMMITS)
-    return spark.read.schema(COMMITS).parquet(path)
+    return spark.read.schema(COMMITS).option("recursiveFileLookup", "true").parquet(path)
 
 
 def append_batch(
@@ -51,7 +55,10 @@ def append_batch(
 
     A known id returns the earlier commit without writing. An attempt that failed
     half way leaves only uncommitted files, which the retry overwrites, days it no
-    longer has included. A store has one writer at a time.
+    longer has included. Writers of different batches may work at once: data and commit
+    row of a batch have folders of their own. Two such commits may get the same
+    ``sequence``, which only orders them roughly; readers that must not miss one keep
+    the set of batch ids they have taken in.
     """
     spark = events.sparkSession
     ledger = read_ledger(spark, root)
@@ -75,7 +82,7 @@ def append_batch(
         "data_files": files,
     }
     commit = spark.createDataFrame([tuple(row[f.name] for f in COMMITS.fields)], COMMITS)
-    commit.coalesce(1).write.mode("append").parquet(f"{root}/commits")
+    commit.coalesce(1).write.mode("overwrite").parquet(f"{root}/commits/{folder}")
     return row
 
 
@@ -89,25 +96,37 @@ def committed_files(ledger: DataFrame) -> DataFrame:
     )
 
 
+_PLACE = r"(batch=[^/]+/event_date=[^/]+)/"
+
+
 def read_committed(
     spark: SparkSession,
     root: str,
     after_sequence: int = 0,
     days: Sequence[dt.date] | None = None,
+    commits: DataFrame | None = None,
+    places: DataFrame | None = None,
+    with_place: bool = False,
 ) -> DataFrame:
     """Events of all commits (or those after a sequence number), each file once.
 
-    ``days`` keeps only the files of these days; files hold one day each.
+    ``days`` keeps only the files of these days; files hold one day each. ``commits`` are
+    ledger rows to read instead of all, ``places`` rows (place) that name the days of
+    batches to read; ``with_place`` adds that column.
     """
-    ledger = read_ledger(spark, root).where(F.col("sequence") > after_sequence)
-    found = committed_files(ledger).select("data_file")
+    ledger = commits if commits is not None else read_ledger(spark, root)
+    found = committed_files(ledger.where(F.col("sequence") > after_sequence)).select("data_file")
     if days is not None:
         day = F.regexp_extract("data_file", r"event_date=(\d{4}-\d{2}-\d{2})", 1)
         found = found.where(day.isin([d.isoformat() for d in days]))
-    files = [row[0] for row in found.collect()]
+    if places is not None:
+        found = found.withColumn("place", F.regexp_extract("data_file", _PLACE, 1)).join(places, "place", "left_semi")
+    files = [row["data_file"] for row in found.collect()]
     if not files:
-        return spark.createDataFrame([], EVENTS)
-    return read_events(spark, files).drop("event_date")
+        nothing = spark.createDataFrame([], EVENTS)
+        return nothing.withColumn("place", F.lit("")) if with_place else nothing
+    events = read_events(spark, files).drop("event_date")
+    return events.withColumn("place", F.regexp_extract("_metadata.file_path", _PLACE, 1)) if with_place else events
 
 
 def _ordered(order_col: str | None) -> Column:
@@ -210,6 +229,58 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+_POINTERS = "number bigint, slot int, step string, filled boolean, slots int, columns string"
+
+
+def _slot(keys: Sequence[str], slots: int) -> Column:
+    return F.pmod(F.xxhash64(*[F.col(k).cast("string") for k in keys]), F.lit(slots)).cast("int")
+
+
+def _pointers(spark: SparkSession, path: str) -> DataFrame:
+    """The newest pointer of each slot: at most as many rows as the table has slots."""
+    rows = spark.createDataFrame([], _POINTERS)
+    if exists(spark, f"{path}/_slots"):
+        rows = spark.read.schema(_POINTERS).option("recursiveFileLookup", "true").parquet(f"{path}/_slots")
+    rest = F.struct("number", "step", "filled", "slots", "columns")
+    return rows.groupBy("slot").agg(F.max_by(rest, "number").alias("p")).select("slot", "p.*")
+
+
+def replace_slots(rows: DataFrame, gone: DataFrame, path: str, keys: Sequence[str], slots: int) -> list[int]:
+    """Put ``rows`` in place of all rows of the groups ``gone`` (``keys``); returns the slots rewritten.
+
+    A group's slot is a hash of its keys. Only slots of such groups are read and written,
+    into a folder of the step's own; one pointer row per slot, all in one file, then
+    makes them current, so readers see the step whole or not at all.
+    """
+    spark = rows.sparkSession
+    known = _pointers(spark, path).collect()
+    slots = known[0]["slots"] if known else slots
+    number = max((p["number"] for p in known), default=0) + 1
+    touched = [r["slot"] for r in gone.select(_slot(keys, slots).alias("slot")).distinct().collect()]
+    current = read_slots(spark, path, touched) if known else None
+    if current is not None:
+        rows = current.join(gone.select(*keys).distinct(), list(keys), "left_anti").select(*rows.columns).unionByName(rows)
+    step, seen = uuid.uuid4().hex, Observation()
+    placed = rows.withColumn("__slot", _slot(keys, slots)).hint("rebalance", "__slot")
+    placed.observe(seen, F.collect_set("__slot").alias("filled")).write.partitionBy("__slot").parquet(f"{path}/step={step}")
+    filled, columns = set(seen.get["filled"]), json.dumps(rows.schema.jsonValue())
+    pointers = [(number, slot, step, slot in filled, slots, columns) for slot in touched]
+    if pointers:
+        spark.createDataFrame(pointers, _POINTERS).coalesce(1).write.parquet(f"{path}/_slots/{step}")
+    return touched
+
+
+def read_slots(spark: SparkSession, path: str, only: Sequence[int] | None = None) -> DataFrame | None:
+    """The current rows of a table kept by ``replace_slots``, or of some slots of it; None before its first step."""
+    pointers = _pointers(spark, path).collect()
+    if not pointers:
+        return None
+    schema = StructType.fromJson(json.loads(max(pointers, key=lambda p: p["number"])["columns"]))
+    wanted = [p for p in pointers if p["filled"] and (only is None or p["slot"] in set(only))]
+    folders = [f"{path}/step={p['step']}/__slot={p['slot']}" for p in wanted]
+    return spark.read.schema(schema).parquet(*folders) if folders else spark.createDataFrame([], schema)
+
+
 def _listing(spark: SparkSession, path: str) -> DataFrame:
     """Files below a path with their sizes; contents are not read."""
     return (

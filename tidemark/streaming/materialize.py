@@ -6,27 +6,33 @@ recomputed whole from the committed events and replaced. Rows that depend on eve
 of several days (cohort members, traces, current state, retention) belong to a group
 instead, such as an entity, a trace or a tenant; the touched groups are recomputed
 from all their events. Running the same step again therefore gives the same table.
+
+Which commits a table has taken in is kept as a set, so writers may number commits as
+they like. Two narrow inverted tables, one from events and one from groups to the
+places (days of batches) that hold them, tell a refresh what to read.
 """
 
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators.filters import EVENT_KEY, in_window
+from tidemark.operators.filters import EVENT_KEY, in_window, instant
 from tidemark.operators.normalize import dedupe_events
+from tidemark.session import shared_folder
 from tidemark.sources.tables import (
-    current_version,
     exists,
-    publish,
     read_committed,
     read_ledger,
+    read_slots,
     read_table,
     replace_groups,
+    replace_slots,
 )
 
 Build = Callable[[DataFrame], DataFrame]
@@ -39,13 +45,15 @@ class DerivedTable:
     ``time`` is the column that gives a row's day, if its day's events are all it
     depends on. Otherwise ``group`` names columns of the rows and gives for each the
     column of the events; events that agree in them are all a row depends on, and
-    events with a null among them count for no row.
+    events with a null among them count for no row. Such a table is stored in ``slots``
+    by a hash of the group; a refresh rewrites the slots of the touched groups.
     """
 
     name: str
     build: Build
     time: str = "bucket_time"
     group: Mapping[str, Callable[[DataFrame], Column]] | None = None
+    slots: int = 64
 
 
 def read_watermarks(spark: SparkSession, root: str) -> DataFrame:
@@ -63,32 +71,65 @@ def _advance(spark: SparkSession, root: str, table: str, sequence: int) -> None:
     ).write.mode("append").parquet(f"{root}/watermarks")
 
 
+PROGRESS = "serving_table string, batch_id string"
+
+
+def read_progress(spark: SparkSession, root: str) -> DataFrame:
+    """(serving_table, batch_id) of the commits that each table has taken in."""
+    path = f"{root}/progress"
+    if not exists(spark, path):
+        return spark.createDataFrame([], PROGRESS)
+    return spark.read.schema(PROGRESS).option("recursiveFileLookup", "true").parquet(path)
+
+
+def new_commits(spark: SparkSession, root: str, table: str) -> DataFrame:
+    """Ledger rows that ``table`` has not taken in; the order and numbers of commits play no part."""
+    done = read_progress(spark, root).where(F.col("serving_table") == table).select("batch_id")
+    ledger = read_ledger(spark, root)
+    if done.isEmpty():
+        # A store from before progress was a set has only numbers.
+        marks = read_watermarks(spark, root).where(F.col("serving_table") == table)
+        ledger = ledger.where(F.col("sequence") > (marks.agg(F.max("source_sequence")).first()[0] or 0))
+    return ledger.join(done, "batch_id", "left_anti").select(*ledger.columns)
+
+
+def _take_in(spark: SparkSession, root: str, table: str, commits: DataFrame) -> None:
+    rows = commits.select(F.lit(table).alias("serving_table"), "batch_id")
+    rows.write.parquet(f"{root}/progress/{uuid.uuid4().hex}")
+    _advance(spark, root, table, commits.agg(F.max("sequence")).first()[0])
+
+
+class _Work:
+    """Intermediate tables of one refresh, in a shared folder of its own."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folder = spark, shared_folder(spark, "refresh")
+
+    def kept(self, rows: DataFrame, name: str) -> DataFrame:
+        rows.write.parquet(f"{self.folder}/{name}")
+        return self.spark.read.schema(rows.schema).parquet(f"{self.folder}/{name}")
+
+
 def materialize(spark: SparkSession, root: str, tables: Sequence[DerivedTable]) -> dict[str, int]:
-    """Bring every lagging table up to the newest commit; returns its sequence.
+    """Bring every table up to all commits there are; returns the newest sequence.
 
-    Only tables behind the newest commit are written, and each one's watermark
-    advances after its own write.
+    Only tables with commits still to take in are written, and each one records them
+    after its own write; a step that breaks before is done again, with the same rows.
     """
     latest = read_ledger(spark, root).agg(F.max("sequence")).first()[0] or 0
-    marks = {
-        row["serving_table"]: row["s"]
-        for row in read_watermarks(spark, root)
-        .groupBy("serving_table")
-        .agg(F.max("source_sequence").alias("s"))
-        .collect()
-    }
     result = {}
     for table in tables:
-        reached = marks.get(table.name, 0)
-        if reached < latest:
-            (_refresh_groups if table.group else _refresh)(spark, root, table, reached)
-            _advance(spark, root, table.name, latest)
+        work = _Work(spark)
+        fresh = work.kept(new_commits(spark, root, table.name), "commits")
+        if not fresh.isEmpty():
+            (_refresh_groups if table.group else _refresh)(spark, root, table, fresh, work)
+            _take_in(spark, root, table.name, fresh)
         result[table.name] = latest
     return result
 
 
-def _refresh(spark: SparkSession, root: str, table: DerivedTable, reached: int) -> None:
-    fresh = read_committed(spark, root, after_sequence=reached)
+def _refresh(spark: SparkSession, root: str, table: DerivedTable, commits: DataFrame, work: _Work) -> None:
+    fresh = read_committed(spark, root, commits=commits)
     days = [r[0] for r in fresh.select(F.to_date("timestamp").alias("d")).distinct().collect()]
     if not days:
         return
@@ -99,33 +140,80 @@ def _refresh(spark: SparkSession, root: str, table: DerivedTable, reached: int)
     replace_groups(rows, f"{root}/tables/{table.name}", "bucket_date", days)
 
 
-def _refresh_groups(spark: SparkSession, root: str, table: DerivedTable, reached: int) -> None:
+# The name under which the index of events records its commits.
+EVENT_PLACES = "_event_places"
+
+
+def _event_hash() -> Column:
+    return F.xxhash64(*EVENT_KEY).alias("event")
+
+
+def _index(spark: SparkSession, root: str, name: str) -> DataFrame:
+    return spark.read.option("recursiveFileLookup", "true").parquet(f"{root}/index/{name}")
+
+
+def _add_to_index(rows: DataFrame, root: str, name: str) -> None:
+    """Rows that are there already do no harm, so a step may be done again."""
+    rows.distinct().write.parquet(f"{root}/index/{name}/{uuid.uuid4().hex}")
+
+
+def index_event_places(spark: SparkSession, root: str) -> DataFrame:
+    """(event, place): where the deliveries of each event lie, by a hash of its key, brought up to date.
+
+    A row takes a hundredth of its event; a hash that two events share makes a refresh
+    read a place too many and nothing else.
+    """
+    work = _Work(spark)
+    fresh = work.kept(new_commits(spark, root, EVENT_PLACES), "commits")
+    if not fresh.isEmpty():
+        events = read_committed(spark, root, commits=fresh, with_place=True)
+        _add_to_index(events.select(_event_hash(), "place"), root, EVENT_PLACES)
+        _take_in(spark, root, EVENT_PLACES, fresh)
+    return _index(spark, root, EVENT_PLACES)
+
+
+def _refresh_groups(spark: SparkSession, root: str, table: DerivedTable, commits: DataFrame, work: _Work) -> None:
+    """Recompute the groups that the commits touch from the places that hold their events.
+
+    A new delivery can take the place of one in another group, so the groups of all
+    copies are touched; and a touched group is built from the first deliveries of its
+    events, so their copies are read too, wherever they lie.
+    """
     names = list(table.group)
+    on = [f"__{name}" for name in names]
 
     def keyed(events: DataFrame) -> DataFrame:
         return events.withColumns({f"__{name}": table.group[name](events) for name in names})
 
-    def matching(events: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
-        return events.join(keys.select(*on).distinct(), on, "left_semi")
-
-    on = [f"__{name}" for name in names]
-    events = keyed(read_committed(spark, root))
-    fresh = read_committed(spark, root, after_sequence=reached)
-    # A new delivery can take the place of one in another group, so both are touched.
-    touched = matching(events, fresh, EVENT_KEY).select(*on).distinct()
-    copies = matching(events, matching(events, touched, on), EVENT_KEY)
-    first = dedupe_events(copies.drop(*on))
+    def matching(rows: DataFrame, keys: DataFrame, by: list[str]) -> DataFrame:
+        return rows.join(keys.select(*by).distinct(), by, "left_semi")
+
+    def places_of(index: DataFrame, keys: DataFrame, by: list[str], name: str) -> DataFrame:
+        return work.kept(matching(index, keys, by).select("place").distinct(), name)
+
+    fresh = read_committed(spark, root, commits=commits, with_place=True)
+    by_event = index_event_places(spark, root)
+    _add_to_index(keyed(fresh).dropna(subset=on).select(*on, "place"), root, table.name)
+    by_group = _index(spark, root, table.name)
+
+    delivered = work.kept(fresh.select(*EVENT_KEY, _event_hash()).distinct(), "delivered")
+    near = read_committed(spark, root, places=places_of(by_event, delivered, ["event"], "delivered-places"))
+    touched = work.kept(
+        keyed(matching(near, delivered, list(EVENT_KEY))).select(*on).dropna().distinct(), "touched"
+    )
+    held = read_committed(spark, root, places=places_of(by_group, touched, on, "touched-places"))
+    members = work.kept(matching(keyed(held), touched, on).select(*EVENT_KEY, _event_hash()).distinct(), "members")
+    copies = read_committed(spark, root, places=places_of(by_event, members, ["event"], "member-places"))
+    first = dedupe_events(matching(copies, members, list(EVENT_KEY)))
     rows = table.build(matching(keyed(first), touched, on).drop(*on))
-    path = f"{root}/tables/{table.name}"
-    version = current_version(spark, path)
-    if version:
-        gone = touched.select(*[F.col(f"__{name}").alias(name) for name in names])
-        rows = read_table(spark, path).join(gone, names, "left_anti").select(*rows.columns).unionByName(rows)
-    publish(rows, path, version + 1)
+    gone = touched.select(*[F.col(f"__{name}").alias(name) for name in names])
+    replace_slots(rows, gone, f"{root}/tables/{table.name}", names, table.slots)
 
 
 def read_derived(spark: SparkSession, root: str, name: str) -> DataFrame:
-    return read_table(spark, f"{root}/tables/{name}").drop("bucket_date")
+    path = f"{root}/tables/{name}"
+    rows = read_slots(spark, path)
+    return (read_table(spark, path) if rows is None else rows).drop("bucket_date")
 
 
 MAX_CHUNKS = 10_000
@@ -201,3 +289,76 @@ def backfill(
             )
         )
     return events.sparkSession.createDataFrame(rows, CHUNK_SCHEMA)
+
+
+def _chunk_of(time: Column, start: dt.datetime, seconds: int) -> Column:
+    """The number of the chunk a time lies in; what is before the window counts to the first."""
+    past = F.unix_micros(time) - F.unix_micros(instant(start))
+    return F.greatest(F.floor(past / (seconds * 1_000_000)), F.lit(0)).cast("int")
+
+
+def backfill_table(
+    events: DataFrame,
+    table: DerivedTable,
+    path: str,
+    *,
+    start: dt.datetime,
+    end: dt.datetime,
+    job_id: str,
+    tenant: str = "",
+    chunk_seconds: int = 3600,
+    max_attempts: int = 5,
+    done: Sequence[int] = (),
+) -> DataFrame:
+    """Build a table kept by time over a window in one job; returns one status row per chunk.
+
+    The chunk is a column: of an event by its time, of a row by ``table.time``. All
+    pending chunks are built by one plan over one scan of the window and stored at
+    ``path``, partitioned by ``chunk``, each replaced whole, so that a rerun does no harm. Should the
+    job fail, its chunks are halved and each half runs again, down to the chunks that fail
+    alone, which are tried ``max_attempts`` times; ``attempt`` counts the runs a chunk
+    took part in. ``done`` lists chunks that an earlier run finished.
+    """
+    spark = events.sparkSession
+    chunks = chunk_windows(start, end, chunk_seconds)
+    window = in_window(events, start, end)
+    outcome = {c.index: ("completed", 0, "") for c in chunks if c.index in set(done)}
+    waiting = [[c.index for c in chunks if c.index not in outcome]]
+    tried: dict[int, int] = {}
+    alone: dict[int, int] = {}
+    while waiting:
+        group = waiting.pop()
+        if not group:
+            continue
+        tried.update({k: tried.get(k, 0) + 1 for k in group})
+        first, last = chunks[group[0]], chunks[group[-1]]
+        part = in_window(window, first.start, last.end).where(_chunk_of(F.col("timestamp"), start, chunk_seconds).isin(group))
+        try:
+            rows = table.build(part).withColumn("chunk", _chunk_of(F.col(table.time), start, chunk_seconds))
+            replace_groups(rows, path, "chunk", group)
+        except Exception as problem:  # noqa: BLE001 - any failure of the job counts
+            if len(group) > 1:
+                waiting += [group[: len(group) // 2], group[len(group) // 2 :]]
+                continue
+            alone[group[0]] = alone.get(group[0], 0) + 1
+            if alone[group[0]] < max_attempts:
+                waiting.append(group)
+            else:
+                outcome[group[0]] = ("failed", tried[group[0]], str(problem)[:1000])
+        else:
+            outcome.update({k: ("completed", tried[k], "") for k in group})
+    # One row per chunk of the window at most.
+    by_chunk = window.groupBy(_chunk_of(F.col("timestamp"), start, chunk_seconds).alias("chunk"))
+    scanned = {r["chunk"]: r["n"] for r in by_chunk.agg(F.count("*").alias("n")).collect()}
+    stored = {}
+    if exists(spark, path):
+        counted = spark.read.parquet(path).groupBy("chunk").agg(F.count("*").alias("n"))
+        stored = {int(r["chunk"]): r["n"] for r in counted.collect()}
+    rows = [
+        (
+            tenant, job_id, f"{job_id}:chunk:{c.index}", c.index, c.start, c.end, outcome[c.index][0], outcome[c.index][1],
+            scanned.get(c.index, 0), stored.get(c.index, 0) if outcome[c.index][0] == "completed" else 0, outcome[c.index][2],
+        )
+        for c in chunks
+    ]
+    return spark.createDataFrame(rows, CHUNK_SCHEMA)
