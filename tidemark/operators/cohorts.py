@@ -12,6 +12,7 @@ from tidemark.functions.paths import Fields
 from tidemark.plans.definitions import Definition, Rule, bucket_seconds, emit, of_tenant
 from tidemark.plans.exprs import dimension_map, named_values, string_expr
 from tidemark.plans.matchers import matcher
+from tidemark.plans.shapes import lit
 
 COHORT_KEYS = ["tenant_id", "cohort_id", "cohort_version", "entity_type", "entity_id"]
 MEMBER_KEY = ["tenant_id", "cohort_id", "entity_type", "entity_id"]
@@ -36,7 +37,7 @@ def cohort(events: DataFrame, definitions: Sequence[Definition]) -> DataFrame:
                 holds = holds & (part != "")
             columns = [
                 parts[0].alias("cohort_id"),
-                F.lit(d.version).cast("bigint").alias("cohort_version"),
+                lit(d.version).cast("bigint").alias("cohort_version"),
                 parts[1].alias("entity_type"),
                 parts[2].alias("entity_id"),
             ]
@@ -96,7 +97,7 @@ def retention(
             fallback = bucket_seconds(output, 86_400)
             columns = [
                 report.alias("report_id"),
-                F.lit(d.version).cast("bigint").alias("report_version"),
+                lit(d.version).cast("bigint").alias("report_version"),
                 parts[0].alias("cohort_id"),
                 parts[1].alias("entity_type"),
                 parts[2].alias("entity_id"),

@@ -26,14 +26,15 @@ from tidemark.plans.exprs import (
     string_expr,
 )
 from tidemark.plans.matchers import matcher
+from tidemark.plans.shapes import lit
 
 EVENT_PART = ["tenant_id", "timestamp", "event_id", "event_type", "signal"]
 
 
 def _head(definition: Definition, name: Column, value: Column, unit: Column) -> list[Column]:
     return [
-        F.lit(definition.definition_id).alias("definition_id"),
-        F.lit(definition.version).cast("bigint").alias("definition_version"),
+        lit(definition.definition_id).alias("definition_id"),
+        lit(definition.version).cast("bigint").alias("definition_version"),
         name.alias("measure_name"),
         value.alias("value"),
         unit.alias("unit"),
@@ -308,8 +309,8 @@ def metric_points(events: DataFrame, definitions: Sequence[Definition]) -> DataF
                 kind = fields.string("metric_type", "counter")
             holds = of_tenant(d) & matcher(fields, d.config.get("match"))
             columns = [
-                F.lit(d.definition_id).alias("definition_id"),
-                F.lit(d.version).cast("bigint").alias("definition_version"),
+                lit(d.definition_id).alias("definition_id"),
+                lit(d.version).cast("bigint").alias("definition_version"),
                 name.alias("metric_name"),
                 metric_kind(kind).alias("metric_kind"),
                 value.alias("value"),

@@ -13,6 +13,7 @@ from tidemark.operators.filters import Time, TimeRange, filter_dimensions, in_ti
 from tidemark.plans.definitions import Definition, Rule, bucket_seconds, emit, of_tenant
 from tidemark.plans.exprs import dimension_map, named_values, number_expr, string_expr
 from tidemark.plans.matchers import matcher
+from tidemark.plans.shapes import lit
 
 REPORT_KEYS = ["tenant_id", "report_id", "report_version", "bucket_time", "dimensions"]
 
@@ -70,7 +71,7 @@ def report_summary(events: DataFrame, definitions: Sequence[Definition]) -> Data
             seconds = bucket_seconds(output, 60)
             columns = [
                 report.alias("report_id"),
-                F.lit(d.version).cast("bigint").alias("report_version"),
+                lit(d.version).cast("bigint").alias("report_version"),
                 bucket(F.col("timestamp"), seconds).alias("bucket_time"),
                 dimension_map(named_values(fields, output.get("dimensions"))).alias("dimensions"),
                 F.lit(len(layouts) - 1).alias("layout"),

@@ -12,6 +12,7 @@ from tidemark.operators.filters import Time, instant
 from tidemark.plans.definitions import Definition, Rule, emit, of_tenant
 from tidemark.plans.exprs import string_expr
 from tidemark.plans.matchers import matcher
+from tidemark.plans.shapes import lit
 
 STATE_KEY = ["tenant_id", "entity_type", "entity_id", "state_name"]
 
@@ -51,8 +52,8 @@ def state_updates(events: DataFrame, definitions: Sequence[Definition]) -> DataF
             for part in parts.values():
                 holds = holds & (part != "")
             columns = [
-                F.lit(d.definition_id).alias("definition_id"),
-                F.lit(d.version).cast("bigint").alias("definition_version"),
+                lit(d.definition_id).alias("definition_id"),
+                lit(d.version).cast("bigint").alias("definition_version"),
                 *[part.alias(name) for name, part in parts.items()],
                 F.lit(str(output.get("value_type") or "string")).alias("value_type"),
             ]

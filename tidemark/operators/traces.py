@@ -14,6 +14,7 @@ from tidemark.operators.reports import REPORT_KEYS
 from tidemark.plans.definitions import Definition, Rule, bucket_seconds, emit, of_tenant
 from tidemark.plans.exprs import dimension_map, named_values, string_expr
 from tidemark.plans.matchers import matcher
+from tidemark.plans.shapes import lit
 from tidemark.session import cut_lineage
 
 SPAN_KEY = ["tenant_id", "trace_id", "span_id"]
@@ -223,7 +224,7 @@ def trace_summary(events: DataFrame, definitions: Sequence[Definition]) -> DataF
             seconds = bucket_seconds(output, 60)
             columns = [
                 report.alias("report_id"),
-                F.lit(d.version).cast("bigint").alias("report_version"),
+                lit(d.version).cast("bigint").alias("report_version"),
                 bucket(F.col("timestamp"), seconds).alias("bucket_time"),
                 dimension_map(named_values(fields, output.get("dimensions"))).alias("dims"),
                 F.lit(float(seconds)).alias("bucket_seconds"),

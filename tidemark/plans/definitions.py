@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable, Iterable, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from tidemark.functions.paths import Fields, shred
 from tidemark.plans.exprs import paths_in
 from tidemark.plans.matchers import ALERT_OPS, DEFINITION_OPS
+from tidemark.plans.shapes import PINS, SHAPE, Shaping, lit
+from tidemark.schema import FLAT_STRINGS
 
 # The kinds of definition and the modes each may have.
 KINDS = {
@@ -31,8 +33,10 @@ KINDS = {
 # Definitions are control rows that people write; compiling more than this many
 # on the driver is a mistake, not a workload.
 MAX_COMPILED = 20_000
-# Definitions evaluated in one pass over the events.
+# Up to so many definitions are compiled each by itself; more are filed by shape.
 PER_SCAN = 64
+# Shapes evaluated in one pass over the events.
+SHAPES_PER_SCAN = 256
 
 
 @dataclass(frozen=True)
@@ -131,42 +135,77 @@ def load_definitions(df: DataFrame, kinds: Iterable[str] | None = None) -> list[
 
 
 def of_tenant(definition: Definition) -> Column:
-    return F.col("tenant_id") == definition.tenant_id
+    return F.col("tenant_id") == lit(definition.tenant_id)
 
 
 Rule = tuple[Column, list[Column]]
 
 
+Rules = Callable[[DataFrame, Fields, Definition], list[Rule]]
+
+
 def emit(
     events: DataFrame,
     definitions: Sequence[Definition],
-    rules: Callable[[DataFrame, Fields, Definition], list[Rule]],
+    rules: Rules,
     keep: Sequence[str | Column],
 ) -> DataFrame | None:
     """Evaluate many definitions in one pass over the events.
 
     ``rules`` gives, per definition, (condition, output columns) pairs with the
-    same output columns throughout. Every event yields one row per rule that
-    holds. The payload is parsed once for all paths. None if there are no rules.
+    same output columns throughout, literals of the definition by ``lit``. Every event
+    yields one row per rule that holds. The payload is parsed once for all paths. None if
+    there are no rules. More than ``PER_SCAN`` definitions are compiled by shape and
+    looked up by tenant and pinned value.
     """
-    parts = []
-    for start in range(0, len(definitions), PER_SCAN):
-        group = list(definitions[start : start + PER_SCAN])
-        paths = set().union(*(paths_in(d.config) for d in group))
-        parsed = shred(events, paths)
-        fields = Fields(parsed)
-        found = [rule for d in group for rule in rules(parsed, fields, d)]
+    if len(definitions) > PER_SCAN:
+        return _emit_filed(events, definitions, rules, keep)
+    parsed = shred(events, set().union(*(paths_in(d.config) for d in definitions)))
+    fields = Fields(parsed)
+    found = [rule for d in definitions for rule in rules(parsed, fields, d)]
+    if not found:
+        return None
+    if len(found) == 1:
+        condition, columns = found[0]
+        return parsed.where(condition).select(*keep, *columns)
+    return _unfolded(parsed, _hits(found), keep)
+
+
+def _hits(found: Sequence[Rule]) -> Column:
+    """The output rows of the rules that hold."""
+    return F.array_compact(F.array(*[F.when(condition, F.struct(*columns)) for condition, columns in found]))
+
+
+def _unfolded(rows: DataFrame, hits: Column, keep: Sequence[str | Column]) -> DataFrame:
+    rows = rows.select(*keep, F.explode(hits).alias("__row"))
+    return rows.select(*[c for c in rows.columns if c != "__row"], "__row.*")
+
+
+def _emit_filed(
+    events: DataFrame, definitions: Sequence[Definition], rules: Rules, keep: Sequence[str | Column]
+) -> DataFrame | None:
+    flat = [c for c in PINS if c in FLAT_STRINGS and c in events.columns]
+    shaping, kinds = Shaping(flat), {}
+    for d in definitions:
+        literals = {"tenant_id": d.tenant_id, "definition_id": d.definition_id, "version": str(d.version), "name": d.name}
+        shaping.add(d.tenant_id, literals, d.config, [d.kind, d.mode])
+        kinds.setdefault(shaping.rows[-1][3], d)
+    events = events.where(F.col("tenant_id").isin(shaping.tenants()))
+    result = None
+    for start in range(0, len(shaping.shapes), SHAPES_PER_SCAN):
+        numbers = range(start, min(start + SHAPES_PER_SCAN, len(shaping.shapes)))
+        parsed = shred(events, set().union(*(paths_in(kinds[n].config) for n in numbers)))
+        fields, found = Fields(parsed), {}
+        for n in numbers:
+            slots, config = shaping.shapes[n]
+            found[n] = rules(parsed, fields, replace(kinds[n], config=config, **slots))
+        found = {n: some for n, some in found.items() if some}
         if not found:
             continue
-        choices = [F.when(condition, F.struct(*columns)) for condition, columns in found]
-        if len(choices) == 1:
-            condition, columns = found[0]
-            parts.append(parsed.where(condition).select(*keep, *columns))
-        else:
-            rows = parsed.select(*keep, F.explode(F.array_compact(F.array(*choices))).alias("__row"))
-            names = [c for c in rows.columns if c != "__row"]
-            parts.append(rows.select(*names, "__row.*"))
-    result = None
-    for part in parts:
+        hits = None
+        for n, some in found.items():
+            here = F.col(SHAPE) == n
+            hits = F.when(here, _hits(some)) if hits is None else hits.when(here, _hits(some))
+        part = _unfolded(shaping.candidates(parsed, list(found)), hits, keep)
         result = part if result is None else result.unionByName(part)
     return result

@@ -14,6 +14,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tidemark.functions.paths import Fields, check_path
+from tidemark.plans.shapes import lit
 
 
 def path_of(spec: Any) -> str | None:
@@ -41,11 +42,11 @@ def string_expr(fields: Fields, spec: Any, fallback: str | None = None) -> Colum
     if isinstance(spec, dict):
         path = path_of(spec)
         if path is None:
-            return None if fallback is None else F.lit(fallback)
+            return None if fallback is None else lit(fallback)
         return fields.string(path, scalar_text(spec.get("default")))
     if isinstance(spec, (str, int, float, bool)):
-        return F.lit(scalar_text(spec))
-    return None if fallback is None else F.lit(fallback)
+        return lit(scalar_text(spec))
+    return None if fallback is None else lit(fallback)
 
 
 def number_expr(fields: Fields, spec: Any) -> Column | None:

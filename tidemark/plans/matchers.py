@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.events import is_error
 from tidemark.functions.paths import Fields, check_path, number_from_text
 from tidemark.plans.exprs import scalar_text
+from tidemark.plans.shapes import lit
 
 DEFINITION_OPS = ("exists", "eq", "neq", "is_number", "in")
 ALERT_OPS = (
@@ -52,7 +53,7 @@ def _equals(fields: Fields, path: str, expected: Any) -> Column:
         return F.coalesce(fields.variant(path).isNotNull(), F.lit(False)) & (
             fields.string(path) == ""
         )
-    return fields.string(path) == scalar_text(expected)
+    return fields.string(path) == lit(scalar_text(expected))
 
 
 def predicate(fields: Fields, spec: dict[str, Any]) -> Column:
@@ -134,7 +135,7 @@ def alert_condition(df: DataFrame, fields: AlertFields, spec: dict[str, Any]) ->
     if op == "not_exists":
         return text.isNull()
     if op in ("eq", "ne", "neq"):
-        expected = scalar_text(value)
+        expected = lit(scalar_text(value))
         equal = F.coalesce(text == expected, F.lit(False)) if value is not None else text.isNull()
         return equal if op == "eq" else ~equal
     if op == "contains":
