@@ -252,9 +252,10 @@ def deep_counts(rows: DataFrame, least: int) -> DataFrame:
 
 def phrase_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least: int = MIN_COUNT) -> tuple[DataFrame, DataFrame]:
     """((lang, phrase, n) of all phrases of up to four words that occur ``least`` times, (lang, n) of all words), written."""
+    # Pieces end at lines, so lines can go to Python by themselves: its batches are counted in rows.
     texts = docs.select(
-        F.coalesce(docs[lang_col].cast("string"), F.lit(UNKNOWN)).alias("lang"), docs[text_col].cast("binary").alias("text")
-    )
+        F.coalesce(docs[lang_col].cast("string"), F.lit(UNKNOWN)).alias("lang"), F.explode(F.split(docs[text_col], "\n")).alias("text")
+    ).select("lang", F.col("text").cast("binary").alias("text"))
     leading = written(leading_words(texts).where((F.col("n") >= least) | (F.col("phrase") == "")), "leading-words")
     pairs = leading.where(F.instr("phrase", " ") > 0).select("lang", "phrase")
     deep = deep_counts(suffixes(texts, pairs), least)
