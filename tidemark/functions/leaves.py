@@ -16,10 +16,11 @@ whole computation wherever a column is used twice.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-DEFAULT_DEPTH = 10
+# Levels unfolded by the expression itself; deeper rows go on in a loop.
+UNROLLED = 10
 
 _NODE = "struct<path:string,slot:int,scope_path:string,scope_index:int,value:variant,open:boolean>"
 
@@ -84,27 +85,52 @@ _PATH_ROW = (
 _CONTAINER = "(startswith(n.kind, 'OBJECT') or startswith(n.kind, 'ARRAY'))"
 
 
-def _kinds_sql(payload: str, depth: int) -> str:
-    """SQL for the unfolded nodes with their type names."""
+_NODES = f"array<{_NODE}>"
+
+
+def depth_sql(payload: str) -> str:
+    """SQL for how deep a payload may be nested, at least 1.
+
+    A payload with few opening brackets is no deeper than their number; of others the
+    brackets outside of strings are walked once, so a wide payload is not taken for a deep one.
+    """
+    count = f"length(`{payload}`) - length(translate(`{payload}`, '{{[', ''))"
+    strings = r"""'"(?:[^"\\\\]|\\\\.)*+"'"""
+    only = rf"regexp_replace(regexp_replace(`{payload}`, {strings}, ''), '[^\\[\\]{{}}]+', '')"
+    walked = (
+        f"aggregate(split({only}, ''), named_struct('now', 0, 'most', 0), (d, c) -> if(c in ('{{', '['),"
+        " named_struct('now', d.now + 1, 'most', greatest(d.most, d.now + 1)),"
+        " named_struct('now', d.now - 1, 'most', d.most))).most"
+    )
+    return f"greatest(if({count} <= {2 * UNROLLED}, {count}, {walked}), 1)"
+
+
+def _open(nodes: str) -> str:
+    return f"exists({nodes}, n -> n.open)"
+
+
+def _opened(nodes: str) -> str:
+    return f"cast(flatten(transform({nodes}, n -> {_unfold('n')})) as {_NODES})"
+
+
+def _kinds_sql(payload: str, depth: int | None) -> str:
+    """SQL for the unfolded nodes with their type names, of all levels without ``depth``."""
     nodes = (
-        f"if(`{payload}` is null, cast(array() as array<{_NODE}>),"
+        f"if(`{payload}` is null, cast(array() as {_NODES}),"
         f" array(cast(struct('', -1, '', -1, try_parse_json(`{payload}`), true) as {_NODE})))"
     )
-    for level in range(min(depth, DEFAULT_DEPTH)):
+    for level in range(UNROLLED if depth is None else min(depth, UNROLLED)):
         # One more level only for the rows that still have open containers.
         s = f"s{level}"
-        nodes = bind(
-            nodes,
-            s,
-            f"if(exists({s}, n -> n.open), flatten(transform({s}, n -> {_unfold('n')})), {s})",
-        )
-    if depth > DEFAULT_DEPTH:
-        # Further levels in a loop: the plan must not grow with the depth.
-        nodes = (
-            f"aggregate(sequence(1, {int(depth) - DEFAULT_DEPTH}), cast({nodes} as array<{_NODE}>),"
-            f" (s, level) -> if(exists(s, n -> n.open),"
-            f" cast(flatten(transform(s, n -> {_unfold('n')})) as array<{_NODE}>), s))"
-        )
+        nodes = bind(nodes, s, f"if({_open(s)}, {_opened(s)}, {s})")
+    if depth is None or depth > UNROLLED:
+        # Further levels in a loop, as many rounds as the row is deep, so that no other row need
+        # be looked at.
+        work = f"struct<nodes:{_NODES},more:boolean>"
+        rounds = depth_sql(payload) if depth is None else str(int(depth) - UNROLLED)
+        step = bind(_opened("w.nodes"), "u", f"cast(struct(u, {_open('u')}) as {work})")
+        loop = f"aggregate(sequence(1, {rounds}), cast(struct(deep, true) as {work}), (w, level) -> if(w.more, {step}, w))"
+        nodes = bind(nodes, "deep", f"if({_open('deep')}, {loop}.nodes, deep)")
     return (
         f"transform({nodes}, n -> named_struct('path', n.path, 'slot', n.slot,"
         " 'scope_path', n.scope_path, 'scope_index', n.scope_index, 'value', n.value,"
@@ -112,7 +138,7 @@ def _kinds_sql(payload: str, depth: int) -> str:
     )
 
 
-def _scalars_sql(payload: str, depth: int, row: str, where: str = "true") -> str:
+def _scalars_sql(payload: str, depth: int | None, row: str, where: str = "true") -> str:
     kept = f"n -> n.path <> '' and not {_CONTAINER} and {where}"
     return f"transform(filter({_kinds_sql(payload, depth)}, {kept}), n -> {row})"
 
@@ -121,7 +147,7 @@ def index_rows(
     max_rows: int | None = None,
     max_string: int | None = None,
     payload: str = "data",
-    depth: int = DEFAULT_DEPTH,
+    depth: int | None = None,
 ) -> Column:
     """Leaves as rows of the scalar index, repeats removed; all of them unless the caller
     skips strings over ``max_string`` bytes or keeps ``max_rows`` in key order.
@@ -136,73 +162,56 @@ def index_rows(
     return F.expr(rows if max_rows is None else f"slice({rows}, 1, {int(max_rows)})")
 
 
-def text_terms(payload: str = "data", depth: int = DEFAULT_DEPTH) -> Column:
+def text_terms(payload: str = "data", depth: int | None = None) -> Column:
     """Leaves as (path, text) in key order, repeats included."""
     return F.expr(_scalars_sql(payload, depth, _TEXT_ROW))
 
 
-def scalar_paths(payload: str = "data", depth: int = DEFAULT_DEPTH) -> Column:
+def scalar_paths(payload: str = "data", depth: int | None = None) -> Column:
     """Leaves as (path, value_type, blank, in_array)."""
     return F.expr(_scalars_sql(payload, depth, _PATH_ROW))
 
 
-def containers_left(payload: str = "data", depth: int = DEFAULT_DEPTH) -> Column:
+def containers_left(payload: str = "data", depth: int = UNROLLED) -> Column:
     """Number of non-empty containers nested deeper than ``depth``."""
     left = f"n -> {_CONTAINER} and n.kind not in ('OBJECT<>', 'ARRAY<VOID>')"
     return F.expr(f"size(filter({_kinds_sql(payload, depth)}, {left}))")
 
 
-def full_depth(df: DataFrame, payload: str = "data") -> int:
-    """Levels to unfold so that no leaf of ``df`` is left out: at least ``DEFAULT_DEPTH``,
-    doubled until one aggregate finds no container below.
+def first_of_each(rows: str, keys: str) -> str:
+    """SQL for the elements of an array that are the first of theirs by ``keys`` (of ``r``).
 
-    A payload with no more opening brackets than levels cannot be deeper, so only
-    payloads with more are parsed. A stream cannot be looked at beforehand; its callers
-    give a depth, or work on its batches.
+    Sorted with their places, equal ones are neighbours: no element meets all others.
     """
-    if df.isStreaming:
-        raise ValueError("give the depth to unfold a stream, or unfold its batches")
-    brackets = F.length(payload) - F.length(F.translate(payload, "{[", ""))
-    depth = DEFAULT_DEPTH
-    while not df.where((brackets > depth) & (containers_left(payload, depth) > 0)).isEmpty():
-        depth *= 2
-    return depth
+    placed = f"array_sort(transform({rows}, (r, i) -> struct(struct({keys}) as key, i as place, r as row)))"
+    kept = bind(placed, "q", "filter(q, (x, i) -> coalesce(get(q, i - 1).key <> x.key, true))")
+    return f"transform({kept}, x -> x.row)"
 
 
-def nodes_sql(payload: str = "data", depth: int = DEFAULT_DEPTH) -> str:
+def nodes_sql(payload: str = "data") -> str:
     """SQL for the array of (path, kind) nodes of the payload, objects and arrays
-    included.
+    included, of all levels.
 
     Arrays are not entered. ``kind`` is null, boolean, number, string, array or
-    object; a path that occurs twice in a payload keeps its first kind.
+    object; a path that occurs twice in a payload keeps its first kind, by level.
     """
-    node = "array<struct<path:string,value:variant>>"
-    state = f"struct<found:{node},level:{node}>"
+    node, kind = "array<struct<path:string,value:variant>>", "array<struct<path:string,kind:string>>"
+    state = f"struct<found:{kind},level:{node}>"
     root = f"array(struct('' as path, try_parse_json(`{payload}`) as value))"
-    steps = f"cast(struct(array() as found, {root} as level) as {state})"
-    for i in range(depth):
-        s = f"s{i}"
-        children = (
-            f"flatten(transform({s}.level, n -> coalesce(transform(map_entries("
-            "try_variant_get(n.value, '$', 'map<string,variant>')), e -> struct("
-            "concat(n.path, if(n.path = '', '', '.'), e.key) as path, e.value as value)),"
-            f" cast(array() as {node}))))"
-        )
-        step = bind(
-            children, f"c{i}",
-            f"cast(struct(concat({s}.found, c{i}) as found, c{i} as level) as {state})",
-        )
-        steps = bind(steps, s, f"if(size({s}.level) = 0, {s}, {step})")
+    children = (
+        "flatten(transform(s.level, n -> coalesce(transform(map_entries("
+        "try_variant_get(n.value, '$', 'map<string,variant>')), e -> struct("
+        "concat(n.path, if(n.path = '', '', '.'), e.key) as path, e.value as value)),"
+        f" cast(array() as {node}))))"
+    )
+    kinds = "transform(c, n -> struct(n.path as path, coalesce(schema_of_variant(n.value), 'VOID') as kind))"
+    step = bind(children, "c", f"cast(struct(concat(s.found, {kinds}) as found, c as level) as {state})")
     named = (
-        f"transform(({steps}).found, n -> struct(n.path as path,"
-        " coalesce(schema_of_variant(n.value), 'VOID') as kind))"
+        f"aggregate(sequence(1, {depth_sql(payload)}), cast(struct(array() as found, {root} as level) as {state}),"
+        f" (s, level) -> if(size(s.level) = 0, s, {step})).found"
     )
-    first_only = bind(
-        named, "a",
-        "filter(a, (n, i) -> not exists(slice(a, 1, i), m -> m.path = n.path))",
-    )
     return (
-        f"transform({first_only}, n -> struct(n.path as path,"
+        f"transform({first_of_each(f'if(`{payload}` is null, cast(array() as {kind}), {named})', 'r.path')}, n -> struct(n.path as path,"
         " case when n.kind = 'VOID' then 'null' when n.kind = 'BOOLEAN' then 'boolean'"
         " when n.kind = 'STRING' then 'string' when startswith(n.kind, 'OBJECT') then 'object'"
         " when startswith(n.kind, 'ARRAY') then 'array' else 'number' end as kind))"

@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.leaves import full_depth, index_rows
+from tidemark.functions.leaves import index_rows
 from tidemark.functions.paths import Fields
 from tidemark.plans.facets import Facet, branches, facet_path, leaf_condition
 
@@ -218,7 +218,7 @@ def filter_facets(
     if not flags.plain and not flags.scoped:
         return events.where(flags.expression(_flag_column))
     if index is None:
-        return _filter_rows(events, flags, full_depth(events) if depth is None else depth)
+        return _filter_rows(events, flags, depth)
     if time_range is not None:
         index = in_time(index, time_range)
     per_event = _flag_rows(index, flags)
@@ -238,17 +238,17 @@ def plain_scope(scope_path: Column) -> Column:
     return F.replace(scope_path, F.lit("[]"), F.lit(""))
 
 
-def _filter_rows(events: DataFrame, flags: _Flags, depth: int) -> DataFrame:
+def _filter_rows(events: DataFrame, flags: _Flags, depth: int | None) -> DataFrame:
     def part(leaf: Column) -> Callable[[str], Column]:
         return lambda name: leaf[name]
 
-    def same_element(leaves: Column, scope: str, first: Column, facet: Facet) -> Column:
-        return F.exists(
+    def elements(leaves: Column, scope: str, facet: Facet) -> Column:
+        """The elements of the scope's arrays that have a leaf for the facet."""
+        fitting = F.filter(
             leaves,
-            lambda other: (plain_scope(other["scope_path"]) == scope)
-            & (other["scope_index"] == first["scope_index"])
-            & leaf_condition(facet, part(other), False),
+            lambda leaf: (plain_scope(leaf["scope_path"]) == scope) & leaf_condition(facet, part(leaf), False),
         )
+        return F.transform(fitting, lambda leaf: F.concat_ws("#", leaf["scope_index"].cast("string"), leaf["scope_path"]))
 
     def holds(leaves: Column) -> Column:
         def flag(kind: str, which: int) -> Column:
@@ -256,15 +256,11 @@ def _filter_rows(events: DataFrame, flags: _Flags, depth: int) -> DataFrame:
                 facet = flags.plain[which]
                 return F.exists(leaves, lambda leaf: leaf_condition(facet, part(leaf)))
             scope, members = flags.scoped[which]
-
-            def element_fits(first: Column) -> Column:
-                fits = plain_scope(first["scope_path"]) == scope
-                fits = fits & leaf_condition(members[0], part(first), False)
-                for facet in members[1:]:
-                    fits = fits & same_element(leaves, scope, first, facet)
-                return fits
-
-            return F.exists(leaves, element_fits)
+            # Elements are intersected by hash, so no leaf meets all others.
+            common = elements(leaves, scope, members[0])
+            for facet in members[1:]:
+                common = F.array_intersect(common, elements(leaves, scope, facet))
+            return F.size(common) > 0
 
         return flags.expression(flag)
 

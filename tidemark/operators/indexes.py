@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.events import bucket, is_error
-from tidemark.functions.leaves import DEFAULT_DEPTH, containers_left, full_depth, index_rows, text_terms
+from tidemark.functions.leaves import UNROLLED, containers_left, first_of_each, index_rows, text_terms
 from tidemark.functions.paths import Fields, shred
 from tidemark.plans.definitions import Definition, of_tenant
 from tidemark.plans.exprs import path_of, paths_in, scalar_text, string_expr
@@ -41,7 +41,7 @@ def kv_index(
     are kept in key order; such an index answers for what it holds only.
     """
     events = _identified(events)
-    rows = index_rows(max_rows, max_string, depth=full_depth(events) if depth is None else depth)
+    rows = index_rows(max_rows, max_string, depth=depth)
     return events.select(
         "tenant_id",
         "timestamp",
@@ -61,7 +61,7 @@ def kv_index(
     )
 
 
-def too_deep(events: DataFrame, depth: int = DEFAULT_DEPTH) -> DataFrame:
+def too_deep(events: DataFrame, depth: int = UNROLLED) -> DataFrame:
     """How many events and containers lie deeper than ``depth`` and were not flattened."""
     return events.select(containers_left(depth=depth).alias("left")).agg(
         F.count_if(F.col("left") > 0).alias("events"),
@@ -86,8 +86,6 @@ def text_index(
     ``depth`` is given.
     """
     events = _identified(events)
-    if depth is None:
-        depth = full_depth(events)
     ids = F.array(
         *[
             F.struct(F.lit(name).alias("path"), F.col(name).alias("text"))
@@ -145,21 +143,28 @@ def field_values(events: DataFrame) -> DataFrame:
     )
 
 
-def _scalar_texts(fields: Fields, path: str, depth: int) -> Column:
-    """The value's text, or the texts of all scalars in an array nested up to ``depth`` levels."""
+def _scalar_texts(fields: Fields, path: str) -> Column:
+    """The value's text, or the texts of all scalars in an array, however deep they are nested in others."""
     unnest = lambda items: F.flatten(
         F.transform(
             items, lambda v: F.coalesce(F.try_variant_get(v, "$", "array<variant>"), F.array(v))
         )
     )
-    # A loop: the plan must not grow with the depth. It idles once no array is left.
+    def holds_arrays(items: Column) -> Column:
+        return F.exists(items, lambda v: F.coalesce(F.schema_of_variant(v), F.lit("")).startswith("ARRAY"))
+
+    def state(items: Column) -> Column:
+        # The lambda names the items, so they are unnested once.
+        named = F.transform(F.array(items), lambda v: F.struct(v.alias("items"), holds_arrays(v).alias("more")))
+        return F.element_at(named, 1)
+
+    # As many rounds as the value has brackets at most; once no array is left a round does no work.
+    raw = F.coalesce(fields.raw(path), F.lit(""))
     items = F.aggregate(
-        F.sequence(F.lit(1), F.lit(depth)),
-        F.array(fields.variant(path)),
-        lambda items, _: F.when(
-            F.exists(items, lambda v: F.coalesce(F.schema_of_variant(v), F.lit("")).startswith("ARRAY")),
-            unnest(items),
-        ).otherwise(items),
+        F.sequence(F.lit(1), F.length(raw) - F.length(F.replace(raw, F.lit("["), F.lit(""))) + 1),
+        F.struct(F.array(fields.variant(path)).alias("items"), F.lit(True).alias("more")),
+        lambda s, _: F.when(s["more"], state(unnest(s["items"]))).otherwise(s),
+        lambda s: s["items"],
     )
     scalars = F.filter(
         items,
@@ -190,7 +195,6 @@ def field_index(events: DataFrame, definitions: Sequence[Definition]) -> DataFra
     definition that gives it; this is settled inside the row. Arrays are unnested as
     deep as the payloads go, like those of the scalar index.
     """
-    depth = full_depth(events)
     by_tenant: dict[str, list[Definition]] = {}
     for definition in definitions:
         by_tenant.setdefault(definition.tenant_id, []).append(definition)
@@ -202,7 +206,7 @@ def field_index(events: DataFrame, definitions: Sequence[Definition]) -> DataFra
             groups.append(list(chunk))
     result = None
     for group in groups:
-        part = _field_index_part(events, group, depth)
+        part = _field_index_part(events, group)
         result = part if result is None else result.unionByName(part)
     if result is None:
         raise ValueError("no field definitions")
@@ -225,7 +229,7 @@ def _field_structs(
     )
 
 
-def _field_index_part(events: DataFrame, group: list[Definition], depth: int) -> DataFrame:
+def _field_index_part(events: DataFrame, group: list[Definition]) -> DataFrame:
     paths = set().union(*(paths_in(d.config) for d in group)) | {"start_time", "end_time"}
     parsed = shred(events, paths)
     fields = Fields(parsed)
@@ -235,7 +239,7 @@ def _field_index_part(events: DataFrame, group: list[Definition], depth: int) ->
         for output in _field_outputs(definition):
             path = path_of(output["value"])
             texts = (
-                _scalar_texts(fields, path, depth)
+                _scalar_texts(fields, path)
                 if path
                 else F.array(F.lit(scalar_text(output["value"])))
             )
@@ -244,22 +248,11 @@ def _field_index_part(events: DataFrame, group: list[Definition], depth: int) ->
             holds = of_tenant(definition) & matcher(fields, definition.config.get("match"))
             rows = _field_structs(texts, mode, name, kind, definition)
             arrays.append(F.when(holds & (name != ""), rows))
-    def first_of_each(rows: Column) -> Column:
-        return F.filter(
-            rows,
-            lambda r, i: ~F.exists(
-                F.slice(rows, F.lit(1), i),
-                lambda e: (e["mode"] == r["mode"])
-                & (e["field_name"] == r["field_name"])
-                & (e["value_type"] == r["value_type"])
-                & (e["value"] == r["value"]),
-            ),
-        )
-
-    # The lambda names the rows, so they are built once.
-    every = F.flatten(F.array_compact(F.array(*arrays)))
-    first_only = F.flatten(F.transform(F.array(every), first_of_each))
-    return parsed.select(
+    # Through a generator, so that the rows are built once.
+    rest = parsed.columns
+    built = parsed.select(*rest, F.explode(F.array(F.flatten(F.array_compact(F.array(*arrays))))).alias("__rows"))
+    first_only = F.expr(first_of_each("__rows", "r.mode, r.field_name, r.value_type, r.value"))
+    return built.select(
         "tenant_id",
         F.explode(first_only).alias("row"),
         "timestamp",
