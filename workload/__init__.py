@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from workload import filters, intake, many, measures, reports, rollups, tables, upkeep  # noqa: F401
+from workload import deep, filters, intake, many, measures, reports, rollups, tables, upkeep  # noqa: F401
 from workload.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
