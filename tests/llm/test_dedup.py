@@ -220,3 +220,47 @@ def test_short_and_long_lines_recur(files):
     assert got[30]["text"] == "one" and got[31]["text"] == "two"
     # Whole copies are no repetition within different texts, and 50 tokens are not over 50.
     assert {got[k]["n_dropped"] for k in (40, 41, 42)} == {0}
+
+
+def test_copies_do_not_empty_each_other(files):
+    text = "\n".join(f"An ordinary sentence of its own, {w} by {w}." for w in ("one", "two", "three", "four", "five", "six"))
+    rows = [(k, text) for k in range(12)] + [(100 + k, f"own text of {w}\nthe shared line of all") for k, w in enumerate("abcdefghijkl")]
+    got = {r["doc_id"]: r for r in line_templates.drop_recurring_lines(files(rows, "doc_id long, text string"), min_tokens=1).collect()}
+    assert all(got[k]["text"] == text and got[k]["n_dropped"] == 0 for k in range(12))
+    assert all("shared" not in got[100 + k]["text"] for k in range(12))
+
+
+def brute_recurring(rows, min_docs, long_docs, long_tokens):
+    """Lines without variables or neighbours in their leaf: a masked line is its own template."""
+    import re
+
+    def masked(line):
+        words = [w for w in re.split("[ \t\r\x0b\f]+", line) if w]
+        return " ".join("<*>" if re.search("[0-9]", w) else w for w in words)
+
+    texts = {}
+    for _, text in rows:
+        for line in {masked(x) for x in (text or "").split("\n")}:
+            texts.setdefault(line, set()).add(text)
+    out = {}
+    for k, text in rows:
+        lines = [] if text is None else text.split("\n")
+        gone = [
+            m != "" and (len(texts[m]) >= min_docs or (len(m.split(" ")) > long_tokens and len(texts[m]) >= long_docs))
+            for m in map(masked, lines)
+        ]
+        out[k] = None if text is None else "\n".join(x for x, g in zip(lines, gone) if not g)
+    return out
+
+
+def test_recurring_lines_equal_brute_force(files):
+    rng = random.Random(4)
+    # Lines differ in their leading tokens, so each leaf has one template.
+    pool = [f"l{'abcdefghij'[n % 10]}{'abcdefghij'[n // 10]} starts\there  {n % 7} ends" for n in range(60)]
+    pool += [" ".join(f"p{'abcdefghij'[n]}{'abcdefghij'[m % 10]}{'xyzuvw'[m // 10]}" for m in range(53)) for n in range(6)] + ["", " ", "\t7\r", "solo"]
+    rows = [(k, "\n".join(rng.choices(pool, k=rng.randint(0, 6)))) for k in range(150)]
+    rows += [(200 + k, rows[3][1]) for k in range(40)] + [(300, None), (301, "")]
+    docs = files(rows, "doc_id long, text string", 4)
+    for min_docs, long_docs, long_tokens in ((10, 2, 50), (9, 4, 20), (200, 200, 50)):
+        got = line_templates.drop_recurring_lines(docs, min_docs=min_docs, long_docs=long_docs, long_tokens=long_tokens, min_tokens=1)
+        assert {r["doc_id"]: r["text"] for r in got.collect()} == brute_recurring(rows, min_docs, long_docs, long_tokens)

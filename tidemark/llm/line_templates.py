@@ -46,22 +46,24 @@ def _located(docs: DataFrame, text_col: str) -> DataFrame:
     return docs.select(
         F.xxhash64("_metadata.file_path").alias("file"),
         F.col("_metadata.row_index").alias("row"),
-        F.xxhash64(docs[text_col]).alias("text"),
+        F.xxhash64(docs[text_col], F.length(docs[text_col])).alias("text"),
         F.split(mask(docs[text_col]), "\n").alias("lines"),
     )
 
 
-def line_places(docs: DataFrame, text_col: str = "text", min_tokens: int = MIN_TOKENS) -> DataFrame:
-    """(file, row, at, hash, length, leaf, text) of every line, written: a narrow table.
+def line_places(
+    docs: DataFrame, text_col: str = "text", min_tokens: int = MIN_TOKENS, long_tokens: int = LONG_TOKENS
+) -> DataFrame:
+    """(file, row, at, hash, length, leaf, text, long) of every line, written: a narrow table.
 
-    ``text`` is a hash of the whole text for lines of over ``LONG_TOKENS`` tokens, else null.
+    ``text`` is a hash of the whole text, ``long`` tells lines of over ``long_tokens`` tokens.
     """
     lines = _located(docs, text_col).select("file", "row", "text", F.posexplode("lines").alias("at", "line"))
     return written(
         lines.select(
             "file", "row", "at", F.xxhash64("line").alias("hash"), F.length("line").alias("length"),
             _leaf(F.col("line"), min_tokens).alias("leaf"),
-            F.when(_size(F.col("line")) > LONG_TOKENS, F.col("text")).alias("text"),
+            "text", (_size(F.col("line")) > long_tokens).alias("long"),
         ),
         "line-places",
     )
@@ -127,7 +129,8 @@ def line_templates(
     similarity: float = SIMILARITY,
     min_tokens: int = MIN_TOKENS,
 ) -> DataFrame:
-    """(line, template, line_docs): masked lines with the template they belong to.
+    """(line, template, line_docs): masked lines with the template they belong to, and in
+    how many different texts they stand, as exact copies of a document are one text.
 
     Lines come to a leaf by token count and leading tokens; leaves with fewer than
     ``min_docs`` lines cannot recur and are left out, as are empty lines and those of fewer than
@@ -147,10 +150,11 @@ def line_templates(
         places.where("leaf is not null").groupBy("leaf").count().where(F.col("count") >= min_docs).select("leaf"),
         "busy-leaves",
     )
-    lines = _located(docs, text_col).select(F.explode(F.array_distinct("lines")).alias("line"))
+    lines = _located(docs, text_col).select("text", F.explode(F.array_distinct("lines")).alias("line"))
     leaves = written(
         lines.withColumn("leaf", _leaf(F.col("line"), min_tokens))
         .join(busy, "leaf", "left_semi")
+        .groupBy("line", "text").agg(F.lit(1).alias("one"))
         .groupBy("line").agg(F.count("*").alias("line_docs"))
         .select(_leaf(F.col("line"), min_tokens).alias("part"), "line", "line_docs"),
         "lines",
@@ -197,20 +201,21 @@ def drop_recurring_lines(
     similarity: float = SIMILARITY,
     long_docs: int = LONG_DOCS,
     min_tokens: int = MIN_TOKENS,
+    long_tokens: int = LONG_TOKENS,
 ) -> DataFrame:
-    """The documents without the lines whose template occurs in ``min_docs`` documents or more,
-    and without the lines of over ``LONG_TOKENS`` tokens that, masked, stand in ``long_docs``
+    """The documents without the lines whose template occurs in ``min_docs`` different texts or more,
+    and without the lines of over ``long_tokens`` tokens that, masked, stand in ``long_docs``
     different texts or more. Lines of fewer than ``min_tokens`` tokens stay; with 1 all lines
     but empty ones count.
 
     ``docs`` reads files. Adds ``n_lines`` and ``n_dropped``; the text keeps its
-    other lines, unmasked. A template's documents are counted once each, however many of
-    its lines they hold. Null texts stay null and have no lines, an empty text has one
+    other lines, unmasked. A template's texts are counted once each, however many of
+    its lines they hold and however many documents are copies of them, so copies do not empty each other. Null texts stay null and have no lines, an empty text has one
     empty line; rows are told apart by their place in the files, so null and repeated
     ids do no harm; other columns are kept, those of the added names replaced; an empty
     table gives no rows.
     """
-    places = line_places(docs, text_col, min_tokens)
+    places = line_places(docs, text_col, min_tokens, long_tokens)
     kinds = written(
         line_templates(docs, places, text_col, min_docs, similarity, min_tokens).select(
             F.xxhash64("line").alias("hash"), F.length("line").alias("length"),
@@ -221,14 +226,14 @@ def drop_recurring_lines(
     often = kinds.groupBy("template").agg(F.sum("line_docs").alias("most")).where(F.col("most") >= min_docs)
     candidates = written(kinds.join(often, "template", "left_semi").select("hash", "length", "template"), "candidates")
     found = written(
-        places.join(candidates, ["hash", "length"]).select("file", "row", "at", "template"), "template-places"
+        places.join(candidates, ["hash", "length"]).select("file", "row", "at", "template", "text"), "template-places"
     )
     recurring = (
-        found.groupBy("template", "file", "row").agg(F.lit(1).alias("one"))
-        .groupBy("template").agg(F.count("*").alias("docs"))
-        .where(F.col("docs") >= min_docs)
+        found.groupBy("template", "text").agg(F.lit(1).alias("one"))
+        .groupBy("template").agg(F.count("*").alias("texts"))
+        .where(F.col("texts") >= min_docs)
     )
-    long_lines = places.where("text is not null")
+    long_lines = places.where("long")
     passages = (
         long_lines.groupBy("hash", "length", "text").agg(F.lit(1).alias("one"))
         .groupBy("hash", "length").agg(F.count("*").alias("texts"))
