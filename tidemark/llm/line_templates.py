@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,11 +18,23 @@ LONG_DOCS = 2
 SIMILARITY = 0.7
 
 
-def mask(text: Column) -> Column:
-    """Lines with single blanks between tokens, and each token with a digit made a variable."""
-    blanks = F.regexp_replace(F.coalesce(text, F.lit("")), r"[ \t\r\x0B\f]+", " ")
+_UNTIDY = ("\t", "\r", "\x0b", "\f", "  ", " \n", "\n ")
+_VARIABLE = r"(?<![^ ])[^ 0-9]*+[0-9][^ ]*+"
+
+
+def masked_lines(text: Column) -> Column:
+    """Lines with single blanks between tokens, and each token with a digit made a variable.
+
+    Whole texts are rewritten only where a blank is out of place, lines only where they have a digit.
+    """
+    text = F.coalesce(text, F.lit(""))
+    blanks = F.regexp_replace(text, r"[ \t\r\x0B\f]+", " ")
     edges = F.replace(F.replace(blanks, F.lit(" \n"), F.lit("\n")), F.lit("\n "), F.lit("\n"))
-    return F.regexp_replace(F.trim(edges), r"(?<![^ \n])[^ \n0-9]*+[0-9][^ \n]*+", WILD)
+    untidy = reduce(lambda a, b: a | b, [F.contains(text, F.lit(x)) for x in _UNTIDY], text.startswith(" ") | text.endswith(" "))
+    lines = F.split(F.when(untidy, F.trim(edges)).otherwise(text), "\n")
+    return F.transform(
+        lines, lambda line: F.when(line.rlike("[0-9]"), F.regexp_replace(line, _VARIABLE, WILD)).otherwise(line)
+    )
 
 
 def _tokens(line: Column) -> Column:
@@ -32,7 +46,8 @@ def _lead(line: Column) -> Column:
 
 
 def _size(line: Column) -> Column:
-    return F.size(_tokens(line))
+    """Tokens have single blanks between them."""
+    return F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) + 1
 
 
 def _leaf(line: Column, min_tokens: int) -> Column:
@@ -47,7 +62,7 @@ def _located(docs: DataFrame, text_col: str) -> DataFrame:
         F.xxhash64("_metadata.file_path").alias("file"),
         F.col("_metadata.row_index").alias("row"),
         F.xxhash64(docs[text_col], F.length(docs[text_col])).alias("text"),
-        F.split(mask(docs[text_col]), "\n").alias("lines"),
+        masked_lines(docs[text_col]).alias("lines"),
     )
 
 
