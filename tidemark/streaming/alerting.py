@@ -2,27 +2,48 @@
 
 from __future__ import annotations
 
+import datetime as dt
+import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tidemark.operators.alerts import AlertRule, alert_candidates, notification_outbox
+from tidemark.operators.alerts import AlertRule, alert_candidates, earliest_alerts, notification_outbox
+from tidemark.sources.tables import exists
 from tidemark.streaming.ingest import stream_id
 
 
-def alert_stream(events: DataFrame, rules: Sequence[AlertRule], delay_seconds: int = 60) -> DataFrame:
-    """Alerts with suppression: the first arrival per rule, key and time slot.
+KEY = ["tenant_id", "alert_id", "dedupe_key"]
+ORDER = ("event_timestamp", "event_id")
 
-    The token holds the slot of the event time, so state is needed no longer than
-    the longest suppression plus the lateness allowed.
+
+def alert_stream(events: DataFrame, rules: Sequence[AlertRule]) -> DataFrame:
+    """Every match of a stream, before suppression, which ``write_alerts`` settles with what is stored."""
+    return alert_candidates(events, rules)
+
+
+def _stored(spark: SparkSession, root: str) -> DataFrame:
+    return spark.read.parquet(f"{root}/alert_events")
+
+
+def settled(matches: DataFrame, stored: DataFrame | None) -> DataFrame:
+    """The earliest match per rule, key and slot, where it is news, with ``change`` and ``corrects``.
+
+    ``new`` has no stored alert of its key; a ``correction`` comes before the stored one by
+    time and id, whose event it names. Matches after a stored alert are suppressed by it.
     """
-    longest = max((rule.dedupe_seconds for rule in rules), default=0)
-    rows = alert_candidates(events, rules).withWatermark(
-        "event_timestamp", f"{longest + delay_seconds} seconds"
+    first = earliest_alerts(matches)
+    if stored is None:
+        return first.withColumns({"change": F.lit("new"), "corrects": F.lit(None).cast("string")})
+    known = stored.groupBy(*KEY).agg(F.min(F.struct(*ORDER)).alias("__known"))
+    news = F.col("__known").isNull() | (F.struct(*ORDER) < F.col("__known"))
+    return first.join(known, KEY, "left").where(news).select(
+        *first.columns,
+        F.when(F.col("__known").isNull(), "new").otherwise("correction").alias("change"),
+        F.col("__known.event_id").alias("corrects"),
     )
-    return rows.dropDuplicatesWithinWatermark(["tenant_id", "alert_id", "dedupe_key"])
 
 
 def write_alerts(
@@ -32,19 +53,35 @@ def write_alerts(
     checkpoint: str,
     once: bool = False,
 ) -> StreamingQuery:
-    """Store alerts and their pending notifications; a rerun batch replaces itself only.
+    """Store the alerts of a stream of matches and their pending notifications.
 
-    Folders carry the query's own id, so several streams may write to one root.
+    The state of suppression is what is stored: each batch is compared with the alerts of
+    its own days and of those that a slot can reach, so a match counts however late it
+    comes, and events out of order give the same alerts as in order. A match before a stored alert is
+    written as its correction, with pending rows in ``alert_corrections``. A rerun batch
+    replaces itself only and does not compare itself with its earlier attempt; folders
+    carry the query's own id, so several streams may write to one root.
     """
+    reach = max((math.ceil(rule.dedupe_seconds / 86_400) for rule in rules), default=0)
 
     def write(batch: DataFrame, number: int) -> None:
-        part = f"stream={stream_id(batch)}/batch_number={number}"
+        spark, stream = batch.sparkSession, stream_id(batch)
+        part = f"stream={stream}/batch_number={number}"
         batch = batch.persist()
         try:
-            batch.write.mode("overwrite").parquet(f"{root}/alert_events/{part}")
-            notification_outbox(batch, rules).write.mode("overwrite").parquet(
-                f"{root}/alert_notifications/{part}"
-            )
+            days = [r[0] for r in batch.select(F.to_date("event_timestamp")).distinct().collect() if r[0]]
+            stored = None
+            if exists(spark, f"{root}/alert_events"):
+                near = sorted({d + dt.timedelta(days=k) for d in days for k in range(-reach, reach + 1)})
+                other = (F.col("stream") != stream) | (F.col("batch_number") != number)
+                stored = _stored(spark, root).where(F.col("event_date").isin(near) & other)
+            found = settled(batch, stored).withColumn("event_date", F.to_date("event_timestamp"))
+            found.write.mode("overwrite").partitionBy("event_date").parquet(f"{root}/alert_events/{part}")
+            kept = spark.read.schema(found.schema).parquet(f"{root}/alert_events/{part}")
+            for change, table in (("new", "alert_notifications"), ("correction", "alert_corrections")):
+                rows = kept.where(F.col("change") == change)
+                if change == "new" or not rows.isEmpty():
+                    notification_outbox(rows, rules).write.mode("overwrite").parquet(f"{root}/{table}/{part}")
         finally:
             batch.unpersist()
 
@@ -52,15 +89,7 @@ def write_alerts(
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
-def read_alerts(spark, root: str) -> DataFrame:
-    """Stored alerts, each once."""
-    rows = spark.read.parquet(f"{root}/alert_events").drop("stream", "batch_number")
-    key = ["tenant_id", "alert_id", "dedupe_key"]
-    rest = [c for c in rows.columns if c not in key]
-    first = F.struct("event_timestamp", "event_id")
-    return (
-        rows.groupBy(*key)
-        .agg(F.min_by(F.struct(*rest), first).alias("r"))
-        .select(*key, "r.*")
-        .select(*rows.columns)
-    )
+def read_alerts(spark: SparkSession, root: str) -> DataFrame:
+    """Stored alerts, each once, as the latest correction has it."""
+    extra = ("stream", "batch_number", "event_date", "change", "corrects")
+    return earliest_alerts(_stored(spark, root).drop(*extra))
