@@ -15,10 +15,10 @@ from sentencepiece import sentencepiece_model_pb2 as model_pb
 
 MARK = "▁"
 NORMAL, BYTE = 1, 6
-# What a Python worker remembers at most, some 40 MB; further units are encoded each time.
-CACHED_UNITS = 60_000
+# What a Python worker remembers at most, some 100 MB; further units are encoded each time.
+CACHED_UNITS = 250_000
 CACHED_LENGTH = 64
-CACHED_PAIRS = 150_000
+CACHED_PAIRS = 400_000
 
 
 class Remembered(dict):
