@@ -14,8 +14,9 @@ from tidemark.operators.filters import TimeRange
 from tidemark.plans.definitions import Definition
 from tidemark.plans.facets import Facet
 from tidemark.plans.matchers import alert_matcher, matcher
+from tidemark.session import shared_folder
 from tidemark.sources.star import document_events, events, flat_events, load
-from workload.registry import TENANTS, big, ms, query
+from workload.registry import ORACLES, TENANTS, big, ms, query
 
 FROM, TO = "2024-01-08T00:00:00Z", "2024-01-20T12:00:00Z"
 TS_FROM, TS_TO = "TIMESTAMP '2024-01-08 00:00:00'", "TIMESTAMP '2024-01-20 12:00:00'"
@@ -578,6 +579,52 @@ def search_phrase(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.select("event_id", ms("timestamp").alias("ms"), "event_type", "snippet")
 
 
+def _posted(spark: SparkSession, index):
+    """The postings of the whole text index, stored."""
+    path = shared_folder(spark, "postings")
+    search.write_postings(search.postings(index), path)
+    return spark.read.parquet(path)
+
+
+@query("search_postings", ORACLES["search_phrase"])
+def search_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same search, narrowed by postings."""
+    e = events(spark, sf_dir)
+    index = indexes.text_index(e)
+    hits = search.search(index, e, "Country:DE Currency", limit=30, offset=10, postings=_posted(spark, index))
+    return hits.select("event_id", ms("timestamp").alias("ms"), "event_type", "snippet")
+
+
+@query(
+    "search_two_characters",
+    "WITH {EV}, " + _TEXT + """ SELECT event_type, count(*) AS events, min(event_id) AS least
+    FROM txt WHERE contains(lower(text), 'u7') GROUP BY event_type""",
+)
+def search_two_characters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = indexes.text_index(events(spark, sf_dir))
+    near = search.narrowed(index, _posted(spark, index), "U7")
+    return (
+        near.where(F.contains(F.lower("text"), F.lit("u7")))
+        .groupBy("event_type")
+        .agg(F.count("*").alias("events"), F.min("event_id").alias("least"))
+    )
+
+
+@query(
+    "gram_postings",
+    "WITH {EV}, " + _TEXT + """, grams AS (
+      SELECT event_id, timestamp::DATE AS day, z.n AS size,
+        len(list_distinct(list_transform(range(1, len(text) - z.n + 2), lambda i: substr(lower(text), i, z.n)))) AS grams
+      FROM txt, (VALUES (2), (3)) z(n))
+    SELECT day, size, sum(grams)::BIGINT AS postings, count(*) AS events FROM grams GROUP BY ALL""",
+)
+def gram_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    posted = search.postings(indexes.text_index(events(spark, sf_dir)))
+    return posted.groupBy(F.col("event_date").alias("day"), "size").agg(
+        F.count("*").alias("postings"), F.countDistinct("event_id").alias("events")
+    )
+
+
 # Joins with the indexes.
 @query("index_semi_join", _ids_where("country = 'DE'"))
 def index_semi_join(spark: SparkSession, sf_dir: str) -> DataFrame:
