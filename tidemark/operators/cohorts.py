@@ -84,7 +84,7 @@ def retention(
 
     def rules(_: DataFrame, fields: Fields, d: Definition) -> list[Rule]:
         found = []
-        for output in d.outputs("report_results"):
+        for output in d.outputs("report_results") if d.of_mode("retention") else []:
             report = string_expr(fields, output.get("report_id"), d.name)
             parts = [
                 string_expr(fields, output.get(n)) for n in ("cohort_id", "entity_type", "entity_id")

@@ -64,7 +64,7 @@ def report_summary(events: DataFrame, definitions: Sequence[Definition]) -> Data
 
     def rules(parsed: DataFrame, fields: Fields, d: Definition) -> list[Rule]:
         found = []
-        for output in d.outputs("report_results"):
+        for output in d.outputs("report_results") if d.of_mode("summary") else []:
             report = string_expr(fields, output.get("report_id"), d.name)
             increments = _increments(parsed, fields, output)
             layouts.append(list(increments))

@@ -219,7 +219,7 @@ def trace_summary(events: DataFrame, definitions: Sequence[Definition]) -> DataF
 
     def rules(parsed: DataFrame, fields: Fields, d: Definition) -> list[Rule]:
         found = []
-        for output in d.outputs("report_results"):
+        for output in d.outputs("report_results") if d.of_mode("trace_summary") else []:
             report = string_expr(fields, output.get("report_id"), d.name)
             seconds = bucket_seconds(output, 60)
             columns = [

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.paths import Fields, shred
 from tidemark.plans.exprs import paths_in
 from tidemark.plans.matchers import ALERT_OPS, DEFINITION_OPS
+from tidemark.plans.outputs import problems
 from tidemark.plans.shapes import PINS, SHAPE, Shaping, lit
 from tidemark.schema import FLAT_STRINGS
 
@@ -51,6 +52,10 @@ class Definition:
     mode: str = ""
     version: int = 1
 
+    def of_mode(self, mode: str) -> bool:
+        """Whether it is of this mode; a definition without one fits every builder of its kind."""
+        return self.mode in ("", mode)
+
     def outputs(self, target: str) -> list[dict[str, Any]]:
         """Outputs aimed at a table; one that names no target fits every table."""
         outputs = self.config.get("outputs")
@@ -62,7 +67,7 @@ class Definition:
 
 
 def validate(definition: Definition) -> Definition:
-    """Reject unknown kinds, modes, operators and malformed outputs."""
+    """Reject unknown kinds, modes, operators and incomplete outputs."""
     if definition.kind not in KINDS:
         raise ValueError(f"unknown definition kind: {definition.kind}")
     modes = KINDS[definition.kind]
@@ -91,6 +96,9 @@ def validate(definition: Definition) -> Definition:
         seconds = output.get("bucket_seconds")
         if seconds is not None and (not isinstance(seconds, int) or seconds <= 0):
             raise ValueError("bucket_seconds must be a positive whole number")
+        wrong = problems(definition.kind, definition.mode, output)
+        if wrong:
+            raise ValueError(f"output of {definition.definition_id}: {'; '.join(wrong)}")
     paths_in(definition.config)
     return definition
 
