@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.events import bucket, is_error
 from tidemark.functions.paths import Fields, shred
-from tidemark.functions.quantiles import exact_percentiles
+from tidemark.functions.quantiles import exact_percentiles, sketch, sketch_percentiles
 from tidemark.operators.sequences import Step, funnel
 
 
@@ -77,9 +77,17 @@ def report_named(name: str) -> Report:
     return next(report for report in STANDARD_REPORTS if report.name == name)
 
 
-def run_report(events: DataFrame, report: Report, seconds: int | None = None) -> DataFrame:
+def run_report(
+    events: DataFrame, report: Report, seconds: int | None = None, quantiles: str = "exact"
+) -> DataFrame:
     """One standard report: ``bucket_time``, the dimensions (dots as underscores) and
-    ``value``. Rows where a dimension is missing are left out."""
+    ``value``. Rows where a dimension is missing are left out.
+
+    ``quantiles="sketch"`` estimates percentiles in one aggregation (KLL), which suits
+    thousands of small groups.
+    """
+    if quantiles not in ("exact", "sketch"):
+        raise ValueError(f"quantiles are exact or by sketch, not {quantiles!r}")
     path, _, statistic = report.metric.rpartition(".")
     width = seconds or _SECONDS[report.bucket]
     parsed = shred(events, [*report.group_by, *([path] if path else [])])
@@ -104,6 +112,9 @@ def run_report(events: DataFrame, report: Report, seconds: int | None = None) ->
         )
     if statistic in ("p95", "p99"):
         p = {"p95": 0.95, "p99": 0.99}[statistic]
+        if quantiles == "sketch":
+            states = rows.where(F.col("measured").isNotNull()).groupBy(*keys).agg(sketch("measured").alias("state"))
+            return states.select(*keys, *[q.alias("value") for q in sketch_percentiles("state", [p])])
         result = exact_percentiles(rows, keys, "measured", [p])
         return result.withColumnRenamed(statistic, "value")
     if report.metric == "trace_count":

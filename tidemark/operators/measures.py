@@ -267,13 +267,23 @@ def resolve_dimension_set(
 
 
 def measure_window(
-    measures: DataFrame, measure_name: str, seconds: int, keys: Iterable[str] = ()
+    measures: DataFrame, measure_name: str, seconds: int, keys: Iterable[str] = (), quantiles: str = "exact"
 ) -> DataFrame:
-    """Average and p95 over short windows straight from the measure rows."""
+    """Average and p95 over short windows straight from the measure rows.
+
+    ``quantiles="sketch"`` estimates p95 in the same aggregation (KLL).
+    """
+    if quantiles not in ("exact", "sketch"):
+        raise ValueError(f"quantiles are exact or by sketch, not {quantiles!r}")
     rows = measures.where(F.col("measure_name") == measure_name).withColumn(
         "bucket_time", bucket(F.col("timestamp"), seconds)
     )
     keys = ["bucket_time", *keys]
+    if quantiles == "sketch":
+        states = rows.groupBy(*keys).agg(
+            F.count(F.lit(1)).alias("count"), F.avg("value").alias("avg"), sketch("value").alias("state")
+        )
+        return states.select(*keys, "count", "avg", *sketch_percentiles("state", [0.95]))
     averages = rows.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("count"), F.avg("value").alias("avg")
     )

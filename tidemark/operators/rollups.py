@@ -11,8 +11,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.distinct import distinct_state, estimate, united
 from tidemark.functions.events import bucket, is_error
-from tidemark.functions.paths import Fields
+from tidemark.functions.paths import Fields, shred
 from tidemark.plans.facets import facet_path
 
 # Fields with maintained rollups, fields the raw table can be
@@ -309,3 +310,32 @@ def latest(source: DataFrame, path: str | None = None, value: str | None = None)
         source = source.where(Fields(source, derived_signal=True).string(facet_path(path)) == value)
     time = "bucket_time" if rolled or "timestamp" not in columns else "timestamp"
     return source.agg(F.max(time).alias("last_created_at"))
+
+
+def distinct_rollups(events: DataFrame, paths: Sequence[str], seconds: int = 86_400) -> DataFrame:
+    """How many different values each path takes, per tenant and interval, as states that merge.
+
+    One pass for all paths; a state is of bounded size, so a hot tenant or value leaves one
+    small row per task.
+    """
+    parsed = shred(events, paths)
+    fields = Fields(parsed)
+    pairs = F.array(*[F.struct(F.lit(p).alias("field_name"), fields.string(p).alias("value")) for p in paths])
+    rows = parsed.select(
+        "tenant_id", bucket(F.col("timestamp"), seconds).alias("bucket_time"),
+        F.explode(F.filter(pairs, lambda pair: pair["value"] != "")).alias("pair"),
+    ).select("tenant_id", "bucket_time", "pair.*")
+    return rows.groupBy("tenant_id", "field_name", "bucket_time").agg(
+        _count().alias("count"), distinct_state("value").alias("state")
+    )
+
+
+def distinct_over(rollups: DataFrame, seconds: int, keys: Sequence[str] = ("tenant_id", "field_name")) -> DataFrame:
+    """Different values over wider intervals (or fewer keys), from the states alone.
+
+    ``distinct_values`` is an estimate within ``ERROR_BOUND`` of the count.
+    """
+    wide = rollups.withColumn("bucket_time", bucket(F.col("bucket_time"), seconds))
+    return wide.groupBy(*keys, "bucket_time").agg(F.sum("count").alias("count"), united("state").alias("state")).select(
+        *keys, "bucket_time", "count", estimate("state").alias("distinct_values"), "state"
+    )
