@@ -20,9 +20,10 @@ from pyspark.sql import functions as F
 from tidemark.functions.events import bucket
 from tidemark.functions.paths import Fields, shred
 from tidemark.operators.filters import Time, TimeRange, filter_dimensions, in_time
-from tidemark.plans.definitions import Definition, bucket_seconds, of_tenant
+from tidemark.plans.definitions import Definition, Rule, bucket_seconds, emit, of_tenant
 from tidemark.plans.exprs import dimension_map, named_values, path_of, paths_in, string_expr
 from tidemark.plans.matchers import matcher
+from tidemark.plans.shapes import lit
 
 # Widths in seconds of the slices a walk is composed from, finest first. Each level
 # merges at most 240 parts of the one below.
@@ -39,44 +40,53 @@ class Step:
     match: dict = field(default_factory=dict, hash=False)
 
 
-def _walk(steps: int) -> Column:
+def _standing(steps: int | Column) -> Column:
+    """The walk that leads nowhere."""
+    if isinstance(steps, int):
+        return F.array(*[F.lit(r) for r in range(steps + 1)])
+    return F.sequence(F.lit(0), steps)
+
+
+def _walk(steps: int | Column) -> Column:
     """The walk over one slice as an array: entry r is where an entity ends that
     enters with r steps reached."""
-    identity = F.array(*[F.lit(r) for r in range(steps + 1)])
     return F.aggregate(
         F.array_sort("matches"),
-        identity,
+        _standing(steps),
         lambda state, match: F.transform(
             state, lambda r: F.when(r == match["step"], r + 1).otherwise(r)
         ),
     )
 
 
-def _compose(steps: int) -> Column:
+def _compose(steps: int | Column) -> Column:
     """Walks of consecutive slices chained into one."""
-    identity = F.array(*[F.lit(r) for r in range(steps + 1)])
     return F.aggregate(
         F.array_sort("walks"),
-        identity,
+        _standing(steps),
         lambda state, part: F.transform(state, lambda r: F.get(part["walk"], r)),
     )
 
 
-def reached_steps(matches: DataFrame, keys: Sequence[str], steps: int) -> DataFrame:
-    """Steps reached per key from rows (keys, ``timestamp``, ``step``).
+def reached_steps(matches: DataFrame, keys: Sequence[str], steps: int | Column) -> DataFrame:
+    """Steps reached per key from rows (keys, ``timestamp``, ``step``); ``steps`` may depend on the key.
 
-    Two shuffles: one spreads keys over their slices, one brings the short slice
-    walks of a key together; the coarser levels reuse the second partitioning.
+    Two shuffles: one spreads keys over their hours, in which walks are composed to the
+    hour, one brings the hourly walks of a key together for the levels above.
     """
+    finest, hour, *_ = SLICES
     seconds = F.unix_seconds("timestamp")
-    sliced = matches.withColumn("slice", F.floor(seconds / SLICES[0]))
+    dealt = matches.withColumns({"hour": F.floor(seconds / hour), "slice": F.floor(seconds / finest)}).repartition(*keys, "hour")
     walks = (
-        sliced.groupBy(*keys, "slice")
+        dealt.groupBy(*keys, "hour", "slice")
         .agg(F.collect_set(F.struct("timestamp", "step")).alias("matches"))
-        .select(*keys, "slice", _walk(steps).alias("walk"))
+        .select(*keys, "hour", "slice", _walk(steps).alias("walk"))
+        .groupBy(*keys, "hour")
+        .agg(F.collect_list(F.struct("slice", "walk")).alias("walks"))
+        .select(*keys, F.col("hour").alias("slice"), _compose(steps).alias("walk"))
         .repartition(*keys)
     )
-    for finer, coarser in zip(SLICES, SLICES[1:], strict=False):
+    for finer, coarser in zip(SLICES[1:], SLICES[2:], strict=False):
         walks = (
             walks.groupBy(*keys, F.floor(F.col("slice") / (coarser // finer)).alias("coarse"))
             .agg(F.collect_list(F.struct("slice", "walk")).alias("walks"))
@@ -99,6 +109,10 @@ def step_counts(reached: DataFrame, keys: Sequence[str], names: Sequence[str]) -
         F.array(*[F.count_if(F.col("reached") > i) for i in range(total)]).alias("counts"),
     )
     labels = F.array(*[F.lit(name) for name in names])
+    return _unfolded(counted, keys, labels)
+
+
+def _unfolded(counted: DataFrame, keys: Sequence[str], labels: Column) -> DataFrame:
     return counted.select(
         *keys, "deepest", "counts", F.posexplode(F.slice("counts", 1, F.col("deepest")))
     ).select(
@@ -157,55 +171,59 @@ def funnel(
 
 
 def sequence_report(events: DataFrame, definitions: Sequence[Definition]) -> DataFrame:
-    """Funnels declared by definitions, per bucket and segment."""
-    result = None
-    for d in definitions:
+    """Funnels declared by definitions, per bucket and segment.
+
+    All funnels are walked together: one scan gives the matches of every definition, and
+    the number of steps is part of the key, so walks of any width are composed side by side.
+    """
+    layouts: list[list[str]] = []
+
+    def rules(_: DataFrame, fields: Fields, d: Definition) -> list[Rule]:
+        found = []
         for output in d.outputs("sequence_report_results"):
             steps = [
                 Step(str(spec["name"]).strip(), spec.get("match") or {})
                 for spec in output.get("steps") or []
                 if isinstance(spec, dict) and str(spec.get("name") or "").strip()
             ]
-            if not steps:
+            entity = string_expr(fields, output.get("entity_id"))
+            if not steps or entity is None:
                 continue
-            part = _declared_funnel(events, d, output, steps)
-            if part is not None:
-                result = part if result is None else result.unionByName(part)
-    if result is None:
-        raise ValueError("no sequence definitions")
-    return result
-
+            report = string_expr(fields, output.get("report_id"), d.name)
+            # A report id read from the event is not known when steps are named.
+            generic = path_of(output.get("report_id")) is not None
+            layouts.append([f"step_{i}" if generic else step.name for i, step in enumerate(steps)])
+            matched = _step_matches(fields, steps)
+            holds = of_tenant(d) & matcher(fields, d.config.get("match"))
+            columns = [
+                report.alias("report_id"),
+                lit(d.version).cast("bigint").alias("report_version"),
+                bucket(F.col("timestamp"), bucket_seconds(output, 60)).alias("bucket_time"),
+                dimension_map(named_values(fields, output.get("dimensions"))).alias("segment"),
+                entity.alias("entity_id"),
+                F.lit(len(layouts) - 1).alias("layout"),
+                F.lit(len(steps)).alias("size"),
+                matched.alias("steps"),
+            ]
+            found.append((holds & (report != "") & (entity != ""), columns))
+        return found
 
-def _declared_funnel(
-    events: DataFrame, d: Definition, output: dict, steps: list[Step]
-) -> DataFrame | None:
-    parsed = shred(events, paths_in([d.config.get("match"), output]))
-    fields = Fields(parsed)
-    entity = string_expr(fields, output.get("entity_id"))
-    if entity is None:
-        return None
-    report = string_expr(fields, output.get("report_id"), d.name)
-    rows = (
-        parsed.where(of_tenant(d) & matcher(fields, d.config.get("match")))
-        .select(
-            "tenant_id",
-            report.alias("report_id"),
-            F.lit(d.version).cast("bigint").alias("report_version"),
-            bucket(F.col("timestamp"), bucket_seconds(output, 60)).alias("bucket_time"),
-            dimension_map(named_values(fields, output.get("dimensions"))).alias("segment"),
-            entity.alias("entity_id"),
-            "timestamp",
-            _step_matches(fields, steps).alias("steps"),
-        )
-        .where((F.col("report_id") != "") & (F.col("entity_id") != "") & (F.size("steps") > 0))
-        .select(*SEQUENCE_KEYS, "entity_id", "timestamp", F.explode("steps").alias("step"))
+    rows = emit(events, definitions, rules, ["tenant_id", "timestamp"])
+    if rows is None:
+        raise ValueError("no sequence definitions")
+    keys = [*SEQUENCE_KEYS, "layout", "size"]
+    # As entries, since grouping by a map rewrites it and would shuffle once more each time.
+    rows = rows.withColumn("segment", F.map_entries("segment"))
+    matches = rows.select(*keys, "entity_id", "timestamp", F.explode("steps").alias("step"))
+    reached = reached_steps(matches, [*keys, "entity_id"], F.col("size"))
+    widest = max(len(layout) for layout in layouts)
+    counted = reached.groupBy(*keys).agg(
+        F.max("reached").alias("deepest"),
+        F.array(*[F.count_if(F.col("reached") > i) for i in range(widest)]).alias("counts"),
     )
-    reached = reached_steps(rows, [*SEQUENCE_KEYS, "entity_id"], len(steps))
-    names = [step.name for step in steps]
-    if path_of(output.get("report_id")) is not None:
-        # A report id read from the event is not known when steps are named.
-        names = [f"step_{i}" for i in range(len(steps))]
-    return step_counts(reached, SEQUENCE_KEYS, names)
+    names = F.array(*[F.array(*[F.lit(n) for n in layout]) for layout in layouts])
+    done = _unfolded(counted, keys, F.get(names, F.col("layout"))).drop("layout", "size")
+    return done.withColumn("segment", F.map_from_entries("segment"))
 
 
 def funnel_query(
