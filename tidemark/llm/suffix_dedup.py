@@ -14,6 +14,8 @@ from tidemark.llm.shared import written
 LENGTH = 50
 GRAM = 26
 SEGMENT = 1 << 16
+# One in so many anchors ends a piece.
+CUT = 16
 LAST = (1 << 63) - 1
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -68,29 +70,31 @@ def _anchor_rows(texts: DataFrame) -> DataFrame:
     )
 
 
-def segments(texts: DataFrame) -> DataFrame:
-    """(seg, file, row, place, start, data): the stretches whose windows may occur in two documents.
+def pieces(texts: DataFrame) -> DataFrame:
+    """(file, row, place, start, digest, data): the stretches whose windows may occur in two documents, in pieces.
 
     Windows whose least gram is in one document only cannot, and are left out; nothing
-    else is. A stretch holds all bytes of its windows and at most 65,536 windows.
+    else is. A piece holds all bytes of its windows, so neighbours overlap by 49. It ends
+    where the content says so (before an anchor whose gram's hash ``CUT`` divides), so
+    that copies of a passage are cut alike, and after 65,536 windows.
     """
     rows = _anchor_rows(texts)
     shared = rows.groupBy("gram").agg(F.min("place").alias("a"), F.max("place").alias("b")).where("a < b")
+    ends = (F.pmod("gram", F.lit(CUT)) == 0).alias("cut")
     runs = (
         rows.join(written(shared.select("gram"), "shared-grams"), "gram", "left_semi")
         .groupBy("file", "row")
-        .agg(F.collect_list(F.struct("first", "last")).alias("runs"))
+        .agg(F.collect_list(F.struct("first", "last", ends)).alias("runs"))
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for file, row, place, text, runs in zip(*(c.to_pylist() for c in batch.columns)):
-                spans = sorted((r["first"], r["last"]) for r in runs)
                 merged: list[list[int]] = []
-                for a, b in spans:
-                    if merged and a <= merged[-1][1] + 1:
-                        merged[-1][1] = max(merged[-1][1], b)
+                for a, b, cut in sorted((r["first"], r["last"], r["cut"]) for r in runs):
+                    if merged and a == merged[-1][1] + 1 and not cut and b - merged[-1][0] < SEGMENT:
+                        merged[-1][1] = b
                     else:
                         merged.append([a, b])
                 for a, b in merged:
@@ -105,7 +109,17 @@ def segments(texts: DataFrame) -> DataFrame:
 
     cut = texts.join(runs.hint("merge"), ["file", "row"]).select("file", "row", "place", "text", "runs")
     cut = cut.mapInArrow(run, "file long, row long, place long, start long, data binary")
-    return written(cut.withColumn("seg", F.monotonically_increasing_id()), "segments")
+    return written(cut.withColumn("digest", F.unhex(F.sha2("data", 256))), "pieces")
+
+
+def segments(cut: DataFrame) -> DataFrame:
+    """(seg, place, data, digest): each different piece once, with the least place of its documents.
+
+    Near copies share most of their pieces, so a piece they share is searched once,
+    however many there are of them.
+    """
+    once = cut.groupBy("digest", "data").agg(F.min("place").alias("place"))
+    return written(once.withColumn("seg", F.monotonically_increasing_id()), "segments")
 
 
 def _packed(data: np.ndarray, size: int) -> np.ndarray:
@@ -154,7 +168,7 @@ def _named(triples: DataFrame) -> DataFrame:
 
 
 def repeated_windows(segs: DataFrame) -> DataFrame:
-    """(file, row, start) of the windows that also start in a document of smaller place.
+    """(seg, at) of the windows that also start in a piece of smaller place.
 
     Triples at the sampled places are sorted and named (9 bytes), then triples of names
     (27 bytes). Two windows meet at sampled places after none, one or two bytes, so
@@ -179,7 +193,7 @@ def repeated_windows(segs: DataFrame) -> DataFrame:
     sized = segs.select("seg", F.length("data").alias("size"))
     long = _named(_rows(nine.join(sized, "seg").select("seg", "names", "size"), names_of, ["at", "a", "b", "c"]))
 
-    def keys_of(names: np.ndarray, data: bytes, place: int, start: int):
+    def keys_of(names: np.ndarray, data: bytes, place: int):
         raw = np.frombuffer(data, np.uint8).astype(np.int64)
         size = len(raw)
         full = np.zeros(size - 26, np.int64)
@@ -197,14 +211,13 @@ def repeated_windows(segs: DataFrame) -> DataFrame:
             form = np.int64(offset) << 32
             out.append((at, head | form, full[at + offset], full[at + offset + 21]))
         columns = [np.concatenate(x) for x in zip(*out)]
-        return columns[0] + start, columns[1], columns[2], columns[3], np.full(len(columns[0]), place)
+        return columns[0], columns[1], columns[2], columns[3], np.full(len(columns[0]), place)
 
-    held = segs.select("seg", "data", "place", "start").join(written(long, "twenty-seven"), "seg")
-    keys = _rows(held.select("seg", "names", "data", "place", "start"), keys_of, ["at", "a", "b", "c", "place"])
+    held = segs.select("seg", "data", "place").join(written(long, "twenty-seven"), "seg")
+    keys = _rows(held.select("seg", "names", "data", "place"), keys_of, ["at", "a", "b", "c", "place"])
     least = keys.groupBy("a", "b", "c").agg(F.min("place").alias("low"), F.max("place").alias("high"))
     least = written(least.where("low < high").drop("high"), "shared-windows")
-    later = keys.join(least, ["a", "b", "c"]).where("place > low").select("seg", "at").distinct()
-    return later.join(segs.select("seg", "file", "row"), "seg").select("file", "row", F.col("at").alias("start"))
+    return keys.join(least, ["a", "b", "c"]).where("place > low").select("seg", "at").distinct()
 
 
 def _place(docs: DataFrame, id_col: str) -> Column:
@@ -236,21 +249,38 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     texts = written(
         located.where(F.length("text") >= LENGTH).drop("id").join(copies.hint("merge"), ["file", "row"], "left_anti"), "texts"
     )
-    marks = repeated_windows(segments(texts))
-    starts = marks.groupBy("file", "row").agg(F.sort_array(F.collect_list("start")).alias("starts"))
-    whole = copies.select("file", "row", F.array(F.lit(-1).cast("long")).alias("starts"))
-    cuts = written(starts.unionByName(whole), "cuts")
+    cut = pieces(texts)
+    segs = segments(cut)
+    # A piece has 65,536 windows at most.
+    marks = repeated_windows(segs).groupBy("seg").agg(F.sort_array(F.collect_list(F.col("at").cast("int"))).alias("marks"))
+    known = written(segs.select("seg", "digest", F.col("place").alias("low")).join(marks, "seg", "left"), "marks")
+    # All of a piece goes that an earlier document has whole; of its first one, what is marked.
+    later = F.col("place") > F.col("low")
+    found = (
+        cut.select("file", "row", "place", "start", "digest", F.length("data").alias("size"))
+        .join(known, "digest")
+        .where(later | F.col("marks").isNotNull())
+        .select("file", "row", F.struct("start", "size", F.when(~later, F.col("marks")).alias("marks")).alias("cut"))
+    )
+    everything = F.struct(F.lit(-1).cast("long").alias("start"), F.lit(0).alias("size"), F.lit(None).cast("array<int>").alias("marks"))
+    whole = copies.select("file", "row", F.array(everything).alias("cuts"))
+    cuts = written(found.groupBy("file", "row").agg(F.sort_array(F.collect_list("cut")).alias("cuts")).unionByName(whole), "cuts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kept, spans = [], []
-            for text, starts in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                runs: list[list[int]] = [[0, len(text)]] if starts == [-1] else []
-                for start in starts or () if starts != [-1] else ():
-                    if runs and start <= runs[-1][1]:
-                        runs[-1][1] = start + LENGTH
-                    else:
-                        runs.append([start, start + LENGTH])
+            for text, cuts in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                runs: list[list[int]] = []
+                for cut in cuts or ():
+                    start, marks = cut["start"], cut["marks"]
+                    gone = [(0, cut["size"])] if marks is None else [(at, at + LENGTH) for at in marks]
+                    if start < 0:
+                        start, gone = 0, [(0, len(text))]
+                    for a, b in gone:
+                        if runs and start + a <= runs[-1][1]:
+                            runs[-1][1] = max(runs[-1][1], start + b)
+                        else:
+                            runs.append([start + a, start + b])
                 edges = [0, *(x for r in runs for x in r), len(text)]
                 kept.append(b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2])))
                 spans.append(runs)
@@ -265,7 +295,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             )
 
     joined = located.select("file", "row", "id", "text").join(cuts.hint("merge"), ["file", "row"], "left")
-    done = joined.select("id", "text", "starts").mapInArrow(
+    done = joined.select("id", "text", "cuts").mapInArrow(
         run, "id long, n_bytes long, kept binary, spans array<array<long>>"
     )
     return done.select(
