@@ -57,6 +57,12 @@ def _linear_bin(value: Column) -> Column:
     ).otherwise(F.lit(0).cast("bigint"))
 
 
+def _finite(value: Column) -> Column:
+    """The value, with one zero; bins and interpolation have no place for infinities."""
+    odd = F.isnan(value) | (F.abs(value) == float("inf"))
+    return F.when(odd, F.raise_error(F.lit("percentiles need finite values")).cast("double")).otherwise(value + F.lit(0.0))
+
+
 def _ranks(total: Column, ps: Sequence[float]) -> Column:
     """The two neighbouring ranks of each percentile and the weight of the upper one."""
     items = []
@@ -98,14 +104,14 @@ def exact_percentiles(
 ) -> DataFrame:
     """One row per key with interpolated percentiles, equal to SQL PERCENTILE_CONT.
 
-    NULL values are ignored; values must be finite. Equal values are counted
+    NULL values are ignored; values that are not finite raise. Equal values are counted
     map-side first, and every level reads those counts (Spark reuses their
     exchange), so the input is scanned once.
     """
     keys = list(keys)
     counts = (
         df.where(F.col(value).isNotNull())
-        .select(*keys, (F.col(value).cast("double") + F.lit(0.0)).alias("v"))
+        .select(*keys, _finite(F.col(value).cast("double")).alias("v"))
         .groupBy(*keys, "v")
         .agg(F.count(F.lit(1)).alias("c"))
     )

@@ -79,6 +79,26 @@ def merge_spans(events: DataFrame) -> DataFrame:
     )
 
 
+TIMELINE = [
+    "tenant_id", "event_id", "timestamp", "event_type", "trace_id", "span_id", "parent_span_id", "service", "name",
+    "duration_ms", "is_error", "data",
+]
+
+
+def merged_timeline(events: DataFrame) -> DataFrame:
+    """All events, with start and end of each span as one of type ``span``; others stay as they are.
+
+    Starts and ends without a span id cannot be paired and stay too. One pass merges, one hands
+    the others on; neither shuffles them.
+    """
+    paired = F.col("event_type").isin("span_start", "span_end") & (F.col("span_id") != "")
+    others = events.where(~paired).select(
+        *[is_error(events).alias(c) if c == "is_error" else F.col(c) for c in TIMELINE]
+    )
+    spans = merge_spans(events).withColumns({"timestamp": F.col("started_at"), "event_type": F.lit("span")})
+    return others.unionByName(spans.select(*TIMELINE))
+
+
 def span_depth(spans: DataFrame) -> DataFrame:
     """Depth of each span in its trace: a root, or a span whose parent is missing,
     is at 0.

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions.events import promote_columns
-from tidemark.operators.filters import Time, filter_whole_text, instant
+from tidemark.operators.filters import Time, by_day, filter_whole_text, instant
 from tidemark.schema import BATCH_RECORD, EVENT_COLUMNS, EVENTS
 
 
@@ -170,6 +170,7 @@ def export_rows(
         events = events.where(F.col("tenant_id") == tenant)
     if event_type:
         events = events.where(F.col("event_type") == event_type)
+    events = by_day(events, *[None if t is None else instant(t) for t in (start, end)])
     if start is not None:
         events = events.where(F.col("timestamp") >= instant(start))
     if end is not None:
