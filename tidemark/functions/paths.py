@@ -32,7 +32,7 @@ def json_path(keys: Iterable[str]) -> str:
 def check_path(path: str) -> str:
     path = path.strip()
     if not path or re.search(r"['\"\\\[\]*]", path):
-        raise ValueError(f"unsupported field path: {path!r}")
+        raise ValueError(f"no payload path: {path!r}")
     return path
 
 

@@ -95,6 +95,15 @@ def stamp_tenant(data: Column, tenant: Column, organization: Column | None = Non
     return F.map_concat(rest, stamp)
 
 
+# The reasons that stored rejects carry.
+NO_OBJECT = "event must be a JSON object"
+NO_ID = "event_id must be a non-empty string"
+NO_TIME = "timestamp must be a non-empty string"
+NO_DATA = "data must be a JSON object"
+TOO_LARGE = "event is too large"
+ODD_TIME = "timestamp is not a time"
+
+
 def checked(
     raw: DataFrame, max_event_bytes: int = MAX_EVENT_BYTES, organization: str | None = None
 ) -> DataFrame:
@@ -146,12 +155,12 @@ def checked(
     rows = rows.withColumn("source_length", line.cast("bigint") + 1)
     reason = (
         F.when(F.col("body_error").isNotNull(), F.col("body_error"))
-        .when(F.col("__no_object"), F.lit("event must be a JSON object"))
-        .when(F.col("event_id").isNull(), F.lit("event_id must be a non-empty string"))
-        .when(F.col("__time").isNull(), F.lit("timestamp must be a non-empty string"))
-        .when(F.col("__data").isNull(), F.lit("data must be a JSON object"))
-        .when(F.col("source_length") > max_event_bytes, F.lit("event is too large"))
-        .when(F.try_to_timestamp("__time").isNull(), F.lit("timestamp is not a time"))
+        .when(F.col("__no_object"), F.lit(NO_OBJECT))
+        .when(F.col("event_id").isNull(), F.lit(NO_ID))
+        .when(F.col("__time").isNull(), F.lit(NO_TIME))
+        .when(F.col("__data").isNull(), F.lit(NO_DATA))
+        .when(F.col("source_length") > max_event_bytes, F.lit(TOO_LARGE))
+        .when(F.try_to_timestamp("__time").isNull(), F.lit(ODD_TIME))
     )
     return rows.withColumn("reason", reason)
 
@@ -271,6 +280,7 @@ def discover_metric_definitions(events: DataFrame) -> DataFrame:
             lambda p: F.struct(p.alias("name"), F.struct(p.alias("path")).alias("value")),
         )
     )
+    # Config and id prefix of a discovered definition, as stored ones have them.
     head = {
         "managed_by": "sdk",
         "definition_source": "sdk_metric",

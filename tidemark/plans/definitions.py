@@ -74,7 +74,7 @@ def validate(definition: Definition) -> Definition:
     if definition.mode and definition.mode not in modes:
         raise ValueError(f"unknown mode for {definition.kind}: {definition.mode}")
     if not definition.definition_id.strip():
-        raise ValueError("definition_id is required")
+        raise ValueError("a definition needs an id")
     if not isinstance(definition.config, dict):
         raise ValueError("config must be an object")
     operators = ALERT_OPS if definition.kind == "alert" else DEFINITION_OPS

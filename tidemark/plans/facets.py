@@ -31,7 +31,7 @@ def facet_path(path: str) -> str:
         return PATH_ALIASES[path]
     stored = path.strip().replace("-", ".")
     if not all(_SEGMENT.match(part) for part in stored.split(".")):
-        raise ValueError(f"unsupported field path: {stored}")
+        raise ValueError(f"facets cannot name the path {stored!r}")
     return stored
 
 

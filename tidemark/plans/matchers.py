@@ -65,7 +65,7 @@ def predicate(fields: Fields, spec: dict[str, Any]) -> Column:
     if op == "is_number":
         return fields.number(path).isNotNull()
     if op not in DEFINITION_OPS:
-        raise ValueError(f"unsupported match operator: {op}")
+        raise ValueError(f"matchers have no operator {op!r}")
     if op == "in":
         values = spec.get("value")
         if not isinstance(values, list):
@@ -127,7 +127,7 @@ def alert_condition(df: DataFrame, fields: AlertFields, spec: dict[str, Any]) ->
     if op == "is_error":
         return is_error(df, "alert")
     if op not in ALERT_OPS:
-        raise ValueError(f"unsupported alert condition operator: {op}")
+        raise ValueError(f"alerts have no operator {op!r}")
     text = fields.text(spec["path"])
     value = spec.get("value")
     if op == "exists":
