@@ -182,3 +182,19 @@ def test_only_failed_chunks_run_again(spark, make_events, tmp_path):
     assert {k for k, r in status.items() if r["status"] == "failed"} == {5} and "poison" in status[5]["error"]
     assert status[5]["rows_written"] == 0 and status[0]["rows_written"] == 5 and status[0]["attempt"] == 2
     assert spark.read.parquet(str(tmp_path / "out")).count() == 35
+
+
+def test_first_deliveries_are_chosen_before_rows_are_read(spark, make_events, tmp_path):
+    rows = [(k % 40, f"2024-01-01T00:00:{k % 7:02d}Z", {"text": f"delivery {k}", "n": k}) for k in range(200)]
+    path = str(tmp_path / "events")
+    for n, offset in enumerate((5, 0, 5)):
+        make_events(*rows[n * 60 : n * 60 + 80], offset=offset).write.mode("append").parquet(path)
+    stored = spark.read.schema(make_events(*rows).schema).parquet(path)
+    found = normalize.dedupe_stored(stored)
+    key = lambda r: (r["event_id"], r["source_file"], r["source_offset"], r["timestamp"])
+    got = sorted(map(key, found.collect()))
+    assert got == sorted(map(key, normalize.dedupe_events(stored).collect())) and len(got) == 40
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert not any("SortAggregate" in line and "data" in line for line in plan.splitlines())
+    assert "ShuffledHashJoin" in plan and not any(line.strip(" +-:").startswith("Sort [__file") for line in plan.splitlines())
+    assert found.columns == stored.columns

@@ -212,6 +212,19 @@ def dedupe_events(events: DataFrame) -> DataFrame:
     )
 
 
+def dedupe_stored(events: DataFrame) -> DataFrame:
+    """``dedupe_events`` for events that are read from files: winners first, rows later.
+
+    The first delivery is found on narrow columns with its place (file and row); whole rows then
+    meet the places once, by hash, so payloads are neither aggregated nor sorted. Of
+    deliveries at one position the first by place stays.
+    """
+    located = events.withColumns({"__file": F.xxhash64("_metadata.file_path"), "__row": F.col("_metadata.row_index")})
+    order = F.struct("source_file", "source_offset", "timestamp", "__file", "__row")
+    winners = located.groupBy("tenant_id", "event_id").agg(F.min(order).alias("w")).select("w.__file", "w.__row")
+    return located.join(winners.hint("shuffle_hash"), ["__file", "__row"], "left_semi").drop("__file", "__row")
+
+
 def rename_keys(data: Column, mapping: dict[str, str] | None = None) -> Column:
     """Payload members with SDK names replaced by stored names (JSON text in and out).
 

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators.filters import EVENT_KEY, in_window, instant
-from tidemark.operators.normalize import dedupe_events
+from tidemark.operators.normalize import dedupe_events, dedupe_stored
 from tidemark.session import shared_folder
 from tidemark.sources.tables import (
     exists,
@@ -135,7 +135,7 @@ def _refresh(spark: SparkSession, root: str, table: DerivedTable, commits: DataF
         return
     # Files hold one day each, so only the touched days are read.
     day = F.to_date("timestamp")
-    events = dedupe_events(read_committed(spark, root, days=days).where(day.isin(days)))
+    events = dedupe_stored(read_committed(spark, root, days=days).where(day.isin(days)))
     rows = table.build(events).withColumn("bucket_date", F.to_date(table.time))
     replace_groups(rows, f"{root}/tables/{table.name}", "bucket_date", days)
 

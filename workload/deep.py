@@ -34,6 +34,20 @@ def deep_kv_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.groupBy("path", value.alias("value")).agg(F.count("*").alias("events"))
 
 
+@query(
+    "capped_kv_index",
+    """WITH {EV}, leaves AS (
+      SELECT n, unnest([{'i': 1, 'path': 'account_id'}, {'i': 2, 'path': 'country'}, {'i': 3, 'path': CASE WHEN currency <> '' THEN 'currency' END},
+        {'i': 4, 'path': 'duration_ms'}, {'i': 5, 'path': 'environment'}, {'i': 6, 'path': 'event_type'}]) AS l FROM ev),
+    first AS (SELECT l.path AS path, row_number() OVER (PARTITION BY n ORDER BY l.i) AS rank FROM leaves WHERE l.path IS NOT NULL)
+    SELECT path, count(*) AS events FROM first WHERE rank <= 5 GROUP BY path""",
+)
+def capped_kv_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An index of the first five leaves of each event, as a caller may ask for."""
+    index = indexes.kv_index(events(spark, sf_dir), max_rows=5)
+    return index.groupBy("path").agg(F.count("*").alias("events"))
+
+
 @query(
     "deep_field_inference",
     f"""WITH {{EV}}, paths AS (
