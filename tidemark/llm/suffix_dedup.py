@@ -220,6 +220,22 @@ def repeated_windows(segs: DataFrame) -> DataFrame:
     return keys.join(least, ["a", "b", "c"]).where("place > low").select("seg", "at").distinct()
 
 
+def marked(cut: DataFrame, segs: DataFrame, marks: DataFrame) -> DataFrame:
+    """(file, row, start, size, marks) of the pieces of which something goes.
+
+    All of a piece goes that an earlier document has whole, its ``marks`` are then null; of
+    its first one goes what ``marks`` (seg, marks) has for it.
+    """
+    known = written(segs.select("seg", "digest", F.col("place").alias("low")).join(marks, "seg", "left"), "marks")
+    later = F.col("place") > F.col("low")
+    return (
+        cut.select("file", "row", "place", "start", "digest", F.length("data").alias("size"))
+        .join(known, "digest")
+        .where(later | F.col("marks").isNotNull())
+        .select("file", "row", "start", "size", F.when(~later, F.col("marks")).alias("marks"))
+    )
+
+
 def _place(docs: DataFrame, id_col: str) -> Column:
     return F.coalesce(docs[id_col].cast("long"), F.lit(LAST))
 
@@ -251,17 +267,17 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     )
     cut = pieces(texts)
     segs = segments(cut)
-    # A piece has 65,536 windows at most.
-    marks = repeated_windows(segs).groupBy("seg").agg(F.sort_array(F.collect_list(F.col("at").cast("int"))).alias("marks"))
-    known = written(segs.select("seg", "digest", F.col("place").alias("low")).join(marks, "seg", "left"), "marks")
-    # All of a piece goes that an earlier document has whole; of its first one, what is marked.
-    later = F.col("place") > F.col("low")
-    found = (
-        cut.select("file", "row", "place", "start", "digest", F.length("data").alias("size"))
-        .join(known, "digest")
-        .where(later | F.col("marks").isNotNull())
-        .select("file", "row", F.struct("start", "size", F.when(~later, F.col("marks")).alias("marks")).alias("cut"))
+    # What stands in one piece only is its own first; the rest is cut once more and searched.
+    parts = pieces(segs.select(F.col("seg").alias("file"), F.lit(0).cast("long").alias("row"), "place", F.col("data").alias("text")))
+    kinds = segments(parts)
+    inner = marked(parts, kinds, repeated_windows(kinds).groupBy("seg").agg(F.sort_array(F.collect_list(F.col("at").cast("int"))).alias("marks")))
+    start = F.col("start").cast("int")
+    windows = F.when(F.col("marks").isNull(), F.sequence(start, start + F.col("size") - LENGTH)).otherwise(
+        F.transform("marks", lambda at: at + start)
     )
+    # A piece has 65,536 windows at most.
+    marks = inner.groupBy(F.col("file").alias("seg")).agg(F.sort_array(F.flatten(F.collect_list(windows))).alias("marks"))
+    found = marked(cut, segs, marks).select("file", "row", F.struct("start", "size", "marks").alias("cut"))
     everything = F.struct(F.lit(-1).cast("long").alias("start"), F.lit(0).alias("size"), F.lit(None).cast("array<int>").alias("marks"))
     whole = copies.select("file", "row", F.array(everything).alias("cuts"))
     cuts = written(found.groupBy("file", "row").agg(F.sort_array(F.collect_list("cut")).alias("cuts")).unionByName(whole), "cuts")
