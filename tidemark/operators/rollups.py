@@ -223,7 +223,7 @@ def groups(
     return page.offset(offset).limit(limit + 1 if has_more else limit)
 
 
-def group_options(spark, definitions: DataFrame | None = None, limit: int = 1000) -> DataFrame:
+def group_options(spark, definitions: DataFrame | None = None, limit: int | None = None) -> DataFrame:
     """Paths that can be grouped by, with the best table that serves each.
 
     Built-in rollups come before identifiers, declared fields and raw paths.
@@ -268,7 +268,7 @@ def group_options(spark, definitions: DataFrame | None = None, limit: int = 1000
                 )
             )
     best = lambda c: F.min_by(c, "priority").alias(c)
-    return (
+    found = (
         options.groupBy("path")
         .agg(
             best("value_type"),
@@ -278,8 +278,8 @@ def group_options(spark, definitions: DataFrame | None = None, limit: int = 1000
             F.max("index_enabled").alias("index_enabled"),
         )
         .orderBy("path")
-        .limit(limit)
     )
+    return found if limit is None else found.limit(limit)
 
 
 def summary(source: DataFrame, path: str | None = None, value: str | None = None) -> DataFrame:

@@ -14,9 +14,9 @@ def usage_hot_shapes(
     min_runs: int = 3,
     min_bytes: int = 1_000_000_000,
     min_p95_ms: float = 1000.0,
-    limit: int | None = 50,
+    limit: int | None = None,
 ) -> DataFrame:
-    """Query shapes that run often, read much or are slow.
+    """Query shapes that run often, read much or are slow; all of them, or the ``limit`` that read most.
 
     Expects ``query_hash``, ``query_shape``, ``read_bytes``, ``read_rows``,
     ``elapsed_ms``, ``source_tables`` (array), ``observed_at``. The p95 is a

@@ -199,7 +199,7 @@ def _usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     ORDER BY read_bytes DESC, query_hash LIMIT 50""",
 )
 def hot_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hot = usage_hot_shapes(_usage(spark, sf_dir), 20, 800_000_000, 1e9)
+    hot = usage_hot_shapes(_usage(spark, sf_dir), 20, 800_000_000, 1e9, limit=50)
     return hot.select(
         "query_hash", "runs", "read_bytes", F.array_join("source_tables", ",").alias("tables")
     )
