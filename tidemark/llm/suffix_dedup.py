@@ -15,7 +15,9 @@ LENGTH = 50
 GRAM = 26
 SEGMENT = 1 << 16
 # One in so many anchors ends a piece.
-CUT = 16
+CUT = 2
+# Bytes of segments that are worked on at once.
+TOGETHER = 1 << 20
 LAST = (1 << 63) - 1
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -122,31 +124,42 @@ def segments(cut: DataFrame) -> DataFrame:
     return written(once.withColumn("seg", F.monotonically_increasing_id()), "segments")
 
 
-def _packed(data: np.ndarray, size: int) -> np.ndarray:
-    """The next ``size`` bytes at each place, as a number in their order."""
-    wide = data.astype(np.int64)
-    count = len(wide) - size + 1
-    return sum(wide[k : k + count] << 8 * (size - 1 - k) for k in range(size))
-
-
 def _rows(parts: DataFrame, make, columns: list[str]) -> DataFrame:
-    """Rows of numbers that ``make`` gives for each segment: (seg, *columns)."""
+    """Rows of numbers that ``make`` gives for segments: (seg, *columns).
+
+    ``parts`` has seg, size and what ``make`` takes; it works on about a megabyte of segments at
+    once and says which of them each of its rows belongs to.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(batch.num_rows):
-                values = [c[k] for c in batch.columns]
-                found = make(*[v.values.to_numpy() if isinstance(v, pa.ListScalar) else v.as_py() for v in values[1:]])
-                seg = np.full(len(found[0]), values[0].as_py())
+            ends = np.cumsum(batch.column(1).to_numpy())
+            cuts = np.flatnonzero(np.diff(ends // TOGETHER, prepend=-1))
+            for start, stop in zip(cuts, [*cuts[1:], batch.num_rows]):
+                part = batch.slice(start, stop - start)
+                owner, *found = make(part.column(1).to_numpy().astype(np.int64), *part.columns[2:])
+                seg = part.column(0).to_numpy()[owner]
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in (seg, *found)], ["seg", *columns])
 
     return parts.mapInArrow(run, "seg long, " + ", ".join(f"{c} long" for c in columns))
 
 
-def _sampled(count: int) -> np.ndarray:
-    """Places of the difference cover {1, 2} modulo 3."""
-    places = np.arange(max(count, 0))
-    return places[places % 3 != 0]
+def _laid_out(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first, owner, place) of runs of these lengths, one after the other."""
+    first = np.cumsum(lengths) - lengths
+    owner = np.repeat(np.arange(len(lengths)), lengths)
+    return first, owner, np.arange(len(owner)) - first[owner]
+
+
+def _raw(data: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(data.to_pylist()), np.uint8).astype(np.int64)
+
+
+def _spread(names: pa.Array, place: np.ndarray) -> np.ndarray:
+    """Names, which are by sampled place, at all places; those of the cover {1, 2} modulo 3 have one."""
+    full = np.zeros(len(place), np.int64)
+    full[place % 3 != 0] = names.flatten().to_numpy(zero_copy_only=False)
+    return full
 
 
 def _named(triples: DataFrame) -> DataFrame:
@@ -178,43 +191,45 @@ def repeated_windows(segs: DataFrame) -> DataFrame:
     by the place of their documents.
     """
 
-    def bytes_of(data: bytes):
-        at = _sampled(len(data) - 8)
-        three = _packed(np.frombuffer(data, np.uint8), 3)
-        return at, three[at], three[at + 3], three[at + 6]
-
-    def names_of(names: np.ndarray, size: int):
-        full = np.zeros(size - 8, np.int64)
-        full[_sampled(size - 8)] = names
-        at = _sampled(size - 26)
-        return at, full[at], full[at + 9], full[at + 18]
-
-    nine = written(_named(_rows(segs.select("seg", "data"), bytes_of, ["at", "a", "b", "c"])), "nine")
-    sized = segs.select("seg", F.length("data").alias("size"))
-    long = _named(_rows(nine.join(sized, "seg").select("seg", "names", "size"), names_of, ["at", "a", "b", "c"]))
-
-    def keys_of(names: np.ndarray, data: bytes, place: int):
-        raw = np.frombuffer(data, np.uint8).astype(np.int64)
-        size = len(raw)
-        full = np.zeros(size - 26, np.int64)
-        full[_sampled(size - 26)] = names
+    def bytes_of(size, data):
+        raw = _raw(data)
+        _, owner, place = _laid_out(size)
+        at = np.flatnonzero((place % 3 != 0) & (place <= size[owner] - 9))
+        three = lambda k: raw[at + k] << 16 | raw[at + k + 1] << 8 | raw[at + k + 2]
+        return owner[at], place[at], three(0), three(3), three(6)
+
+    def names_of(size, names):
+        _, owner, place = _laid_out(size - 8)
+        full = _spread(names, place)
+        at = np.flatnonzero((place % 3 != 0) & (place <= size[owner] - 27))
+        return owner[at], place[at], full[at], full[at + 9], full[at + 18]
+
+    sized = segs.withColumn("size", F.length("data"))
+    nine = written(_named(_rows(sized.select("seg", "size", "data"), bytes_of, ["at", "a", "b", "c"])), "nine")
+    named = nine.join(sized.select("seg", "size"), "seg").select("seg", "size", "names")
+    long = _named(_rows(named, names_of, ["at", "a", "b", "c"]))
+
+    def keys_of(size, names, data, place):
+        raw, whose = _raw(data), place.to_numpy()
+        first, _, _ = _laid_out(size)
+        name_first, _, name_place = _laid_out(size - 26)
+        full = _spread(names, name_place)
+        _, owner, at = _laid_out(size - LENGTH + 1)
         out = []
-        every = np.arange(size - LENGTH + 1)
         # Offset 0 serves classes 1 and 2, offset 1 classes 0 and 1, offset 2 classes 0 and 2.
         for offset, classes in ((0, (1, 2)), (1, (0, 1)), (2, (0, 2))):
-            at = every[np.isin(every % 3, classes)]
-            head = np.zeros(len(at), np.int64)
-            for k in range(offset):
-                head = head << 8 | raw[at + k]
-            for k in range(offset + 48, LENGTH):
-                head = head << 8 | raw[at + k]
-            form = np.int64(offset) << 32
-            out.append((at, head | form, full[at + offset], full[at + offset + 21]))
+            chosen = np.isin(at % 3, classes)
+            own, start = owner[chosen], at[chosen]
+            here, name = first[own] + start, name_first[own] + start + offset
+            head = np.zeros(len(own), np.int64)
+            for k in (*range(offset), *range(offset + 48, LENGTH)):
+                head = head << 8 | raw[here + k]
+            out.append((own, start, head | np.int64(offset) << 32, full[name], full[name + 21]))
         columns = [np.concatenate(x) for x in zip(*out)]
-        return columns[0], columns[1], columns[2], columns[3], np.full(len(columns[0]), place)
+        return *columns, whose[columns[0]]
 
-    held = segs.select("seg", "data", "place").join(written(long, "twenty-seven"), "seg")
-    keys = _rows(held.select("seg", "names", "data", "place"), keys_of, ["at", "a", "b", "c", "place"])
+    held = sized.join(written(long, "twenty-seven"), "seg")
+    keys = _rows(held.select("seg", "size", "names", "data", "place"), keys_of, ["at", "a", "b", "c", "place"])
     least = keys.groupBy("a", "b", "c").agg(F.min("place").alias("low"), F.max("place").alias("high"))
     least = written(least.where("low < high").drop("high"), "shared-windows")
     return keys.join(least, ["a", "b", "c"]).where("place > low").select("seg", "at").distinct()
