@@ -160,8 +160,8 @@ def _add_to_index(rows: DataFrame, root: str, name: str) -> None:
 def index_event_places(spark: SparkSession, root: str) -> DataFrame:
     """(event, place): where the deliveries of each event lie, by a hash of its key, brought up to date.
 
-    A row takes a hundredth of its event; a hash that two events share makes a refresh
-    read a place too many and nothing else.
+    A row is a hash and a place; a hash that two events share makes a refresh read a
+    place too many and nothing else.
     """
     work = _Work(spark)
     fresh = work.kept(new_commits(spark, root, EVENT_PLACES), "commits")
