@@ -1,147 +1,58 @@
-"""Removal of byte strings that an earlier document has, by a distributed difference-cover algorithm."""
+"""Removal of byte strings that an earlier document has, by difference covers over pieces of equal anchors."""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import written
+from tidemark.llm.shared import shared_folder, written
 
 LENGTH = 50
 GRAM = 26
-SEGMENT = 1 << 16
-# One in so many anchors ends a piece.
-CUT = 2
-# Bytes of segments that are worked on at once.
-TOGETHER = 1 << 20
+# Bytes of text in a row of parts, and of them those that are hashed at once.
+PART = 1 << 22
+CHUNK = 1 << 19
 LAST = (1 << 63) - 1
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
 
-def gram_hashes(text: bytes, size: int = GRAM) -> np.ndarray:
-    """A hash of each run of ``size`` bytes, from running sums of a polynomial."""
-    data = np.frombuffer(text, np.uint8).astype(np.uint64) + np.uint64(1)
-    power, back = np.full(len(data), _BASE), np.full(len(data), _INVERSE)
-    power[0] = back[0] = 1
-    sums = np.concatenate([[np.uint64(0)], np.cumsum(data * np.multiply.accumulate(power))])
-    mixed = (sums[size:] - sums[:-size]) * np.multiply.accumulate(back)[: len(data) - size + 1]
-    mixed = (mixed ^ (mixed >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    return mixed ^ (mixed >> np.uint64(31))
+def _squeezed(raw: bytes) -> bytes:
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
 
 
-def anchors(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(gram hash, first, last window) of the least gram of every window of 50 bytes.
+def _plain(data: bytes) -> bytes:
+    return pa.decompress(data[8:], int.from_bytes(data[:8], "little"), "zstd", asbytes=True)
 
-    Equal windows have their least gram (of equal ones the first) at the same place, so a
-    window that occurs twice has a gram that does. Each gram owns a run of windows.
-    """
-    if len(text) < LENGTH:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    grams = gram_hashes(text)
-    span = LENGTH - GRAM + 1
-    least, reach = grams, 1
-    while 2 * reach <= span:
-        least, reach = np.minimum(least[:-reach], least[reach:]), 2 * reach
-    rest = span - reach
-    least = np.minimum(least[: len(least) - rest], least[rest:]) if rest else least
-    edges = np.flatnonzero(np.diff(least)) + 1
-    first = np.concatenate([[0], edges])
-    return least[first], first, np.concatenate([edges - 1, [len(least) - 1]])
-
-
-def _anchor_rows(texts: DataFrame) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["gram", "file", "row", "place", "first", "last"]
-        for batch in batches:
-            for part in (batch.slice(at, 200) for at in range(0, batch.num_rows, 200)):
-                found = [anchors(text.as_py()) for text in part.column(3)]
-                times = [len(f[0]) for f in found]
-                columns = [np.concatenate([f[k] for f in found]) for k in range(3)]
-                keys = [np.repeat(part.column(k).to_numpy(zero_copy_only=False), times) for k in range(3)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(x) for x in (columns[0].view(np.int64), *keys, columns[1], columns[2])], names
-                )
-
-    return texts.select("file", "row", "place", "text").mapInArrow(
-        run, "gram long, file long, row long, place long, first long, last long"
-    )
 
+def _numbers(x: np.ndarray) -> bytes:
+    """Whole numbers, all first bytes before all second ones, compressed."""
+    return _squeezed(np.ascontiguousarray(x, np.int64).view(np.uint8).reshape(-1, 8).T.tobytes())
 
-def pieces(texts: DataFrame) -> DataFrame:
-    """(file, row, place, start, digest, data): the stretches whose windows may occur in two documents, in pieces.
 
-    Windows whose least gram is in one document only cannot, and are left out; nothing
-    else is. A piece holds all bytes of its windows, so neighbours overlap by 49. It ends
-    where the content says so (before an anchor whose gram's hash ``CUT`` divides), so
-    that copies of a passage are cut alike, and after 65,536 windows.
-    """
-    rows = _anchor_rows(texts)
-    shared = rows.groupBy("gram").agg(F.min("place").alias("a"), F.max("place").alias("b")).where("a < b")
-    ends = (F.pmod("gram", F.lit(CUT)) == 0).alias("cut")
-    runs = (
-        rows.join(written(shared.select("gram"), "shared-grams"), "gram", "left_semi")
-        .groupBy("file", "row")
-        .agg(F.collect_list(F.struct("first", "last", ends)).alias("runs"))
-    )
+def _as_numbers(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(_plain(data), np.uint8).reshape(8, -1).T).view(np.int64).ravel()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for file, row, place, text, runs in zip(*(c.to_pylist() for c in batch.columns)):
-                merged: list[list[int]] = []
-                for a, b, cut in sorted((r["first"], r["last"], r["cut"]) for r in runs):
-                    if merged and a == merged[-1][1] + 1 and not cut and b - merged[-1][0] < SEGMENT:
-                        merged[-1][1] = b
-                    else:
-                        merged.append([a, b])
-                for a, b in merged:
-                    for start in range(a, b + 1, SEGMENT):
-                        stop = min(start + SEGMENT - 1, b)
-                        out.append((file, row, place, start, text[start : stop + LENGTH]))
-            columns = list(zip(*out)) or [[]] * 5
-            types = [pa.int64()] * 4 + [pa.binary()]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(columns, types)], ["file", "row", "place", "start", "data"]
-            )
-
-    cut = texts.join(runs.hint("merge"), ["file", "row"]).select("file", "row", "place", "text", "runs")
-    cut = cut.mapInArrow(run, "file long, row long, place long, start long, data binary")
-    return written(cut.withColumn("digest", F.unhex(F.sha2("data", 256))), "pieces")
-
-
-def segments(cut: DataFrame) -> DataFrame:
-    """(seg, place, data, digest): each different piece once, with the least place of its documents.
-
-    Near copies share most of their pieces, so a piece they share is searched once,
-    however many there are of them.
-    """
-    once = cut.groupBy("digest", "data").agg(F.min("place").alias("place"))
-    return written(once.withColumn("seg", F.monotonically_increasing_id()), "segments")
 
+def _steps(x: np.ndarray) -> bytes:
+    return _numbers(np.diff(x, prepend=0))
 
-def _rows(parts: DataFrame, make, columns: list[str]) -> DataFrame:
-    """Rows of numbers that ``make`` gives for segments: (seg, *columns).
 
-    ``parts`` has seg, size and what ``make`` takes; it works on about a megabyte of segments at
-    once and says which of them each of its rows belongs to.
-    """
+def _as_steps(data: bytes) -> np.ndarray:
+    return np.cumsum(_as_numbers(data))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ends = np.cumsum(batch.column(1).to_numpy())
-            cuts = np.flatnonzero(np.diff(ends // TOGETHER, prepend=-1))
-            for start, stop in zip(cuts, [*cuts[1:], batch.num_rows]):
-                part = batch.slice(start, stop - start)
-                owner, *found = make(part.column(1).to_numpy().astype(np.int64), *part.columns[2:])
-                seg = part.column(0).to_numpy()[owner]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (seg, *found)], ["seg", *columns])
 
-    return parts.mapInArrow(run, "seg long, " + ", ".join(f"{c} long" for c in columns))
+def _bits(x: np.ndarray) -> bytes:
+    return np.packbits(x).tobytes()
+
+
+def _as_bits(data: bytes, count: int) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(data, np.uint8), count=count).astype(bool)
 
 
 def _laid_out(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -151,183 +62,358 @@ def _laid_out(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return first, owner, np.arange(len(owner)) - first[owner]
 
 
-def _raw(data: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(data.to_pylist()), np.uint8).astype(np.int64)
+def gram_hashes(text: bytes, size: int = GRAM) -> np.ndarray:
+    """A hash of each run of ``size`` bytes, from running sums of a polynomial."""
+    data = np.frombuffer(text, np.uint8).astype(np.uint64) + np.uint64(1)
+    power, back = np.full(len(data), _BASE), np.full(len(data), _INVERSE)
+    power[0] = back[0] = 1
+    sums = np.concatenate([[np.uint64(0)], np.cumsum(data * np.multiply.accumulate(power))])
+    mixed = (sums[size:] - sums[:-size]) * np.multiply.accumulate(back)[: len(data) - size + 1]
+    mixed = (mixed ^ (mixed >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    return mixed ^ (mixed >> np.uint64(31))
+
+
+def anchors(data: bytes, lens: np.ndarray, searched: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(gram, document, first, last window) of the least gram of every window of 50 bytes in the searched documents.
 
+    The documents lie one after the other in ``data``. Equal windows have equal least
+    grams, so a window that occurs twice has a gram that does. Each gram owns a run of
+    windows. A gram is known by 48 bits of its hash.
+    """
+    ends = np.cumsum(lens)
+    cuts = np.flatnonzero(np.diff(ends // CHUNK, prepend=-1))
+    found = [[np.zeros(0, np.int64)] * 4]
+    for a, b in zip(cuts, [*cuts[1:], len(lens)]):
+        start, stop = int(ends[a] - lens[a]), int(ends[b - 1])
+        if stop - start < LENGTH:
+            continue
+        least, reach, span = gram_hashes(data[start:stop]), 1, LENGTH - GRAM + 1
+        while 2 * reach <= span:
+            least, reach = np.minimum(least[:-reach], least[reach:]), 2 * reach
+        rest = span - reach
+        least = np.minimum(least[: len(least) - rest], least[rest:]) if rest else least
+        owner = np.repeat(np.arange(a, b), lens[a:b])[: len(least)]
+        inside = searched[owner] & (np.arange(start + LENGTH, start + LENGTH + len(least)) <= ends[owner])
+        new = (least[1:] != least[:-1]) | (owner[1:] != owner[:-1]) | (inside[1:] != inside[:-1])
+        edges = np.flatnonzero(new) + 1
+        first, last = np.concatenate([[0], edges]), np.concatenate([edges - 1, [len(least) - 1]])
+        kept = inside[first]
+        first, last = first[kept], last[kept]
+        found.append([(least[first] >> np.uint64(16)).astype(np.int64), owner[first], start + first, start + last])
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
+def _bucket(gram: np.ndarray, buckets: int) -> np.ndarray:
+    """The bucket of a gram; it never falls while grams ascend."""
+    return (gram >> 16) * buckets >> 32
+
+
+def _by_bucket(grams: np.ndarray, buckets: int) -> Iterator[tuple[int, int, int]]:
+    """(bucket, from, to) of sorted grams."""
+    found, starts = np.unique(_bucket(grams, buckets), return_index=True)
+    return zip(found.tolist(), starts.tolist(), [*starts[1:].tolist(), len(grams)])
+
+
+def _searched(row: dict) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
+    """(data, lens, place, whether it is searched) of a part's documents."""
+    lens = np.array(row["lens"], np.int64)
+    searched = lens >= LENGTH
+    searched[row["copies"] or []] = False
+    return _plain(row["data"]), lens, _places(row), searched
+
+
+def _places(row: dict) -> np.ndarray:
+    return np.array([LAST if x is None else x for x in row["ids"]], np.int64)
+
+
+def _each(make):
+    """``make`` gives record batches for a row of parts."""
 
-def _spread(names: pa.Array, place: np.ndarray) -> np.ndarray:
-    """Names, which are by sampled place, at all places; those of the cover {1, 2} modulo 3 have one."""
-    full = np.zeros(len(place), np.int64)
-    full[place % 3 != 0] = names.flatten().to_numpy(zero_copy_only=False)
-    return full
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                yield from make(batch.slice(k, 1).to_pylist()[0])
 
+    return run
 
-def _named(triples: DataFrame) -> DataFrame:
-    """Sort the distinct triples (a, b, c), number them in order and hand the names back: (seg, names).
 
-    ``names`` are by sampled place, in order of the places of a segment.
-    """
-    distinct = triples.select("a", "b", "c").distinct()
-    named = written(
-        distinct.repartitionByRange("a", "b", "c").sortWithinPartitions("a", "b", "c")
-        .withColumn("name", F.monotonically_increasing_id()),
-        "names",
-    )
-    return (
-        triples.join(named, ["a", "b", "c"])
-        .groupBy("seg")
-        .agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "name"))), lambda x: x["name"]).alias("names"))
-    )
+def _batch(columns: dict) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
 
-def repeated_windows(segs: DataFrame) -> DataFrame:
-    """(seg, at) of the windows that also start in a piece of smaller place.
+def parts(docs: DataFrame, id_col: str, text_col: str, part_bytes: int) -> DataFrame:
+    """(part, ids, lens, data): documents in rows of about four megabytes, in buckets by ``part``.
 
-    Triples at the sampled places are sorted and named (9 bytes), then triples of names
-    (27 bytes). Two windows meet at sampled places after none, one or two bytes, so
-    each window has, for two of the three offsets, the key that the remaining ones of
-    its class pair have too: the bytes before the sampled place, the names there and
-    21 bytes further, and the bytes left of the 50. Windows of equal keys are compared
-    by the place of their documents.
+    The whole texts are written once, compressed, and later steps join what they find to them
+    by ``part`` without a shuffle of texts.
     """
 
-    def bytes_of(size, data):
-        raw = _raw(data)
-        _, owner, place = _laid_out(size)
-        at = np.flatnonzero((place % 3 != 0) & (place <= size[owner] - 9))
-        three = lambda k: raw[at + k] << 16 | raw[at + k + 1] << 8 | raw[at + k + 2]
-        return owner[at], place[at], three(0), three(3), three(6)
-
-    def names_of(size, names):
-        _, owner, place = _laid_out(size - 8)
-        full = _spread(names, place)
-        at = np.flatnonzero((place % 3 != 0) & (place <= size[owner] - 27))
-        return owner[at], place[at], full[at], full[at + 9], full[at + 18]
-
-    sized = segs.withColumn("size", F.length("data"))
-    nine = written(_named(_rows(sized.select("seg", "size", "data"), bytes_of, ["at", "a", "b", "c"])), "nine")
-    named = nine.join(sized.select("seg", "size"), "seg").select("seg", "size", "names")
-    long = _named(_rows(named, names_of, ["at", "a", "b", "c"]))
-
-    def keys_of(size, names, data, place):
-        raw, whose = _raw(data), place.to_numpy()
-        first, _, _ = _laid_out(size)
-        name_first, _, name_place = _laid_out(size - 26)
-        full = _spread(names, name_place)
-        _, owner, at = _laid_out(size - LENGTH + 1)
-        out = []
-        # Offset 0 serves classes 1 and 2, offset 1 classes 0 and 1, offset 2 classes 0 and 2.
-        for offset, classes in ((0, (1, 2)), (1, (0, 1)), (2, (0, 2))):
-            chosen = np.isin(at % 3, classes)
-            own, start = owner[chosen], at[chosen]
-            here, name = first[own] + start, name_first[own] + start + offset
-            head = np.zeros(len(own), np.int64)
-            for k in (*range(offset), *range(offset + 48, LENGTH)):
-                head = head << 8 | raw[here + k]
-            out.append((own, start, head | np.int64(offset) << 32, full[name], full[name + 21]))
-        columns = [np.concatenate(x) for x in zip(*out)]
-        return *columns, whose[columns[0]]
-
-    held = sized.join(written(long, "twenty-seven"), "seg")
-    keys = _rows(held.select("seg", "size", "names", "data", "place"), keys_of, ["at", "a", "b", "c", "place"])
-    least = keys.groupBy("a", "b", "c").agg(F.min("place").alias("low"), F.max("place").alias("high"))
-    least = written(least.where("low < high").drop("high"), "shared-windows")
-    return keys.join(least, ["a", "b", "c"]).where("place > low").select("seg", "at").distinct()
-
-
-def marked(cut: DataFrame, segs: DataFrame, marks: DataFrame) -> DataFrame:
-    """(file, row, start, size, marks) of the pieces of which something goes.
-
-    All of a piece goes that an earlier document has whole, its ``marks`` are then null; of
-    its first one goes what ``marks`` (seg, marks) has for it.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, texts, size = [], [], 0
+        for batch in batches:
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                ids.append(key)
+                texts.append(text)
+                size += len(text)
+                if size >= part_bytes or len(ids) >= 1 << 16:
+                    yield made(ids, texts)
+                    ids, texts, size = [], [], 0
+        if ids:
+            yield made(ids, texts)
+
+    def made(ids, texts):
+        kind = pa.list_(pa.int64())
+        row = {"ids": pa.array([ids], kind), "lens": pa.array([[len(t) for t in texts]], kind)}
+        return _batch(row | {"data": pa.array([_squeezed(b"".join(texts))], pa.binary())})
+
+    spark = docs.sparkSession
+    read = docs.select(docs[id_col].cast("long"), F.coalesce(docs[text_col], F.lit("")).cast("binary"))
+    rows = read.mapInArrow(run, "ids array<long>, lens array<long>, data binary")
+    name = f"tidemark_parts_{uuid.uuid4().hex}"
+    writer = rows.withColumn("part", F.monotonically_increasing_id()).write.format("parquet")
+    writer = writer.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), "part").sortBy("part")
+    writer.option("path", shared_folder(spark, "parts")).saveAsTable(name)
+    return spark.table(name)
+
+
+def copies(texts: DataFrame) -> DataFrame:
+    """(part, copies): the documents whose whole text an earlier one has, by their number in the part."""
+
+    def digests(row):
+        import hashlib
+
+        data, lens, place, long = _searched(row | {"copies": None})
+        ends, at = np.cumsum(lens), np.flatnonzero(long)
+        found = [hashlib.sha256(data[ends[k] - lens[k] : ends[k]]).digest() for k in at]
+        columns = {"part": pa.array(np.full(len(at), row["part"])), "nth": pa.array(at), "place": pa.array(place[at])}
+        yield _batch(columns | {"digest": pa.array(found, pa.binary())})
+
+    found = texts.mapInArrow(_each(digests), "part long, nth long, place long, digest binary")
+    found = written(found, "digests")
+    firsts = found.groupBy("digest").agg(F.min("place").alias("smallest"))
+    later = found.join(firsts, "digest").where("place > smallest")
+    return written(later.groupBy("part").agg(F.collect_list("nth").alias("copies")), "copies")
+
+
+def shared_grams(texts: DataFrame, buckets: int) -> DataFrame:
+    """(part, shared): for a part's different grams in order, bits that say whether another text has them too.
+
+    A part asks for each of its grams once, so a frequent gram is one entry a part.
     """
-    known = written(segs.select("seg", "digest", F.col("place").alias("low")).join(marks, "seg", "left"), "marks")
-    later = F.col("place") > F.col("low")
-    return (
-        cut.select("file", "row", "place", "start", "digest", F.length("data").alias("size"))
-        .join(known, "digest")
-        .where(later | F.col("marks").isNotNull())
-        .select("file", "row", "start", "size", F.when(~later, F.col("marks")).alias("marks"))
-    )
-
-
-def _place(docs: DataFrame, id_col: str) -> Column:
-    return F.coalesce(docs[id_col].cast("long"), F.lit(LAST))
 
+    def asked(row):
+        data, lens, _, searched = _searched(row)
+        gram, doc, _, _ = anchors(data, lens, searched)
+        grams, first, which = np.unique(gram, return_index=True, return_inverse=True)
+        several = np.zeros(len(grams), bool)
+        several[which[doc != doc[first][which]]] = True
+        found = [(b, _steps(grams[a:z]), _bits(several[a:z])) for b, a, z in _by_bucket(grams, buckets)]
+        columns = list(zip(*found)) or [[], [], []]
+        yield _batch({
+            "part": pa.array([row["part"]] * len(found), pa.int64()), "bucket": pa.array(columns[0], pa.int64()),
+            "grams": pa.array(columns[1], pa.binary()), "several": pa.array(columns[2], pa.binary()),
+        })
+
+    def answered(table: pa.Table) -> pa.Table:
+        grams = [_as_steps(x) for x in table["grams"].to_pylist()]
+        several = np.concatenate([_as_bits(x, len(g)) for x, g in zip(table["several"].to_pylist(), grams)])
+        _, which, times = np.unique(np.concatenate(grams), return_inverse=True, return_counts=True)
+        shared = times > 1
+        shared[which[several]] = True
+        bits = [_bits(x) for x in np.split(shared[which], np.cumsum([len(g) for g in grams])[:-1])]
+        return pa.table({"part": table["part"], "bucket": table["bucket"], "bits": pa.array(bits, pa.binary())})
+
+    rows = texts.mapInArrow(_each(asked), "part long, bucket long, grams binary, several binary")
+    found = rows.groupBy("bucket").applyInArrow(answered, "part long, bucket long, bits binary")
+    return found.groupBy("part").agg(F.sort_array(F.collect_list(F.struct("bucket", "bits"))).alias("shared"))
+
+
+def pieces(texts: DataFrame, buckets: int) -> DataFrame:
+    """(part, bucket, grams, places, sizes, data): the stretches whose windows may occur in two documents.
+
+    A piece holds the windows of one anchor whose gram another text has, and all their
+    bytes; windows of other grams cannot occur in two documents, and are left out; nothing
+    else is. Equal windows have equal grams, so they meet in one bucket. A part gives
+    each different piece once, with the least place of its documents; its row of bucket -1 has
+    the starts of all pieces, which of the different ones each is, and the windows of those.
+    """
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    def cut(row):
+        data, lens, place, searched = _searched(row)
+        gram, doc, first, last = anchors(data, lens, searched)
+        grams, which = np.unique(gram, return_inverse=True)
+        answers = {x["bucket"]: x["bits"] for x in row["shared"] or ()}
+        bits = [_as_bits(answers[b], z - a) for b, a, z in _by_bucket(grams, buckets)]
+        shared = np.concatenate([np.zeros(0, bool), *bits])[which]
+        gram, doc, first, last = gram[shared], doc[shared], first[shared], last[shared]
+        order = np.argsort(gram, kind="stable")
+        gram, doc, first, last = gram[order], doc[order], first[order], last[order]
+        known: dict[bytes, int] = {}
+        each = (known.setdefault(data[a:b], len(known)) for a, b in zip(first.tolist(), (last + LENGTH).tolist()))
+        which = np.fromiter(each, np.int64, len(gram))
+        _, at = np.unique(which, return_index=True)
+        least = np.full(len(known), LAST)
+        np.minimum.at(least, which, place[doc])
+        gram, sizes, texts = gram[at], (last - first + 1)[at], list(known)
+        rows = [(-1, b"", _steps(first), _numbers(which), _numbers(sizes))]
+        for b, a, z in _by_bucket(gram, buckets):
+            rows.append((b, _steps(gram[a:z]), _steps(least[a:z]), _numbers(sizes[a:z]), _squeezed(b"".join(texts[a:z]))))
+        columns = dict(zip(("bucket", "grams", "places", "sizes", "data"), zip(*rows)))
+        kinds = [pa.int64()] + [pa.binary()] * 4
+        found = {k: pa.array(v, kind) for (k, v), kind in zip(columns.items(), kinds)}
+        yield _batch({"part": pa.array([row["part"]] * len(rows), pa.int64())} | found)
+
+    joined = texts.join(shared_grams(texts, buckets), "part", "left")
+    schema = "part long, bucket long, grams binary, places binary, sizes binary, data binary"
+    return written(joined.mapInArrow(_each(cut), schema), "pieces")
+
+
+def _named(*columns: np.ndarray) -> np.ndarray:
+    """The rank of each row among the different ones, in order of the columns."""
+    rows, top = np.zeros(len(columns[0]), np.int64), 1
+    for column in columns:
+        size = int(column.max(initial=0)) + 1
+        if top * size >= 1 << 62:
+            rows = np.unique(rows, return_inverse=True)[1]
+            top = int(rows.max(initial=0)) + 1
+        rows, top = rows * size + column, top * size
+    return np.unique(rows, return_inverse=True)[1]
+
+
+def repeated_windows(data: bytes, size: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """For all windows of pieces: whether they also start in a piece of smaller place.
+
+    ``data`` has the pieces one after the other. The six bytes (two triples) at each
+    place of the difference cover {1, 2} modulo 3 are sorted and named, then
+    triples of names (18 bytes), then triples of those (48 bytes). Two windows meet at
+    sampled places after none, one or two bytes, so each window is put in order by
+    the name at two of the three offsets and the two bytes that it leaves; neighbours
+    in that order are compared, and a run of equal ones gives its least place.
+    """
+    raw = np.frombuffer(data, np.uint8).astype(np.int64)
+    _, owner, at = _laid_out(size)
+    room, names = size[owner] - at, raw
+    where = np.flatnonzero(at % 3 != 0)
+    for wide, offsets in ((6, range(6)), (18, (0, 6, 12)), (48, (0, 18, 30))):
+        where = where[room[where] >= wide]
+        named = _named(*(names[where + k] for k in offsets))
+        names = np.zeros(len(raw), np.int64)
+        names[where] = named
+    window = np.flatnonzero(room >= LENGTH)
+    keys, whose = [], []
+    for offset in range(3):
+        chosen = np.flatnonzero((at[window] + offset) % 3 != 0)
+        start = window[chosen]
+        left = [start + k for k in (*range(offset), *range(offset + 48, LENGTH))]
+        keys.append(((names[start + offset] * 3 + offset) << 8 | raw[left[0]]) << 8 | raw[left[1]])
+        whose.append(chosen)
+    keys, whose = np.concatenate(keys), np.concatenate(whose)
+    order = np.argsort(keys)
+    keys, whose = keys[order], whose[order]
+    own = place[owner[window]]
+    low = own.copy()
+    if len(keys):
+        new = np.concatenate([[True], keys[1:] != keys[:-1]])
+        least = np.minimum.reduceat(own[whose], np.flatnonzero(new))
+        np.minimum.at(low, whose, least[np.cumsum(new) - 1])
+    return low < own
+
+
+def _repeats(table: pa.Table) -> pa.Table:
+    """(part, bucket, bits) for a bucket of pieces: whether the windows of each part's pieces go.
+
+    All of a piece goes that an earlier document has whole. Of the different pieces only
+    those are searched whose gram stands in several of them.
+    """
+    read = lambda name, decode: [decode(x) for x in table[name].to_pylist()]
+    gram, place = np.concatenate(read("grams", _as_steps)), np.concatenate(read("places", _as_steps))
+    by_part = read("sizes", _as_numbers)
+    known: dict[bytes, int] = {}
+    which = []
+    for sizes, data in zip(by_part, read("data", _plain)):
+        ends = np.cumsum(sizes + LENGTH - 1).tolist()
+        which += [known.setdefault(data[a:b], len(known)) for a, b in zip([0, *ends], ends)]
+    which, sizes = np.array(which, np.int64), np.concatenate(by_part)
+    _, at = np.unique(which, return_index=True)
+    low = np.full(len(known), LAST)
+    np.minimum.at(low, which, place)
+    windows, texts = sizes[at], list(known)
+    _, same, times = np.unique(gram[at], return_inverse=True, return_counts=True)
+    searched = np.flatnonzero(times[same] > 1)
+    first, owner, _ = _laid_out(windows)
+    gone = np.zeros(len(owner), bool)
+    gone[np.isin(owner, searched)] = repeated_windows(
+        b"".join([texts[k] for k in searched]), windows[searched] + LENGTH - 1, low[searched]
+    )
+    _, owner, nth = _laid_out(sizes)
+    bits = gone[first[which][owner] + nth] | (place > low[which])[owner]
+    counts = [int(s.sum()) for s in by_part]
+    found = [_bits(x) for x in np.split(bits, np.cumsum(counts)[:-1])]
+    return pa.table({
+        "part": table["part"], "bucket": table["bucket"],
+        "bits": pa.array(found, pa.binary()), "windows": pa.array(counts, pa.int64()),
+    })
+
+
+def _without(row: dict) -> Iterator[pa.RecordBatch]:
+    """The documents of a part without what goes."""
+    lens, place = np.array(row["lens"], np.int64), _places(row)
+    data = np.frombuffer(_plain(row["data"]), np.uint8)
+    starts, doc, _ = _laid_out(lens)
+    begins, which, sizes = _as_steps(row["starts"]), _as_numbers(row["which"]), _as_numbers(row["windows"])
+    # Bits are by bucket, whose pieces follow each other.
+    lasts = np.cumsum(sizes)
+    bits, done = [np.zeros(0, bool)], 0
+    for x in row["bits"] or ():
+        bits.append(_as_bits(x["bits"], x["windows"]))
+        done += x["windows"]
+    assert done == (lasts[-1] if len(lasts) else 0), "an answer is missing"
+    least = np.full(len(sizes), LAST)
+    np.minimum.at(least, which, place[doc[begins]])
+    _, owner, nth = _laid_out(sizes[which])
+    goes = np.concatenate(bits)[(lasts - sizes)[which][owner] + nth] | (place[doc[begins]] > least[which])[owner]
+    change = np.zeros(len(data) + 1, np.int64)
+    at = (begins[owner] + nth)[goes]
+    np.add.at(change, at, 1)
+    np.add.at(change, at + LENGTH, -1)
+    gone = np.cumsum(change[:-1]) > 0
+    gone[np.isin(doc, row["copies"] or [])] = True
+    edge = np.zeros(len(data) + 1, bool)
+    edge[starts] = edge[-1] = True
+    begin = np.flatnonzero(gone & (edge[:-1] | ~np.concatenate([[False], gone[:-1]])))
+    end = np.flatnonzero(gone & (edge[1:] | ~np.concatenate([gone[1:], [False]]))) + 1
+    base = starts[doc[begin]]
+    pairs = np.stack([begin - base, end - base], axis=1).ravel()
+    inner = pa.ListArray.from_arrays(pa.array(np.arange(0, len(pairs) + 1, 2), pa.int32()), pa.array(pairs))
+    runs = np.concatenate([[0], np.cumsum(np.bincount(doc[begin], minlength=len(lens)))])
+    stays = np.concatenate([[0], np.cumsum(~gone)])
+    text, cuts = data[~gone].tobytes(), stays[np.concatenate([starts, [len(data)]])].tolist()
+    yield _batch({
+        "id": pa.array(row["ids"], pa.int64()), "n_bytes": pa.array(lens),
+        "kept": pa.array([text[a:b] for a, b in zip(cuts, cuts[1:])], pa.binary()),
+        "spans": pa.ListArray.from_arrays(pa.array(runs, pa.int32()), inner),
+    })
+
+
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", part_bytes: int = PART) -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept, spans) of every document.
 
     ``kept`` are the UTF-8 bytes without those covered by a string of 50 bytes that
     also starts in a document with a smaller id; ``spans`` the removed runs as [from, to).
-    ``docs`` reads files. Of equal texts only those of the smallest id are searched, the
-    others go whole (or stay, below 50 bytes). Null counts as empty; rows without an id
-    come after all others and, like rows of the same id, take nothing from each other;
-    an empty table gives no rows.
+    Of equal texts only those of the smallest id are searched, the others go whole (or
+    stay, below 50 bytes). Null counts as empty; rows without an id come after all others
+    and, like rows of the same id, take nothing from each other; an empty table gives
+    no rows.
     """
-    located = docs.select(
-        F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"),
-        docs[id_col].cast("long").alias("id"), _place(docs, id_col).alias("place"),
-        F.coalesce(docs[text_col], F.lit("")).cast("binary").alias("text"),
-    )
-    digests = written(
-        located.where(F.length("text") >= LENGTH)
-        .select("file", "row", "place", F.unhex(F.sha2("text", 256)).alias("digest")),
-        "digests",
-    )
-    firsts = digests.groupBy("digest").agg(F.min("place").alias("smallest"))
-    copies = written(digests.join(firsts, "digest").where("place > smallest").select("file", "row"), "copies")
-    texts = written(
-        located.where(F.length("text") >= LENGTH).drop("id").join(copies.hint("merge"), ["file", "row"], "left_anti"), "texts"
-    )
-    cut = pieces(texts)
-    segs = segments(cut)
-    # What stands in one piece only is its own first; the rest is cut once more and searched.
-    parts = pieces(segs.select(F.col("seg").alias("file"), F.lit(0).cast("long").alias("row"), "place", F.col("data").alias("text")))
-    kinds = segments(parts)
-    inner = marked(parts, kinds, repeated_windows(kinds).groupBy("seg").agg(F.sort_array(F.collect_list(F.col("at").cast("int"))).alias("marks")))
-    start = F.col("start").cast("int")
-    windows = F.when(F.col("marks").isNull(), F.sequence(start, start + F.col("size") - LENGTH)).otherwise(
-        F.transform("marks", lambda at: at + start)
-    )
-    # A piece has 65,536 windows at most.
-    marks = inner.groupBy(F.col("file").alias("seg")).agg(F.sort_array(F.flatten(F.collect_list(windows))).alias("marks"))
-    found = marked(cut, segs, marks).select("file", "row", F.struct("start", "size", "marks").alias("cut"))
-    everything = F.struct(F.lit(-1).cast("long").alias("start"), F.lit(0).alias("size"), F.lit(None).cast("array<int>").alias("marks"))
-    whole = copies.select("file", "row", F.array(everything).alias("cuts"))
-    cuts = written(found.groupBy("file", "row").agg(F.sort_array(F.collect_list("cut")).alias("cuts")).unionByName(whole), "cuts")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            kept, spans = [], []
-            for text, cuts in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                runs: list[list[int]] = []
-                for cut in cuts or ():
-                    start, marks = cut["start"], cut["marks"]
-                    gone = [(0, cut["size"])] if marks is None else [(at, at + LENGTH) for at in marks]
-                    if start < 0:
-                        start, gone = 0, [(0, len(text))]
-                    for a, b in gone:
-                        if runs and start + a <= runs[-1][1]:
-                            runs[-1][1] = max(runs[-1][1], start + b)
-                        else:
-                            runs.append([start + a, start + b])
-                edges = [0, *(x for r in runs for x in r), len(text)]
-                kept.append(b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2])))
-                spans.append(runs)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    pa.array([len(t) for t in batch.column(1).to_pylist()], pa.int64()),
-                    pa.array(kept, pa.binary()),
-                    pa.array(spans, pa.list_(pa.list_(pa.int64()))),
-                ],
-                ["id", "n_bytes", "kept", "spans"],
-            )
-
-    joined = located.select("file", "row", "id", "text").join(cuts.hint("merge"), ["file", "row"], "left")
-    done = joined.select("id", "text", "cuts").mapInArrow(
-        run, "id long, n_bytes long, kept binary, spans array<array<long>>"
+    buckets = 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    texts = parts(docs, id_col, text_col, part_bytes)
+    texts = texts.join(copies(texts), "part", "left")
+    cut = pieces(texts, buckets)
+    found = cut.where("bucket >= 0").groupBy("bucket").applyInArrow(_repeats, "part long, bucket long, bits binary, windows long")
+    marks = written(found.groupBy("part").agg(F.sort_array(F.collect_list(F.struct("bucket", "bits", "windows"))).alias("bits")), "marks")
+    notes = cut.where("bucket = -1").selectExpr("part", "places starts", "sizes which", "data windows")
+    done = texts.join(notes, "part").join(marks, "part", "left").mapInArrow(
+        _each(_without), "id long, n_bytes long, kept binary, spans array<array<long>>"
     )
     return done.select(
         "id", "n_bytes", (F.col("n_bytes") - F.length("kept")).alias("n_removed"),
