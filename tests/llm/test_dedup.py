@@ -173,6 +173,65 @@ def test_suffix_dedup_against_brute_force(files):
     assert suffix_dedup.remove_repeats(files([], "doc_id long, text string")).count() == 0
 
 
+def test_suffix_dedup_deals_grams_out_evenly():
+    # Least hashes are small; dealt by size as they were, the largest of 64 buckets had 12 times the mean and 40 had none.
+    data = random.Random(5).randbytes(400_000)
+    gram = np.sort(suffix_dedup.anchors(data, np.array([len(data)]), np.array([True]))[0])
+    counts = np.bincount(suffix_dedup._bucket(gram, 64), minlength=64)
+    assert counts.max() < 1.4 * counts.mean() and counts.min() > 0.6 * counts.mean()
+    found = [(a, z) for _, a, z in suffix_dedup._by_bucket(gram, 64)]
+    assert found[0][0] == 0 and found[-1][1] == len(gram) and all(x[1] == y[0] for x, y in zip(found, found[1:]))
+
+
+def test_suffix_dedup_searches_some_grams_at_a_time():
+    rng = random.Random(7)
+    text = lambda n: bytes(rng.choice(b"ab") for _ in range(n))
+    passages = [text(60) for _ in range(40)]
+    texts = [text(rng.randrange(9)) + passages[k % 40] + text(rng.randrange(9)) for k in range(300)] + [text(80)]
+    gram, place = np.array([k % 40 for k in range(300)] + [99]), np.array([rng.randrange(200) for _ in texts])
+    want = {}
+    for k, data in enumerate(texts[:-1]):
+        windows = [data[i : i + 50] for i in range(len(data) - 49)]
+        others = [(texts[j], place[j]) for j in range(300) if gram[j] == gram[k] and place[j] < place[k]]
+        want[k] = [any(w in other for other, _ in others) for w in windows]
+    assert any(map(any, want.values())) and not all(map(all, want.values()))
+    for most in (1, 2000, 1 << 30):
+        runs, got = list(suffix_dedup.repeats_by_gram(texts, gram, place, most)), {}
+        for chosen, goes in runs:
+            ends = np.cumsum([len(texts[k]) - 49 for k in chosen])
+            got |= {k: x.tolist() for k, x in zip(chosen.tolist(), np.split(goes, ends[:-1]))}
+            largest = max(sum(len(texts[k]) for k in chosen if gram[k] == g) for g in set(gram[chosen].tolist()))
+            assert sum(len(texts[k]) for k in chosen) <= most + largest
+        assert got == want and sum(len(chosen) for chosen, _ in runs) == 300
+        assert len(runs) == 40 if most == 1 else len(runs) == 1 if most > 2000 else 1 < len(runs) < 40
+    assert list(suffix_dedup.repeats_by_gram(texts[-1:], gram[-1:], place[-1:])) == []
+
+
+def test_suffix_dedup_cuts_pieces_of_a_frequent_gram_again(monkeypatch):
+    rng = random.Random(9)
+    text = lambda n, of=b"abcdefgh": bytes(rng.choice(of) for _ in range(n))
+    core, left, right = text(26), [text(24) for _ in range(300)], [text(24) for _ in range(300)]
+    texts = [rng.choice(left) + core + rng.choice(right) for _ in range(500)] + [text(24) + core + text(24) for _ in range(500)]
+    texts += [b"a" * n for n in range(50, 90)] + [(b"ab" * 90)[k : k + n] for k in range(4) for n in range(50, 80, 7)]
+    texts += [text(9, b"a") + text(rng.randrange(45, 60), b"ab") for _ in range(60)] + [core * 3, texts[0] + texts[1]]
+    texts = sorted(set(texts))
+    gram, place = np.zeros(len(texts), np.int64), np.array([rng.randrange(400) for _ in texts])
+    size = np.array([len(x) for x in texts])
+    searched, whole = [], suffix_dedup.repeated_windows
+    want = whole(b"".join(texts), size, place)
+    assert want.any() and not want.all()
+    monkeypatch.setattr(suffix_dedup, "repeated_windows", lambda data, *rest: searched.append(len(data)) or whole(data, *rest))
+    for most in (1, 500, 4000):
+        [(chosen, goes)] = suffix_dedup.repeats_by_gram(texts, gram, place, most)
+        assert chosen.tolist() == list(range(len(texts))) and goes.tolist() == want.tolist()
+        # Runs of one letter differ in length only and cannot be told apart by windows.
+        assert max(searched) <= max(2 * most, sum(len(x) for x in texts if not x.strip(b"a"))) < len(b"".join(texts)) / 4
+        searched.clear()
+    copies = [texts[k % len(texts)] for k in range(2 * len(texts))]
+    twice = suffix_dedup.whole_or_repeated(iter(copies), np.zeros(len(copies), np.int64), np.tile(place, 2), 500)
+    assert twice.tolist() == want.tolist() * 2
+
+
 def test_line_templates(files):
     rows = []
     for k in range(12):

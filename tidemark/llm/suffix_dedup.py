@@ -17,6 +17,8 @@ GRAM = 26
 # Bytes of text in a row of parts, and of them those that are hashed at once.
 PART = 1 << 22
 CHUNK = 1 << 19
+# Bytes of pieces that are sorted and named at once, besides those of one gram.
+SEARCH = 1 << 20
 LAST = (1 << 63) - 1
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -73,12 +75,13 @@ def gram_hashes(text: bytes, size: int = GRAM) -> np.ndarray:
     return mixed ^ (mixed >> np.uint64(31))
 
 
-def anchors(data: bytes, lens: np.ndarray, searched: np.ndarray) -> tuple[np.ndarray, ...]:
+def anchors(data: bytes, lens: np.ndarray, searched: np.ndarray, gram_size: int = GRAM) -> tuple[np.ndarray, ...]:
     """(gram, document, first, last window) of the least gram of every window of 50 bytes in the searched documents.
 
     The documents lie one after the other in ``data``. Equal windows have equal least
     grams, so a window that occurs twice has a gram that does. Each gram owns a run of
-    windows. A gram is known by 48 bits of its hash.
+    windows. A gram is known by 48 bits of its hash, mixed once more, since least
+    hashes are small and would fall into the first buckets.
     """
     ends = np.cumsum(lens)
     cuts = np.flatnonzero(np.diff(ends // CHUNK, prepend=-1))
@@ -87,7 +90,7 @@ def anchors(data: bytes, lens: np.ndarray, searched: np.ndarray) -> tuple[np.nda
         start, stop = int(ends[a] - lens[a]), int(ends[b - 1])
         if stop - start < LENGTH:
             continue
-        least, reach, span = gram_hashes(data[start:stop]), 1, LENGTH - GRAM + 1
+        least, reach, span = gram_hashes(data[start:stop], gram_size), 1, LENGTH - gram_size + 1
         while 2 * reach <= span:
             least, reach = np.minimum(least[:-reach], least[reach:]), 2 * reach
         rest = span - reach
@@ -99,7 +102,7 @@ def anchors(data: bytes, lens: np.ndarray, searched: np.ndarray) -> tuple[np.nda
         first, last = np.concatenate([[0], edges]), np.concatenate([edges - 1, [len(least) - 1]])
         kept = inside[first]
         first, last = first[kept], last[kept]
-        found.append([(least[first] >> np.uint64(16)).astype(np.int64), owner[first], start + first, start + last])
+        found.append([(least[first] * _BASE >> np.uint64(16)).astype(np.int64), owner[first], start + first, start + last])
     return tuple(np.concatenate(x) for x in zip(*found))
 
 
@@ -319,34 +322,86 @@ def repeated_windows(data: bytes, size: np.ndarray, place: np.ndarray) -> np.nda
     return low < own
 
 
-def _repeats(table: pa.Table) -> pa.Table:
-    """(part, bucket, bits) for a bucket of pieces: whether the windows of each part's pieces go.
+def _runs(gram: np.ndarray, size: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """(from, to) of pieces in order of their grams: all pieces of a few grams, about ``most`` bytes."""
+    last = np.flatnonzero(np.diff(gram, append=-1))
+    ends = np.cumsum(size)[last]
+    cuts = (last[np.flatnonzero(np.diff(ends // most, append=-1))] + 1).tolist()
+    return zip([0, *cuts], cuts)
+
+
+def repeats_by_gram(
+    texts: list[bytes], gram: np.ndarray, place: np.ndarray, most: int = SEARCH, gram_size: int = GRAM
+) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(pieces, whether their windows also start in a piece of smaller place), a few grams at a time.
+
+    Equal windows have equal grams, so nothing is lost between runs. Pieces whose gram no
+    other piece has are left out. Where one gram has many different pieces, they are cut
+    again by longer grams, at last by whole windows, so that ``most`` bounds a search.
+    """
+    _, same, times = np.unique(gram, return_inverse=True, return_counts=True)
+    order = np.argsort(same, kind="stable")
+    order = order[times[same[order]] > 1]
+    size = np.array([len(x) for x in texts], np.int64)
+    for a, b in _runs(same[order], size[order], most):
+        chosen = order[a:b]
+        data = b"".join([texts[k] for k in chosen])
+        if len(data) > 2 * most and gram_size < LENGTH:
+            yield chosen, _cut_again(data, size[chosen], place[chosen], most, (gram_size + LENGTH + 1) // 2)
+        else:
+            yield chosen, repeated_windows(data, size[chosen], place[chosen])
+
+
+def _cut_again(data: bytes, size: np.ndarray, place: np.ndarray, most: int, gram_size: int) -> np.ndarray:
+    """What ``repeated_windows`` gives, by pieces of longer grams."""
+    gram, owner, first, last = anchors(data, size, np.ones(len(size), bool), gram_size)
+    _, same, times = np.unique(gram, return_inverse=True, return_counts=True)
+    several = times[same] > 1
+    gram, owner, first, last = gram[several], owner[several], first[several], last[several]
+    cut = (data[a:b] for a, b in zip(first.tolist(), (last + LENGTH).tolist()))
+    goes = whole_or_repeated(cut, gram, place[owner], most, gram_size)
+    # Each piece has 49 bytes that start no window.
+    _, piece, nth = _laid_out(last - first + 1)
+    gone = np.zeros(len(data) - (LENGTH - 1) * len(size), bool)
+    gone[(first - (LENGTH - 1) * owner)[piece] + nth] = goes
+    return gone
+
+
+def whole_or_repeated(
+    cut: Iterator[bytes], gram: np.ndarray, place: np.ndarray, most: int = SEARCH, gram_size: int = GRAM
+) -> np.ndarray:
+    """For all windows of pieces: whether they go.
 
     All of a piece goes that an earlier document has whole. Of the different pieces only
     those are searched whose gram stands in several of them.
     """
-    read = lambda name, decode: [decode(x) for x in table[name].to_pylist()]
-    gram, place = np.concatenate(read("grams", _as_steps)), np.concatenate(read("places", _as_steps))
-    by_part = read("sizes", _as_numbers)
     known: dict[bytes, int] = {}
-    which = []
-    for sizes, data in zip(by_part, read("data", _plain)):
-        ends = np.cumsum(sizes + LENGTH - 1).tolist()
-        which += [known.setdefault(data[a:b], len(known)) for a, b in zip([0, *ends], ends)]
-    which, sizes = np.array(which, np.int64), np.concatenate(by_part)
+    which = np.fromiter((known.setdefault(x, len(known)) for x in cut), np.int64, len(gram))
     _, at = np.unique(which, return_index=True)
     low = np.full(len(known), LAST)
     np.minimum.at(low, which, place)
-    windows, texts = sizes[at], list(known)
-    _, same, times = np.unique(gram[at], return_inverse=True, return_counts=True)
-    searched = np.flatnonzero(times[same] > 1)
-    first, owner, _ = _laid_out(windows)
-    gone = np.zeros(len(owner), bool)
-    gone[np.isin(owner, searched)] = repeated_windows(
-        b"".join([texts[k] for k in searched]), windows[searched] + LENGTH - 1, low[searched]
-    )
-    _, owner, nth = _laid_out(sizes)
-    bits = gone[first[which][owner] + nth] | (place > low[which])[owner]
+    texts = list(known)
+    windows = np.array([len(x) - LENGTH + 1 for x in texts], np.int64)
+    first = np.cumsum(windows) - windows
+    gone = np.zeros(int(windows.sum()), bool)
+    for chosen, goes in repeats_by_gram(texts, gram[at], low, most, gram_size):
+        _, owner, nth = _laid_out(windows[chosen])
+        gone[first[chosen][owner] + nth] = goes
+    _, owner, nth = _laid_out(windows[which])
+    return gone[first[which][owner] + nth] | (place > low[which])[owner]
+
+
+def _repeats(table: pa.Table) -> pa.Table:
+    """(part, bucket, bits) for a bucket of pieces: whether the windows of each part's pieces go."""
+    read = lambda name, decode: [decode(x) for x in table[name].to_pylist()]
+    by_part = read("sizes", _as_numbers)
+
+    def cut():
+        for sizes, data in zip(by_part, table["data"].to_pylist()):
+            data, ends = _plain(data), np.cumsum(sizes + LENGTH - 1).tolist()
+            yield from (data[a:b] for a, b in zip([0, *ends], ends))
+
+    bits = whole_or_repeated(cut(), np.concatenate(read("grams", _as_steps)), np.concatenate(read("places", _as_steps)))
     counts = [int(s.sum()) for s in by_part]
     found = [_bits(x) for x in np.split(bits, np.cumsum(counts)[:-1])]
     return pa.table({
