@@ -7,7 +7,8 @@ import json
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.leaves import nodes_sql, scalar_paths
+from tidemark.functions.leaves import scalar_paths
+from tidemark.functions.nodes import count_nodes
 
 MAX_EVENT_BYTES = 1_048_576
 
@@ -245,12 +246,12 @@ def rename_keys(data: Column, mapping: dict[str, str] | None = None) -> Column:
 
 def field_inference(events: DataFrame) -> DataFrame:
     """Every payload path with the number of events that have it and its JSON types."""
-    nodes = events.select(F.explode(F.expr(nodes_sql("data"))).alias("n"))
     return (
-        nodes.groupBy(F.col("n.path").alias("path"))
+        count_nodes(events)
+        .groupBy("path")
         .agg(
-            F.count(F.lit(1)).alias("count"),
-            F.array_sort(F.collect_set("n.kind")).alias("types"),
+            F.sum("n").alias("count"),
+            F.array_sort(F.collect_set("kind")).alias("types"),
         )
     )
 
