@@ -24,21 +24,29 @@ def read_event_batches(spark: SparkSession, path: str) -> DataFrame:
 
 
 def split_bodies(bodies: DataFrame) -> DataFrame:
-    """Rows (``body``, ``source_file``, ...) to one row per event in the body."""
+    """Rows (``body``, ``source_file``, ...) to one row per event in the body.
+
+    What a body holds is found once, before its events are told apart: columns beside a
+    generator would be worked out for each row it makes.
+    """
     rest = [c for c in bodies.columns if c != "body"]
-    parsed = bodies.withColumn("document", F.try_parse_json("body"))
-    elements = F.try_variant_get("document", "$", "array<variant>")
-    error = (
-        F.when(F.col("document").isNull(), F.lit("invalid JSON body"))
-        .when(F.size(elements) == 0, F.lit("batch must contain at least one event"))
-        .alias("body_error")
+
+    def read(parsed: Column) -> Column:
+        document, elements = parsed["document"], parsed["elements"]
+        error = F.when(document.isNull(), F.lit("invalid JSON body")).when(
+            F.size(elements) == 0, F.lit("batch must contain at least one event")
+        )
+        texts = F.transform(F.coalesce(elements, F.array(document)), lambda v: F.to_json(v))
+        none = document.isNull() | (F.coalesce(F.size(elements), F.lit(1)) == 0)
+        return F.struct(error.alias("body_error"), F.when(none, F.array(F.col("body"))).otherwise(texts).alias("__events"))
+
+    # The lambdas name document and elements, so the body is parsed once.
+    parsed = F.transform(
+        F.array(F.try_parse_json("body")),
+        lambda v: F.struct(v.alias("document"), F.try_variant_get(v, "$", "array<variant>").alias("elements")),
     )
-    texts = F.transform(F.coalesce(elements, F.array("document")), lambda v: F.to_json(v))
-    events = F.when(
-        F.col("document").isNull() | (F.coalesce(F.size(elements), F.lit(1)) == 0),
-        F.array(F.col("body")),
-    ).otherwise(texts)
-    return parsed.select(*rest, error, F.posexplode(events).alias("position", "raw"))
+    found = bodies.select(*rest, F.inline(F.transform(parsed, read)))
+    return found.select(*rest, "body_error", F.posexplode("__events").alias("position", "raw"))
 
 
 def stream_bodies(
